@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import chat, decontaminate, language_id, mixing, repetition, simhash, substring_dedup
+from quillwork.llm import chat, decontaminate, language_id, mixing, quality, repetition, simhash, substring_dedup, token_counts, warc
 from quillwork.tables import table
 
 
@@ -32,6 +33,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_removed", "n_chunks", "n_repeated")])
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
@@ -45,12 +50,33 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder).drop("payload")
+
+
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def tokenizer_path() -> str:
+    """The file of the production vocabulary: QUILLWORK_TOKENIZER, or the one that the box's package has."""
+    if path := os.environ.get("QUILLWORK_TOKENIZER"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_decontaminate, op3_simhash, op4_repetition, op5_substring_dedup, op7_chat, op10_mixing]
+    found = [op1_language_id, op2_decontaminate, op3_simhash, op4_repetition, op5_substring_dedup, op6_quality, op7_chat, op8_warc, op9_token_counts, op10_mixing]
     return {f.__name__: f for f in found}
 
 
@@ -109,6 +135,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
 OP10_SQL = """
 WITH RECURSIVE c AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
 r AS (SELECT source, CAST(1.0 AS DOUBLE) * (SELECT sum(n) FROM c)::BIGINT / ((SELECT count(*) FROM c)::DOUBLE * n) AS rate FROM c),
@@ -123,4 +157,4 @@ FROM (SELECT *, unnest(range(1, times + 1)) AS copy FROM t WHERE times > 0)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_repetition": _op4_sql(), "op7_chat": OP7_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_repetition": _op4_sql(), "op7_chat": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
