@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.storage import written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # lower() and translate() make letters of letters only
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z in lower case: ASCII letters and digits, and all that is not ASCII. Null has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.transform(raw_words(text), lambda w: F.translate(w, UPPER, LOWER))
+
+
+def raw_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD), "")
+
+
+def terms(text: Column) -> Column:
+    """The index terms of a text, one for each of its words: hashes of the words in Unicode lower case.
+
+    Words that are equal with A-Z in lower case have equal terms; lower() is many times faster on a text than
+    translate(), and hashes than strings. A capital sigma's lower case depends on its place, so both are one here.
+    """
+    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\u03c2"), F.lit("\u03c3"))
+    return F.array_remove(F.split(lower, NOT_WORD), "")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -22,76 +36,78 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def phrases(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the items: phrase (number), terms, items. An item of fewer words, but not none, is one."""
-    w = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
+    """Distinct windows of the items: phrase (hash of its words), size, terms, items. An item of fewer words, but not
+    none, is one."""
+    w = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"), F.transform(terms(F.col(text_col)), lambda t: F.xxhash64(t)).alias("t")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-    cut = w.select("item", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, F.lit(window)))).alias("terms"))
-    return cut.groupBy("terms").agg(F.collect_set("item").alias("items")).withColumn("phrase", F.xxhash64(F.array_join("terms", " ")))
+    cut = w.select("item", F.explode(F.transform(starts, lambda s: F.struct(F.slice("w", s, F.lit(window)).alias("w"), F.slice("t", s, F.lit(window)).alias("t")))).alias("p"))
+    return cut.groupBy(F.col("p.w").alias("w"), F.col("p.t").alias("terms")).agg(F.collect_set("item").alias("items")).select(phrase_id(F.col("w")).alias("phrase"), F.size("w").alias("size"), "terms", "items")
+
+
+def phrase_id(words_: Column) -> Column:
+    return F.xxhash64(F.array_join(words_, " "))
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (id and hash of the text, so that texts with one id stay apart) and the words, one row each."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), words(F.col(text_col)).alias("w"))
+    """id, of (hash of the text, so that texts with one id stay apart) and the text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text"))
 
 
-def postings(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """term, id, of, pos of every word of ``documents``, or of the words among ``terms`` only."""
-    every = texts.select("id", "of", F.posexplode("w").alias("pos", "term"))
-    return every if terms is None else every.join(terms, "term", "left_semi")
+def postings(texts: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """term, id, of, pos of every word of ``documents``, or of those with one of the ``chosen`` terms only."""
+    every = texts.select("id", "of", F.posexplode(terms(F.col("text"))).alias("pos", "word")).select(F.xxhash64("word").alias("term"), "id", "of", "pos")
+    return every if chosen is None else every.join(chosen, "term", "left_semi")
 
 
-def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """How often each of ``terms`` stands in the documents; summed up before the shuffle."""
-    return texts.select(F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+def term_counts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """How often each of the ``chosen`` terms stands in the documents; summed up before the shuffle."""
+    every = texts.select(F.explode(terms(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
+    return every.join(chosen, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest(queries: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
-    """phrase, terms, items and ``rare``: (term, offset) of its ``lists`` rarest terms, the rarest first.
+    """phrase, size, items and ``rare``: (term, offset) of its ``lists`` rarest terms, the rarest first.
 
     A phrase with a term that no document has goes: it can't occur.
     """
     each = queries.select("phrase", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    found = each.groupBy("phrase").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("offset"), F.col("term")))).alias("found"), F.count_if(F.col("n").isNull()).alias("missing")
-    )
+    found = each.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("found"), F.count_if(F.col("n").isNull()).alias("missing"))
     rare = found.filter("missing = 0").select("phrase", F.slice("found", 1, lists).alias("rare"))
-    return queries.join(rare, "phrase")
+    return queries.drop("terms").join(rare, "phrase")
 
 
 def intersect(index: DataFrame, queries: DataFrame, lists: int) -> DataFrame:
-    """id, of, start, terms, items of the places that the offset-adjusted lists of the rarest terms have in common.
+    """id, of, start, phrase, size, items of the places that the offset-adjusted lists of the rarest terms share.
 
     The list of the rarest term is read first and each next list only keeps or drops what is left, so the work follows
     the rarest lists; their keys are (document, place), which no frequent term or document fills.
     """
     first = F.col("rare")[0]
     at = index.join(queries.withColumn("term", first["term"]), "term")
-    at = at.select("id", "of", (F.col("pos") - first["offset"]).alias("start"), "phrase", "terms", "items", "rare").filter("start >= 0").distinct()
+    at = at.select("id", "of", (F.col("pos") - first["offset"]).alias("start"), "phrase", "size", "items", "rare").filter("start >= 0").distinct()
     for k in range(1, lists):
         other = F.get("rare", F.lit(k))
         wanted = at.withColumns({"__term": F.coalesce(other["term"], first["term"]), "__pos": F.col("start") + F.coalesce(other["offset"], first["offset"])})
         match = index.select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("pos").alias("__p"), F.col("term").alias("__t"))
         at = wanted.join(match, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")) & (F.col("__pos") == F.col("__p")) & (F.col("__term") == F.col("__t")), "left_semi")
-    return at.select("id", "of", "start", "terms", "items")
+    return at.select("id", "of", "start", "phrase", "size", "items")
 
 
-def exact_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, lists: int = 3, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(documents, places) where places holds, for each document with any, the candidates of the intersection.
+def candidates(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, lists: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
+    """The places of the intersection, written to the shared folder.
 
-    The index is written to the shared folder with the postings of the terms that the intersection reads: for each
-    phrase its ``lists`` rarest, counted over all documents. Queries are broadcast up to ``broadcast_rows`` phrases or
-    terms, and shuffled beyond.
+    So is the index, with the postings of the terms that the intersection reads: for each phrase its ``lists`` rarest,
+    counted over all documents. Phrases and terms are broadcast up to ``broadcast_rows`` rows, and shuffled beyond.
     """
     texts = documents(docs, id_col, text_col)
     queries = written(phrases(items, window, item_col, item_text_col), "phrases")
     counts = written(term_counts(texts, small(queries.select(F.explode("terms").alias("term")).distinct(), broadcast_rows)), "term-counts")
     chosen = written(rarest(queries, counts, lists), "rarest")
     index = written(postings(texts, small(chosen.select(F.explode("rare.term").alias("term")).distinct(), broadcast_rows)), "postings")
-    found = intersect(index, small(chosen, broadcast_rows), lists)
-    return texts, found
+    return written(intersect(index, small(chosen, broadcast_rows), lists), "places")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", share: int = 20, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 20, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
 
     A word is hit that lies in an occurrence of a window of an item; contaminated: any is hit, and at least 1 in
@@ -99,16 +115,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     words; repeated rows get the same answer, and null ids are a document for each text; null item ids count as items
     that have no name. No items, or none that occurs: nothing is hit, and items_sha256 is that of the empty string.
     """
-    texts, found = exact_matches(docs, items, id_col=id_col, **options)
-    places = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list(F.struct("start", "terms", "items")).alias("places"))
-    joined = texts.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left")
-    exact = F.filter("places", lambda p: F.slice(F.col("w"), p["start"] + 1, F.size(p["terms"])) == p["terms"])
-    joined = joined.select("id", F.size("w").cast("long").alias("n_words"), F.coalesce(exact, F.array().cast("array<struct<start:int,terms:array<string>,items:array<bigint>>>")).alias("hits"))
-    ends = F.array_sort(F.transform("hits", lambda p: F.struct(p["start"].alias("a"), (p["start"] + F.size(p["terms"])).alias("b"))))
+    found = candidates(docs, items, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
+    grouped = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("places"))
+    places = F.broadcast(grouped) if found.count() <= broadcast_rows else grouped
+    texts = documents(docs, id_col, text_col)
+    joined = texts.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left").select("id", raw_words(F.col("text")).alias("w"), "places")
+    cut = lambda p: F.transform(F.slice("w", p["start"] + 1, p["size"]), lambda x: F.translate(x, UPPER, LOWER))
+    exact = F.filter("places", lambda p: phrase_id(cut(p)) == p["phrase"])
+    empty = F.array().cast("array<struct<start:int,size:int,phrase:bigint,items:array<bigint>>>")
+    hits = joined.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.col("places").isNull(), empty).otherwise(exact).alias("hits"))
+    spans = F.array_sort(F.transform("hits", lambda p: F.struct(p["start"].alias("a"), (p["start"] + p["size"]).alias("b"))))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
-    union = F.aggregate(ends, zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
+    union = F.aggregate(spans, zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
     named = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda p: p["items"]))), lambda i: i.cast("string")))
-    out = joined.select(F.col("id").alias(id_col), "n_words", union["sum"].cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
+    out = hits.select(F.col("id").alias(id_col), "n_words", union["sum"].cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -122,15 +142,17 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", lists: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """id, item, start: where the ``lists`` rarest terms of an item (all, if it has fewer) stand in any order within
-    ``slop`` words of the rarest one, at ``start``. Terms that no document has are left out; none left: no match."""
+    ``slop`` words of the rarest one, at ``start``. Terms that no document has are left out; none left: no match.
+    Lists meet by document, term and cell of slop + 1 words, so a place is compared with those near it only."""
     texts = documents(docs, id_col, text_col)
-    terms = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(words(F.col(item_text_col)))).alias("term")).distinct(), "item-terms")
-    counts = term_counts(texts, small(terms.select("term").distinct(), broadcast_rows))
-    ranked = terms.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
+    wanted_terms = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(terms(F.col(item_text_col)))).alias("word")).select("item", F.xxhash64("word").alias("term")).distinct(), "item-terms")
+    counts = term_counts(texts, small(wanted_terms.select("term").distinct(), broadcast_rows))
+    ranked = wanted_terms.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
     ranked = written(ranked.select("item", F.expr("transform(rare, r -> r.term)").alias("rare")), "rarest-terms")
     index = written(postings(texts, small(ranked.select(F.explode("rare").alias("term")).distinct(), broadcast_rows)), "postings")
     at = index.join(small(ranked, broadcast_rows).withColumn("term", F.col("rare")[0]), "term").select("id", "of", "item", F.col("pos").alias("start"), "rare").distinct()
-    wanted = at.select("*", F.posexplode("rare").alias("k", "term")).select("*", F.explode(F.sequence(F.floor((F.col("start") - slop) / (slop + 1)), F.floor((F.col("start") + slop) / (slop + 1)))).alias("cell"))
+    wanted = at.select("*", F.posexplode("rare").alias("k", "term"))
+    wanted = wanted.select("*", F.explode(F.sequence(F.floor((F.col("start") - slop) / (slop + 1)), F.floor((F.col("start") + slop) / (slop + 1)))).alias("cell"))
     cells = index.withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
     near = wanted.alias("x").join(cells.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & F.expr("x.of = y.of and x.term = y.term and x.cell = y.cell")).filter(F.abs(F.col("y.pos") - F.col("x.start")) <= slop)
     held = near.groupBy(F.col("x.id").alias("id"), F.col("x.of").alias("of"), "item", "start", F.size("rare").alias("n")).agg(F.count_distinct("k").alias("found"))
