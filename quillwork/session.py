@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 _SHIPPED = "_quillwork_shipped"
 
+#: Rows are texts of up to megabytes: batches are bounded so that a task holds a few MB of them at a time.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
 
 def build(app: str = "quillwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators are tested with: UTC, adaptive execution, ANSI mode."""
@@ -23,8 +26,11 @@ def build(app: str = "quillwork", master: str | None = None, **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a context, so that it needn't be installed on them."""
+    """Sends this package to the Python workers, once a context, so that it needn't be installed on them, and bounds the
+    session's batches."""
     context = spark.sparkContext
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     if getattr(context, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parent
