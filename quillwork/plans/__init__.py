@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillwork.plans import measures as _measures  # noqa: F401
+from quillwork.plans import panel as _panel  # noqa: F401
 from quillwork.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "qa_minus_pre_contrast"

@@ -1 +1 @@
-
+"""Strict readers, and publication of results."""

@@ -1 +1 @@
-
+"""Resumable batches and streamed results."""
