@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import clean, left_of_dash
+from quillwork.functions.text import clean, left_of_dash, let
 
 # Suffixes and honorifics that are no part of a name.
 SUFFIXES = "jr sr ii iii iv phd md esq".split()
@@ -45,7 +45,10 @@ def _paired(a: Column, b: Column, pairs: list[str]) -> Column:
 
 def relation(expected: Column, labelled: Column) -> Column:
     """T-10: how two names relate; the order of the cases matters."""
-    a, b = name_tokens(expected), name_tokens(labelled)
+    return let(F.struct(name_tokens(expected).alias("a"), name_tokens(labelled).alias("b")), lambda t: _relation(t["a"], t["b"]))
+
+
+def _relation(a: Column, b: Column) -> Column:
     first_a, first_b, second_a = F.get(a, F.lit(0)), F.get(b, F.lit(0)), F.get(a, F.lit(1))
     last_a, last_b = F.try_element_at(a, F.lit(-1)), F.try_element_at(b, F.lit(-1))
     variant, nickname = _paired(last_a, last_b, SURNAME_VARIANTS), _paired(first_a, first_b, NICKNAMES)
@@ -68,6 +71,10 @@ def best_match(expected: Column, labels: Column) -> Column:
     """T-11: struct (quality, labels) of the best relation and all labels that have it; no_match and none for no labels."""
     order = F.array(*[F.lit(r) for r in RELATIONS])
     ranked = F.transform(labels, lambda x: F.struct(F.array_position(order, relation(expected, x)).alias("rank"), x.alias("label")))
-    top = F.array_min(F.transform(ranked, lambda r: r["rank"]))
-    of_top = F.transform(F.filter(ranked, lambda r: r["rank"] == top), lambda r: r["label"])
-    return F.when(F.size(labels) > 0, F.struct(F.element_at(order, top.cast("int")).alias("quality"), of_top.alias("labels"))).otherwise(F.struct(F.lit("no_match").alias("quality"), F.array().cast("array<string>").alias("labels")))
+
+    def best(ranks: Column) -> Column:
+        top = F.array_min(F.transform(ranks, lambda r: r["rank"]))
+        of_top = F.transform(F.filter(ranks, lambda r: r["rank"] == top), lambda r: r["label"])
+        return F.struct(F.coalesce(F.get(order, top.cast("int") - 1), F.lit("no_match")).alias("quality"), of_top.alias("labels"))
+
+    return let(ranked, best)

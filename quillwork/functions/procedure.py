@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import clean, first_reason, has, matches, norm, reasons, sentences, word_count
+from quillwork.functions.text import clean, first_reason, has, let, matches, norm, reasons, sentences, word_count
 
 
 def _any(*phrases: str) -> str:
@@ -80,31 +80,40 @@ def _every(pieces: Column, must: Column, may) -> Column:
 
 def audio_check(c: Column) -> Column:
     """T-13: every sentence is a line check or an introduction, and one is a check."""
-    pieces = sentences(c)
+    return _audio(sentences(c))
+
+
+def _audio(pieces: Column) -> Column:
     cue = lambda p: matches(p, _any(*AUDIO_CUES))
     return _every(pieces, F.exists(pieces, cue), lambda p: cue(p) | matches(p, _any(*AUDIO_INTROS)))
 
 
 def clarification_only(c: Column) -> Column:
     """T-14: every sentence, after an apology, asks for clarification or is courtesy, and one asks."""
-    pieces = sentences(c)
+    return _clarification(sentences(c))
+
+
+def _clarification(pieces: Column) -> Column:
     cue = lambda p: matches(F.regexp_replace(p, r"\A(?:well )?(?:(?:i m|i am) sorry |sorry )?", ""), _any(*CLARIFICATIONS))
     return _every(pieces, F.exists(pieces, cue), lambda p: cue(p) | matches(p, _any(*COURTESIES)))
 
 
 def procedure_kind(c: Column) -> Column:
     """T-15: the first kind of procedure that the whole passage is, else ''."""
-    n, pieces = norm(c), sentences(c)
+    return let(F.struct(norm(c).alias("n"), sentences(c).alias("p"), F.coalesce(c, F.lit("")).alias("c")), lambda t: _kind(t["n"], t["p"], t["c"]))
+
+
+def _kind(n: Column, pieces: Column, c: Column) -> Column:
     whole = lambda phrases: matches(n, _any(*phrases))
     greeting = has(n, rf"\b{_HELLO}\b") & matches(n, rf"(?:{_any(*GREETING_ANSWERS)}\s*|{_HELLO}(?: [a-z]+)?\s*)+")
     understood = (word_count(n) <= 60) & has(n, r"\A(?:so )?if i understand your question\b") & ~has(c, r"[.!?]\s+\S") & has(n, r"\b(?:do i have that right|is that correct)\z")
     invited = lambda p: matches(p, _any(*INVITATIONS))
     return first_reason(
         (greeting, "greeting_only"),
-        (audio_check(c), "audio_check"),
+        (_audio(pieces), "audio_check"),
         (whole(LOOKUP), "lookup_deferral"),
         (whole(DELEGATIONS) | (matches(n, OPEN_DELEGATION) & has(c, r"(?:\.{3}|…)\s*\z")), "delegation_only"),
-        (clarification_only(c) | understood, "clarification_request"),
+        (_clarification(pieces) | understood, "clarification_request"),
         (whole(LOGISTICS_QUESTIONS), "logistics_question"),
         (whole(LOGISTICS_REPLIES), "logistics_reply"),
         (n.isin(*FRAGMENTS), "incomplete_fragment"),

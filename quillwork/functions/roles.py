@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import affiliation, clean, has, label, left_of_dash, matches, norm, right_of_dash, word_count
+from quillwork.functions.text import affiliation, clean, has, label, left_of_dash, let, matches, norm, right_of_dash, word_count
 
 CEO = r"\b(?:ceo|chief\s+executive\s+officer)\b"
 FORMER = r"\b(?:former|retired|ex[-\s])\b"
@@ -74,9 +74,12 @@ def is_analyst(c: Column, issuer_labels: Column | None = None) -> Column:
     """P-5: by the title after ' - '. Management and former analysts are none, nor speakers of an issuer's affiliation;
     analysts are; research leads and Research Division staff need a named institution. A label that is only a role
     must be an analyst's."""
-    text = label(c)
+    return let(label(c), lambda text: _is_analyst(text, issuer_labels))
+
+
+def _is_analyst(text: Column, issuer_labels: Column | None) -> Column:
     identity, title = left_of_dash(text), right_of_dash(text)
-    own = norm(affiliation(c))
+    own = norm(affiliation(text))
     issuer = F.lit(False) if issuer_labels is None else (own != "") & F.exists(issuer_labels, lambda x: norm(affiliation(x)) == own)
     name, firm = F.split(identity, ",", 2)[0], F.coalesce(F.get(F.split(identity, ",", 2), F.lit(1)), F.lit(""))
     named = (F.trim(firm) != "") & (word_count(name) >= 2) & ~has(name, r"\b(?:unidentified|unknown|operator)\b", True) & ~has(firm, r"\b(?:unidentified|unknown)\b", True)

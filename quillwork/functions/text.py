@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Legal forms and articles that say nothing about a company's identity.
 COMPANY_STOP_WORDS = "a ab ag and asa bhd bm co company corp corporation gmbh group holdings inc incorporated kk limited llc ltd nv oyj plc sa se spa the".split()
@@ -20,6 +21,11 @@ TITLE_ENDINGS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Whether the whole text matches; false for null."""
     return F.coalesce(c.rlike(("(?i)" if ignore_case else "") + rf"\A(?:{pattern})\z"), F.lit(False))
@@ -51,7 +57,7 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[.!?]+"), norm), lambda p: p != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """T-3's entity decoding, for which Spark has no expression; null is ''."""
     return s.fillna("").map(html.unescape)

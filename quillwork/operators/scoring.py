@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillwork.functions.text import first_reason
 
@@ -34,7 +35,7 @@ def strict_loads(text: str):
     return json.loads(text, object_pairs_hook=pairs, parse_float=number, parse_constant=refuse)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strict_json(s: pd.Series) -> pd.Series:
     """N-7: the JSON text with sorted keys if it is strict, else null. Spark's parsers take repeated keys or trailing
     text, so this is Python."""
