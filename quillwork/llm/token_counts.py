@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from quillwork.llm.arrow import texts
 
 SPACE = "▁"
-_PRE_TOKEN = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-TABLE_SIZE = 400_000
+_LETTER = r"[^\W\d_¹²³]"
+_OTHER = rf"(?:(?!{_LETTER})[^{SPACE}\n])"
+_PRE_TOKEN = re.compile(rf"\n|{SPACE}*{_LETTER}+|{SPACE}*{_OTHER}+|{SPACE}+")
+TABLE_SIZE = 600_000
+_HALF = 32  # both counts of a pre-token are one integer, so that a text's are one sum
 
 
 @dataclass
@@ -23,12 +26,15 @@ class Vocabulary:
     """Pieces and their ranks in a BPE vocabulary with byte fallback; ``score`` is the unigram log weight of a rank."""
 
     rank: dict[str, int]
-    longest: int = field(init=False)
+    longest: dict[str, int] = field(init=False)  # by the last two characters, of the pieces that end so
     score: dict[str, float] = field(init=False)
     unknown: float = field(init=False)
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.rank), default=1)
+        self.longest = {}
+        for piece in self.rank:
+            if len(piece) > 1:
+                self.longest[piece[-2:]] = max(len(piece), self.longest.get(piece[-2:], 1))
         self.score = {p: -math.log(2 + r) for p, r in self.rank.items()}
         self.unknown = min(self.score.values(), default=0.0) - 10.0
 
@@ -66,7 +72,7 @@ class TrieScorer:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.apart = lru_cache(1 << 18)(lambda a, b: merge(a + b, vocabulary.rank) == [a, b])
+        self.apart = lru_cache(1 << 19)(lambda a, b: merge(a + b, vocabulary.rank) == [a, b])
         self.whole = lru_cache(1 << 16)(lambda a: len(merge(a, vocabulary.rank)) == 1)
 
     def counts(self, pre_tokens: Iterable[str]) -> dict[str, tuple[int, int]]:
@@ -83,7 +89,7 @@ class TrieScorer:
                 del stack[shared + 1 :]
             for end in range(shared + 1, len(token) + 1):
                 top, n_top, tail, n_tail = -math.inf, 0, "", -1
-                for start in range(max(0, end - longest), end):
+                for start in range(max(0, end - longest.get(token[max(0, end - 2) : end], 1)), end):
                     piece = token[start:end]
                     if piece in rank:
                         s = best[start] + score[piece]
@@ -109,17 +115,28 @@ class TrieScorer:
 
 def pre_tokens(text: str) -> list[str]:
     """A text as the model sees it, with spaces as SPACE and one before the start, cut where no piece spans the cut:
-    before each run of SPACE and around line breaks."""
+    before each run of SPACE, around line breaks, and between letters and other characters."""
     return _PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def check(vocabulary: Vocabulary) -> Vocabulary:
     """Refuses a vocabulary with pieces that span the cuts of ``pre_tokens``."""
-    if bad := [p for p in vocabulary.rank if SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n")]:
+    if bad := [p for p in vocabulary.rank if _PRE_TOKEN.findall(p) != [p]]:
         raise ValueError(f"pieces span pre-tokens: {bad[:5]}")
     return vocabulary
 
 
+_process: dict[int, tuple[TrieScorer, dict[str, int]]] = {}
+
+
+def process_state(key: int, vocabulary: Vocabulary) -> tuple[TrieScorer, dict[str, int]]:
+    """The scorer and table of this process, which its tasks share; those of another vocabulary go."""
+    if key not in _process:
+        _process.clear()
+        _process[key] = TrieScorer(vocabulary), {}
+    return _process[key]
+
+
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens (of the model's own BPE encoding), n_unigram (pieces of the best unigram segmentation), n_pre_tokens.
 
@@ -128,22 +145,25 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     and null ids change nothing. ``path`` is read on the driver; the vocabulary goes to the executors, as large as the
     file and no larger with more data.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(check(load(path)))
+    loaded = check(load(path))
+    key = hash(tuple(loaded.rank))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(loaded)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, table = TrieScorer(vocabulary.value), {}
+        scorer, table = process_state(key, vocabulary.value)
         for batch in batches:
             columns: list[list[int]] = [[], [], []]
             for _, part in texts(batch.column(1), 1 << 20):
                 cut = [pre_tokens((t or b"").decode("utf-8", "replace")) for t in part]
                 new = set().union(*cut).difference(table)
                 if len(table) + len(new) > TABLE_SIZE:
-                    table, new = {}, set().union(*cut)
-                table.update(scorer.counts(new))
+                    table.clear()
+                    new = set().union(*cut)
+                table.update((t, n << _HALF | m) for t, (n, m) in scorer.counts(new).items())
                 for tokens in cut:
-                    found = [table[t] for t in tokens]
-                    columns[0].append(sum(f[0] for f in found))
-                    columns[1].append(sum(f[1] for f in found))
+                    total = sum(map(table.__getitem__, tokens))
+                    columns[0].append(total >> _HALF)
+                    columns[1].append(total & ((1 << _HALF) - 1))
                     columns[2].append(len(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [id_col, "n_tokens", "n_unigram", "n_pre_tokens"])
 
