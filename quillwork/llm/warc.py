@@ -19,6 +19,7 @@ MIN_REVISIT_BYTES = 100
 FILE_BYTES = 1 << 30
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -129,7 +130,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     Ranges are sorted by file and offset, and those up to GAP_BYTES apart are read as one, up to RANGE_BYTES.
     """
     stripe = F.floor(F.col("offset") / RANGE_BYTES)
-    wanted = index.select("file", "offset", "length").repartition("file", stripe).sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))  # index rows are small, what they name is not
+    wanted = index.select("file", "offset", "length").repartition(tasks, "file", stripe).sortWithinPartitions("file", "offset")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pyarrow.fs.FileSystem.from_uri(folder)
