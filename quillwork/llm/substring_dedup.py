@@ -91,6 +91,12 @@ def _position(text: bytes | None, n: int) -> np.ndarray:
     return (np.int64(xxhash.xxh32_intdigest(text or b"") >> 1) << np.int64(32)) + np.arange(n, dtype=np.int64)
 
 
+def _later(digest: np.ndarray, rank: np.ndarray, valid: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """Which of the sorted chunks stand at another place than the first of their digest."""
+    first = np.maximum.accumulate(np.where(np.r_[True, digest[1:] != digest[:-1]], np.arange(len(digest)), 0))
+    return (rank != rank[first]) | (valid != valid[first]) | (position != position[first])
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and position of every chunk whose digest another chunk before it has, by id (null last) and position.
 
@@ -116,20 +122,25 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             digest, position = (np.concatenate([f[k] for f in found]) for k in (1, 2))
             order = np.lexsort((position, rank[row], ~valid[row], digest))
             row, digest, position = row[order], digest[order], position[order]
-            later = np.r_[False, digest[1:] == digest[:-1]]
+            later = _later(digest, rank[row], valid[row], position)
             key = np.where(later, position * np.int64(2654435761) + rank[row], digest)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rank[row], mask=~valid[row]), pa.array(position), pa.array(later)], ["key", "id", "position", "known"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        first = None  # of the digest that the batch before ended in
         for batch in batches:
-            key, known = batch.column(0).to_numpy(), np.array(batch.column(3).to_pylist(), bool)
-            fresh = ~known
-            at = np.flatnonzero(fresh)
+            known = np.array(batch.column(3).to_pylist(), bool)
+            at = np.flatnonzero(~known)
             if len(at):
-                again = np.r_[key[at[0]] == last, key[at][1:] == key[at][:-1]]
-                last = key[at[-1]]
-                known[at[again]] = True
+                valid = np.array(batch.column(1).is_valid().to_pylist(), bool)[at]
+                rank = np.array(pa.compute.fill_null(batch.column(1), 0))[at]
+                columns = [batch.column(0).to_numpy()[at], rank, valid, batch.column(2).to_numpy()[at]]
+                if first is not None:
+                    columns = [np.r_[f, c] for f, c in zip(first, columns, strict=True)]
+                again = _later(*columns)
+                begin = int(np.searchsorted(columns[0][::-1] != columns[0][-1], True))
+                first = [c[len(c) - begin : len(c) - begin + 1] for c in columns]
+                known[at[again[-len(at) :]]] = True
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["id", "position"]).filter(pa.array(known))
 
     pieces = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, "key long, id long, position long, known boolean")
