@@ -59,6 +59,8 @@ CLOSINGS = [
     "we know it s a busy day out there in the market",
     "and i m certain we re going to field follow up questions later",
 ]
+
+# Cues of questions, as normalised text.
 QUESTION_CUES = ["what", "when", "where", "why", "how", "could", "can you", "would you", "do you", "talk about", "tell us", "give us", "help me", "help us", "wondering", "curious", "walk us", "explain", "quantify"]
 DETAIL_REQUEST = (
     r"\b(?:i|we) (?:am|are|was|were|would be) (?:just |also )?(?:looking|hoping) for (?:just )?(?:kind of )?"

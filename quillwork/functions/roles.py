@@ -7,25 +7,19 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import affiliation, clean, has, label, left_of_dash, let, matches, norm, right_of_dash, word_count
 
+# Patterns of speaker labels, titles and operators' announcements, matched without regard to case.
 CEO = r"\b(?:ceo|chief\s+executive\s+officer)\b"
 FORMER = r"\b(?:former|retired|ex[-\s])\b"
 CEO_ASSISTANT = r"\b(?:ceo\s+assistant|assistant\s+to\s+(?:the\s+)?ceo)\b"
-_OFFICE = r"(?:(?:president|chairman|chair|cfo|chief\s+financial\s+officer)\s*(?:and|&|/)\s*)*"
-_CHIEF = r"(?:ceo|chief\s+executive(?:\s+officer)?)"
-SPECIAL_CEO = rf"\b(?:co[-\s]?{_CHIEF}|(?:interim|acting)\s+(?:as\s+)?(?:the\s+)?{_OFFICE}(?:(?:group|global)\s+)?(?:co[-\s]?)?{_CHIEF})\b"
+SPECIAL_CEO = r"\b(?:co[-\s]?(?:ceo|chief\s+executive(?:\s+officer)?)|(?:interim|acting)\s+(?:as\s+)?(?:the\s+)?(?:(?:president|chairman|chair|cfo|chief\s+financial\s+officer)\s*(?:and|&|/)\s*)*(?:(?:group|global)\s+)?(?:co[-\s]?)?(?:ceo|chief\s+executive(?:\s+officer)?))\b"
 OPERATOR = r"\boperator\b"
-NEXT_QUESTION = (
-    r"\b(?:our|the|next|first|follow[-\s]?up)\s+question\b|\bwe['’]ll\s+take\s+(?:our\s+)?next\s+question\b"
-    r"|\A(?:and\s+)?next[,\s]+we(?:['’]ll|\s+will)?\s+go\s+to\s+the\s+line\s+of\s+\S+"
-)
+NEXT_QUESTION = r"\b(?:our|the|next|first|follow[-\s]?up)\s+question\b|\bwe(?:'|’)ll\s+take\s+(?:our\s+)?next\s+question\b|\A(?:and\s+)?next[,\s]+we(?:['’]ll|\s+will)?\s+go\s+to\s+the\s+line\s+of\s+\S+"
 OPERATOR_HANDOFF = r"(?:operator\s*:\s*)?(?:thank you\.?\s*)?(?:our|the|next|first)\s+question\s+comes\s+from"
-_ANALYST_LABEL = r"(?:Unidentified )?(?:(?:Senior|Junior) )?(?:(?:Equity )?Research )?Analysts?"
-_NOT_RESEARCH = (
-    r"\b(?:CEO|chief executive officer|CFO|chief financial officer|investor relations|corporate finance|former|retired)\b"
-    r"|\bex[- ](?:research )?analysts?\b|\banalysts? assistant\b|\bassistant to (?:the )?(?:research )?analysts?\b"
-)
-_RESEARCH_LEAD = r"(?:MD|Managing Director|(?:Co[- ]?)?(?:Head|Director)) of (?:(?:[A-Za-z0-9&/]+[ -])+)?Research"
-_DIVISION_TITLE = r"MD|Managing Director|(?:(?:Senior|Junior) )?(?:Research )?Associate"
+ANALYST = r"\banalysts?\b"
+ANALYST_LABEL = r"(?:Unidentified )?(?:(?:Senior|Junior) )?(?:(?:Equity )?Research )?Analysts?"
+NOT_RESEARCH = r"\b(?:CEO|chief executive officer|CFO|chief financial officer|investor relations|corporate finance|former|retired)\b|\bex[- ](?:research )?analysts?\b|\banalysts? assistant\b|\bassistant to (?:the )?(?:research )?analysts?\b"
+RESEARCH_LEAD = r"(?:MD|Managing Director|(?:Co[- ]?)?(?:Head|Director)) of (?:(?:[A-Za-z0-9&/]+[ -])+)?Research"
+DIVISION_TITLE = r"MD|Managing Director|(?:(?:Senior|Junior) )?(?:Research )?Associate"
 
 
 def ceo_signal(c: Column) -> Column:
@@ -84,6 +78,6 @@ def _is_analyst(text: Column, issuer_labels: Column | None) -> Column:
     name, firm = F.split(identity, ",", 2)[0], F.coalesce(F.get(F.split(identity, ",", 2), F.lit(1)), F.lit(""))
     named = (F.trim(firm) != "") & (word_count(name) >= 2) & ~has(name, r"\b(?:unidentified|unknown|operator)\b", True) & ~has(firm, r"\b(?:unidentified|unknown)\b", True)
     division = has(firm, r"\bResearch Division\b", True)
-    lead = matches(title, _RESEARCH_LEAD, True)
-    research = named & F.when(lead, division | has(title, r"\bEquity Research\z", True)).otherwise(division & matches(title, _DIVISION_TITLE, True))
-    return F.when(title.isNull(), matches(text, _ANALYST_LABEL, True)).otherwise(~has(title, _NOT_RESEARCH, True) & ~issuer & (has(title, r"\banalysts?\b", True) | research))
+    lead = matches(title, RESEARCH_LEAD, True)
+    research = named & F.when(lead, division | has(title, r"\bEquity Research\z", True)).otherwise(division & matches(title, DIVISION_TITLE, True))
+    return F.when(title.isNull(), matches(text, ANALYST_LABEL, True)).otherwise(~has(title, NOT_RESEARCH, True) & ~issuer & (has(title, ANALYST, True) | research))

@@ -77,6 +77,7 @@ def company_tokens(c: Column) -> Column:
 def title_company(c: Column) -> Column:
     """T-5: what is left of an event's title as the company: periods before it, the kind of event and year after it go."""
     ordinal, year = "(?:first|second|third|fourth)", r"\d{4}"
+    # What goes, in this order.
     steps = [
         (r"\A\s*[-–—:\t]+", ""),
         (rf"(?i)\A\s*(?:Q[1-4]|H[12]|FY)\s+{year}\s+", ""),

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from quillwork.functions import procedure, roles
 from quillwork.functions.text import first_reason, has, join_turns, label, left_of_dash, matches, norm, reasons, speaker_key, word_count
 
-_CLOSING = (
-    r"\b(?:no further questions|any (?:additional )?closing remarks|any (?:closure|closing) or further remarks"
-    r"|(?:that|this) (?:will )?concludes? the (?:q\s*&\s*a|questions? and answers?) session)\b"
-)
+# Patterns of an operator's closing, of legal forms at the end of a firm, and of a bare "Name, Firm".
+_CLOSING = r"\b(?:no further questions|any (?:additional )?closing remarks|any closure or further remarks|any closing or further remarks|(?:that|this) (?:will )?(?:conclude|concludes) the (?:q\s*&\s*a|question(?:s)? and answer(?:s)?) session)\b"
 _LEGAL_FORM = r"\s+(?:and company|company|inc|llc|ltd|corp|corporation)\z"
 _NAME_AND_FIRM = r"\A([A-Z][a-zA-Z'-]+(?: [A-Z][a-zA-Z'.-]+){1,3}), ([A-Za-z][A-Za-z &.'-]{1,65})\.?\z"
 
