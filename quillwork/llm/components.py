@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm.skew import join_counted
 from quillwork.llm.storage import remove, written
 
 
@@ -18,20 +19,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(ordered, "edges")
-    signature = None
+    edges_now, signature = now.count(), None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        linked = down.join(lowest, "a")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_counted(both, least, "a", 2 * edges_now).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down")
+        lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        linked = join_counted(down, written(lowest, "lowest"), "a", edges_now)
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
         after = written(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         row = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         remove(now)
-        now = after
+        now, edges_now = after, row.n
         if (row.n, row.h) == signature:
             break
         signature = (row.n, row.h)

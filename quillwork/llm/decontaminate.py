@@ -59,10 +59,16 @@ def postings(texts: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     return every if chosen is None else every.join(chosen, "term", "left_semi")
 
 
-def term_counts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """How often each of the ``chosen`` terms stands in the documents; summed up before the shuffle."""
+def term_counts(texts: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
+    """How often each of the ``chosen`` terms stands in the documents.
+
+    If these can be broadcast, other words go first; else all words are counted, map side first, and the counts meet
+    the terms: in neither case does a frequent term's every word cross the network.
+    """
     every = texts.select(F.explode(terms(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
-    return every.join(chosen, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    few = chosen.limit(broadcast_rows + 1).count() <= broadcast_rows
+    counted = (every.join(F.broadcast(chosen), "term", "left_semi") if few else every).groupBy("term").agg(F.count("*").alias("n"))
+    return counted if few else counted.join(chosen, "term", "left_semi")
 
 
 def rarest(queries: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
@@ -101,7 +107,7 @@ def candidates(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str,
     """
     texts = documents(docs, id_col, text_col)
     queries = written(phrases(items, window, item_col, item_text_col), "phrases")
-    counts = written(term_counts(texts, small(queries.select(F.explode("terms").alias("term")).distinct(), broadcast_rows)), "term-counts")
+    counts = written(term_counts(texts, queries.select(F.explode("terms").alias("term")).distinct(), broadcast_rows), "term-counts")
     chosen = written(rarest(queries, counts, lists), "rarest")
     index = written(postings(texts, small(chosen.select(F.explode("rare.term").alias("term")).distinct(), broadcast_rows)), "postings")
     return written(intersect(index, small(chosen, broadcast_rows), lists), "places")
@@ -146,7 +152,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: s
     Lists meet by document, term and cell of slop + 1 words, so a place is compared with those near it only."""
     texts = documents(docs, id_col, text_col)
     wanted_terms = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(terms(F.col(item_text_col)))).alias("word")).select("item", F.xxhash64("word").alias("term")).distinct(), "item-terms")
-    counts = term_counts(texts, small(wanted_terms.select("term").distinct(), broadcast_rows))
+    counts = term_counts(texts, wanted_terms.select("term").distinct(), broadcast_rows)
     ranked = wanted_terms.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
     ranked = written(ranked.select("item", F.expr("transform(rare, r -> r.term)").alias("rare")), "rarest-terms")
     index = written(postings(texts, small(ranked.select(F.explode("rare").alias("term")).distinct(), broadcast_rows)), "postings")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm.skew import join_counted
+from quillwork.llm.storage import written
+
 _HEX_DIGITS = 13
+BROADCAST_SOURCES = 20_000
 
 
 def uniform(doc_id: Column, seed: int, salt: str) -> Column:
@@ -26,12 +30,15 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None) ->
     if weights is None:
         weighted = counts.withColumn("weight", F.lit(1.0))
     else:
-        spark = docs.sparkSession
-        target = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "source string, weight double")
+        given = F.array(*[F.struct(F.lit(k).alias("source"), F.lit(float(w)).alias("weight")) for k, w in weights.items()])
+        target = docs.sparkSession.range(1).select(F.inline(given))
         weighted = counts.join(F.broadcast(target), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # as many rows as the parameter names
-    total = weighted.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    share = F.col("weight") * F.col("rows") / (F.col("weights") * F.col("n"))
-    return weighted.crossJoin(F.broadcast(total)).select("source", F.when(F.col("weights") > 0, share).otherwise(0.0).alias("rate"))  # one row of totals
+    weighted = written(weighted, "source-counts")
+    total = weighted.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights")).first()
+    if not total.weights:
+        return weighted.select("source", F.lit(0.0).alias("rate"), "n")
+    share = F.col("weight") * F.lit(float(total.rows)) / (F.lit(total.weights) * F.col("n"))
+    return weighted.select("source", share.alias("rate"), "n")
 
 
 def cumulative(rate: Column) -> Column:
@@ -52,13 +59,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     new ones or starting with __ are replaced.
     """
     of_source = rates(docs, source_col, weights).withColumn("rate", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a source's repetition rate is above max_rate"))))
-    table = of_source.select(F.col("source").alias("__source"), cumulative(F.col("rate")).alias("__sums"))
-    few = table.count() <= 100_000
-    joined = docs.withColumn("__name", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = joined.join(F.broadcast(table) if few else table, F.col("__name") == F.col("__source"))
+    table = of_source.select(F.col("source").alias("__source"), cumulative(F.col("rate")).alias("__sums"), "n")
+    named = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    rows = of_source.agg(F.count("*").alias("sources"), F.sum("n").alias("rows")).first()
+    if rows.sources <= BROADCAST_SOURCES:
+        joined = named.join(F.broadcast(table.drop("n")), "__source")
+    else:
+        joined = join_counted(named, table, "__source", rows.rows)
     u = uniform(F.col(id_col), seed, "count")
     times = F.size(F.filter("__sums", lambda x: x <= F.col("__u")))
     counted = joined.withColumn("__u", u).withColumn("__times", times).filter("__times > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__name", "__source", "__sums", "__u", "__times")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__source", "__sums", "__u", "__times")
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

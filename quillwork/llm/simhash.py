@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillwork.llm.arrow import texts
 from quillwork.llm.components import connected_components
 from quillwork.llm.gray_index import Forest, gray_rank, link_between, link_within
+from quillwork.llm.skew import join_counted
 from quillwork.llm.storage import written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -137,12 +138,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read; an empty table gives no rows.
     """
     marks = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = written(marks.groupBy("fingerprint").agg(F.min(id_col).alias("least_id")), "distinct-fingerprints")
-    nodes = connected_components(links(distinct.select("fingerprint"), most))
-    of_class = nodes.join(distinct, F.col("node") == F.col("fingerprint")).groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = nodes.join(of_class, "component").select(F.col("node").alias("fingerprint"), "class_id")
-    final = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("class_id", "least_id").alias("component_id"))
-    return marks.join(final, "fingerprint").select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = written(marks.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    nodes = written(connected_components(links(distinct.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint"), "components")
+    least = nodes.join(distinct, "fingerprint").groupBy("component").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
+    named = join_counted(nodes, written(least, "classes"), "component", nodes.count()).select("fingerprint", "class_id")
+    final = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("class_id", "least_id").alias("component_id"), "n")
+    joined = join_counted(marks, written(final, "fingerprint-classes"), "fingerprint", marks.count())
+    return joined.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

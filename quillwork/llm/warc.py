@@ -13,6 +13,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm.skew import join_counted
 from quillwork.llm.storage import new_path, written
 
 MIN_REVISIT_BYTES = 100
@@ -31,12 +32,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of equal payloads of MIN_REVISIT_BYTES or more, the one with the smallest page_id (null last) is a response and
     the rest refer to it; rows that repeat that page_id are responses too. Digests are counted before rows meet them,
-    and only those that repeat are joined, so a frequent payload is one row on that side.
+    and only those that repeat are joined; rows of a frequent payload stay where they are.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    first = rows.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
+    first = written(rows.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated-payloads")
+    joined = join_counted(rows, first, "payload_digest", pages.count(), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "payload")
 
