@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,14 +164,10 @@ def question_exclusions(c: Column) -> Column:
 
 def content_decision(c: Column) -> Column:
     """C-9: struct (content_class, content_reason, ready). Unclassified content is kept."""
-    kind = procedure_kind(c)
-    procedural = kind.isin(*PROCEDURAL_KINDS)
-    return F.struct(
-        F.when((clean(c) == "") | procedural, "procedural_only").otherwise("uncertain").alias("content_class"),
-        F.when(clean(c) == "", F.lit("empty_target")).when(procedural, F.concat(F.lit("exact_procedural_pattern_"), kind)).otherwise("nonprocedural_text_retained_without_semantic_classification").alias("content_reason"),
-        (~((clean(c) == "") | procedural)).alias("ready"),
-    )
 
+    def decide(kind: Column, empty: Column) -> Column:
+        out = empty | kind.isin(*PROCEDURAL_KINDS)
+        reason = F.when(empty, F.lit("empty_target")).when(out, F.concat(F.lit("exact_procedural_pattern_"), kind)).otherwise("nonprocedural_text_retained_without_semantic_classification")
+        return F.struct(F.when(out, "procedural_only").otherwise("uncertain").alias("content_class"), reason.alias("content_reason"), (~out).alias("ready"))
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    return let(F.struct(procedure_kind(c).alias("kind"), (clean(c) == "").alias("empty")), lambda t: decide(t["kind"], t["empty"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import procedure
 from quillwork.functions.roles import is_analyst, is_operator
-from quillwork.functions.text import clean, first_reason, has, issuer_label, label, reasons, right_of_dash, speaker_key, word_count
+from quillwork.functions.text import clean, first_reason, has, issuer_label, label, let, reasons, right_of_dash, speaker_key, word_count
 
 MAX_WORDS, MIN_TAIL = 150, 50
 
@@ -28,36 +28,37 @@ def chunks(c: Column, max_words: int = MAX_WORDS, min_tail: int = MIN_TAIL) -> C
     Longer sentences are cut by words. A last chunk under ``min_tail`` words joins the one before, which may then be
     longer. The chunks joined by spaces are the cleaned text; '' has none.
     """
-    text = clean(c)
     hard = lambda s: F.transform(F.sequence(F.lit(0), F.floor((_words(s) - 1) / max_words).cast("int")), lambda k: F.array_join(F.slice(F.split(s, " "), k * max_words + 1, max_words), " "))
-    pieces = F.filter(F.flatten(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.when(_words(s) > max_words, hard(s)).otherwise(F.array(s)))), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
-    def pack(state: Column, s: Column) -> Column:
-        n = _words(s)
-        full = (state["n"] > 0) & (state["n"] + n > max_words)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            F.when(full | (state["n"] == 0), s).otherwise(F.concat_ws(" ", state["now"], s)).alias("now"),
-            F.when(full, n).otherwise(state["n"] + n).alias("n"),
-        )
+    def pack(pieces: Column, counts: Column) -> Column:
+        """The first piece of each chunk, packed over the counts alone; the texts are joined once, at the end."""
+        start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
 
-    def finish(state: Column) -> Column:
-        short = (F.size(state["done"]) > 0) & (state["n"] < min_tail)
-        last = F.element_at(state["done"], -1)
-        merged = F.concat(F.slice(state["done"], 1, F.greatest(F.size(state["done"]) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, state["now"])))
-        return F.when(short, merged).otherwise(F.concat(state["done"], F.array(state["now"])))
+        def step(state: Column, k: Column) -> Column:
+            n = F.get(counts, k)
+            fresh = (F.size(state["starts"]) == 0) | (state["n"] + n > max_words)
+            return F.struct(F.when(fresh, F.concat(state["starts"], F.array(k))).otherwise(state["starts"]).alias("starts"), F.when(fresh, n).otherwise(state["n"] + n).alias("n"))
 
-    packed = F.aggregate(pieces, start, pack, finish)
-    return F.when(text == "", F.array().cast("array<string>")).when(_words(text) <= max_words, F.array(text)).otherwise(packed)
+        def finish(state: Column) -> Column:
+            some = F.size(state["starts"])
+            return F.when((some > 1) & (state["n"] < min_tail), F.slice(state["starts"], 1, some - 1)).otherwise(state["starts"])
+
+        starts = F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, step, finish)
+        return let(starts, lambda at: F.transform(at, lambda begin, k: F.array_join(F.slice(pieces, begin + 1, F.coalesce(F.get(at, k + 1), F.size(pieces)) - begin), " ")))
+
+    def long(text: Column) -> Column:
+        sentences = F.filter(F.flatten(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.when(_words(s) > max_words, hard(s)).otherwise(F.array(s)))), lambda s: s != "")
+        return let(sentences, lambda pieces: let(F.transform(pieces, _words), lambda counts: pack(pieces, counts)))
+
+    none = F.array().cast("array<string>")
+    return let(clean(c), lambda text: F.when(text == "", none).when(_words(text) <= max_words, F.array(text)).otherwise(long(text)))
 
 
 def pre_units(turns: DataFrame, id_cols: list[str], text: str = "text_contents") -> DataFrame:
     """E-6: a row for each chunk of each presentation turn, with its decision: proposed, review or procedural."""
-    cut = turns.select(*id_cols, F.col(text).alias("__t"), F.posexplode(chunks(F.col(text))).alias("__k", "segment"))
-    decision = procedure.content_decision(F.col("segment"))
-    review = procedure.source_defects(F.col("__t"))
-    out = cut.withColumns({"d": decision, "r": review})
+    judged = turns.select(*id_cols, procedure.source_defects(F.col(text)).alias("r"), F.col(text).alias("__t"))  # once a turn, not a chunk
+    cut = judged.select(*id_cols, "r", F.posexplode(chunks(F.col("__t"))).alias("__k", "segment"))
+    out = cut.withColumn("d", procedure.content_decision(F.col("segment")))
     status = first_reason((F.size("r") > 0, "review"), (F.col("d.ready"), "proposed"), default="procedural")
     return out.select(*id_cols, (F.col("__k") + 1).alias("chunk_index"), word_count(F.col("segment")).alias("word_count"), F.col("d.content_class").alias("content_class"), F.col("d.content_reason").alias("content_reason"), F.array_join("r", ";").alias("source_review_reasons"), status.alias("unit_status"), "segment")
 

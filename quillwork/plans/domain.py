@@ -49,28 +49,31 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Exact tenures by construction: each customer's years 1995-1997 and 1998-2001 with the market segment as firm.
-TENURES_SQL = """te AS (SELECT 'CUSIP' || lpad(CAST(c_custkey % 400 AS VARCHAR), 4, '0') AS key, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE lpad(CAST(c_custkey % 200 AS VARCHAR), 4, '0') END AS gvkey, c_custkey AS execid, 1 AS tenure_episode,
-       make_date(1995 + CAST(c_custkey % 3 AS INTEGER), 1, 1) AS start_date, make_date(1998 + CAST(c_custkey % 4 AS INTEGER), 6, 30) AS end_date, CASE WHEN c_custkey % 5 = 0 THEN 'annual_flag_date_bounds' ELSE 'exact_tenure_dates' END AS normalization_status FROM customer)"""
+# Four customers share a key and eight a firm, but for some with another firm or none.
+TENURES_SQL = """te AS (SELECT 'K' || lpad(CAST(c_custkey // 4 AS VARCHAR), 8, '0') AS key, CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN 'other' ELSE lpad(CAST(c_custkey // 8 AS VARCHAR), 8, '0') END AS gvkey, c_custkey AS execid, 1 AS tenure_episode,
+       make_date(1995 + 2 * CAST(c_custkey % 4 AS INTEGER), 1, 1) AS start_date, make_date(1997 + 2 * CAST(c_custkey % 4 AS INTEGER) - CAST(c_custkey % 3 AS INTEGER) + 1, 6, 30) AS end_date,
+       CASE WHEN c_custkey % 5 = 0 THEN 'annual_flag_date_bounds' ELSE 'exact_tenure_dates' END AS normalization_status FROM customer)"""
 
 
 def tenures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenure for each customer, whose key and firm several customers share."""
+    """A tenure of each customer: those of a key follow one another, with gaps and overlaps."""
     k = F.col("c_custkey")
-    pad = lambda n: F.lpad((k % n).cast("string"), 4, "0")
-    year = lambda base, n: F.make_date((base + k % n).cast("int"), F.lit(1 if base == 1995 else 6), F.lit(1 if base == 1995 else 30))
+    pad = lambda n: F.lpad(F.floor(k / n).cast("string"), 8, "0")
+    begin = 1995 + 2 * (k % 4)
     return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("CUSIP"), pad(400)).alias("key"), F.when(k % 11 == 0, "").otherwise(pad(200)).alias("gvkey"), k.alias("execid"), F.lit(1).alias("tenure_episode"),
-        year(1995, 3).alias("start_date"), year(1998, 4).alias("end_date"), F.when(k % 5 == 0, "annual_flag_date_bounds").otherwise("exact_tenure_dates").alias("normalization_status"),
+        F.concat(F.lit("K"), pad(4)).alias("key"), F.when(k % 11 == 0, "").when(k % 7 == 0, "other").otherwise(pad(8)).alias("gvkey"), k.alias("execid"), F.lit(1).alias("tenure_episode"),
+        F.make_date(begin.cast("int"), F.lit(1), F.lit(1)).alias("start_date"), F.make_date((begin + 3 - k % 3).cast("int"), F.lit(6), F.lit(30)).alias("end_date"),
+        F.when(k % 5 == 0, "annual_flag_date_bounds").otherwise("exact_tenure_dates").alias("normalization_status"),
     )
 
 
-CALLS_SQL = "ca AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'CUSIP' || lpad(CAST(o_custkey % 450 AS VARCHAR), 4, '0') END AS key FROM orders)"
+CALLS_SQL = "ca AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'none' ELSE 'K' || lpad(CAST(o_custkey // 4 AS VARCHAR), 8, '0') END AS key FROM orders)"
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.when(F.col("o_orderkey") % 13 == 0, "").otherwise(F.concat(F.lit("CUSIP"), F.lpad((F.col("o_custkey") % 450).cast("string"), 4, "0")))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("event_date"), key.alias("key"))
+    k = F.col("o_orderkey")
+    key = F.when(k % 13 == 0, "").when(k % 17 == 0, "none").otherwise(F.concat(F.lit("K"), F.lpad(F.floor(F.col("o_custkey") / 4).cast("string"), 8, "0")))
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), F.to_date("o_orderdate").alias("event_date"), key.alias("key"))
 
 
 # Adjacent exact tenures: a firm is a nation, a person the customers of a residue, one after another every 15 months.
