@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.functions.names import ACCEPTED, best_match
+from quillwork.functions.names import ACCEPTED, best_match, relation
 from quillwork.functions.roles import is_ceo, is_special_ceo
-from quillwork.functions.text import first_reason, label, reasons, speaker_key
+from quillwork.functions.text import clean, first_reason, join_turns, label, reasons, speaker_key, word_count
 
 EPISODE = ["gvkey", "execid", "tenure_episode"]
 
@@ -94,3 +94,55 @@ def turnover_gate(pairs: DataFrame, gates: DataFrame) -> DataFrame:
     old, new = F.col("old_episode_gate_pass"), F.col("new_episode_gate_pass")
     status = first_reason((old & new, "pass_both_episodes"), (~old & ~new, "fail_both_episode_gates"), (~old, "fail_old_episode_gate"), default="fail_new_episode_gate")
     return out.withColumn("turnover_gate_status", status).withColumn("turnover_analysis_gate_pass", old & new)
+
+
+def presentation(turns: DataFrame, calls: DataFrame, audits: DataFrame) -> DataFrame:
+    """C-7, E-5: each call of ``calls`` (from ``identity``) with its shared speakers' texts by section, and the identity
+    status that also asks for a usable block audit (event_id, event_audit_status)."""
+    of = turns.join(calls.select("event_id", "shared_keys"), "event_id").filter(F.array_contains("shared_keys", speaker_key(F.col("text_name"))))
+    said = F.struct(F.col("sequence_id").cast("long").alias("k"), F.coalesce("text_contents", F.lit("")).alias("t"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("section") == s, said)))
+    texts = of.groupBy("event_id").agg(side("PRE").alias("p"), side("Q&A").alias("q"))
+    text = lambda c: join_turns(F.transform(c, lambda x: x["t"]))
+    filled = lambda c: F.transform(F.filter(c, lambda x: clean(x["t"]) != ""), lambda x: x["k"])
+    none = F.array().cast("array<struct<k:bigint,t:string>>")
+    joined = calls.select("event_id", "shared_keys", "pre_ceo_candidate_count", F.filter(F.split("identity_flags", ";"), lambda f: f != "").alias("flags")).join(texts, "event_id", "left").join(audits.select("event_id", "event_audit_status"), "event_id", "left")
+    joined = joined.withColumns({"p": F.coalesce("p", none), "q": F.coalesce("q", none), "audit": F.coalesce("event_audit_status", F.lit("missing_block_audit"))})
+    flags = F.concat("flags", F.when(F.col("audit") != "usable", F.array(F.concat(F.lit("BLOCK_AUDIT_"), F.upper("audit")))).otherwise(F.array().cast("array<string>")))
+    joined = joined.withColumns({"flags": F.array_sort(F.array_distinct(flags)), "pre_text": text("p"), "qa_text": text("q")})
+    ready = (F.size("shared_keys") == 1) & (F.size("flags") == 0)
+    status = first_reason((ready, "exact_single_shared_speaker_key"), (F.size("shared_keys") > 1, "multiple_shared_speaker_keys"), (F.col("pre_ceo_candidate_count") > 1, "review_side_multiple_ceo_candidates"), default="review_or_no_shared_speaker_key")
+    return joined.select(
+        "event_id", status.alias("identity_status"), F.array_join("flags", ";").alias("identity_flags"), ready.alias("strict_identity_ready"), F.size("p").alias("pre_ceo_turn_count"), F.size("q").alias("qa_ceo_turn_count"),
+        word_count(F.col("pre_text")).alias("pre_ceo_word_count"), word_count(F.col("qa_text")).alias("qa_ceo_word_count"), filled("p").alias("pre_sequence_ids"), filled("q").alias("qa_sequence_ids"),
+        F.col("pre_text").alias("ceo_presentation_text"), F.col("qa_text").alias("ceo_qa_text"),
+    )
+
+
+def pair_validation(rows: DataFrame) -> DataFrame:
+    """C-8: each turnover (turnover_id, turnover_side, event_id, event_date, expected_execid, expected_ceo_name,
+    external_speaker_validation_status) with the first check that it fails, or none."""
+    old = F.col("turnover_side") == "old"
+    side = lambda on, c: F.when(on, F.col(c))
+    names = lambda on: F.collect_list(side(on, "expected_ceo_name"))
+    grouped = rows.groupBy("turnover_id").agg(
+        F.array_sort(F.collect_set(F.coalesce("turnover_side", F.lit("")))).alias("sides"), F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"), F.count_if(F.col("event_id").isNull()).alias("no_event"),
+        F.count_if(~F.coalesce(F.col("external_speaker_validation_status") == "confirmed_external_ceo_shared_pre_qa", F.lit(False))).alias("unconfirmed"),
+        F.count_if(F.trim(F.coalesce(F.col("expected_execid").cast("string"), F.lit(""))) == "").alias("no_person"), F.collect_set(side(old, "expected_execid")).alias("old_ids"), F.collect_set(side(~old, "expected_execid")).alias("new_ids"),
+        names(old).alias("old_names"), names(~old).alias("new_names"), F.count_if(F.col("event_date").isNull()).alias("no_date"), F.max(side(old, "event_date")).alias("old_last"), F.min(side(~old, "event_date")).alias("new_first"),
+    )
+    alike = lambda c: F.forall(F.array_distinct(c), lambda n: relation(F.get(F.array_sort(F.array_distinct(c)), F.lit(0)), n).isin(*ACCEPTED))
+    reason = first_reason(
+        (F.col("sides") != F.array(F.lit("new"), F.lit("old")), "missing_or_invalid_old_new_sides"), ((F.col("no_event") > 0) | (F.col("events") != F.col("rows")), "missing_or_duplicate_event_identity"),
+        (F.col("unconfirmed") > 0, "unconfirmed_event_speaker"),
+        ((F.col("no_person") > 0) | (F.size("old_ids") != 1) | (F.size("new_ids") != 1) | ~alike(F.col("old_names")) | ~alike(F.col("new_names")), "missing_or_inconsistent_side_ceo_identity"),
+        (F.col("old_ids") == F.col("new_ids"), "same_executive_on_both_turnover_sides"), (F.col("no_date") > 0, "missing_or_invalid_side_dates"), (F.col("old_last") >= F.col("new_first"), "mislabelled_or_overlapping_side_dates"), default="",
+    )
+    return grouped.select("turnover_id", reason.alias("pair_review_reason")).withColumn("pair_validation_status", F.when(F.col("pair_review_reason") == "", "confirmed_both_sides").otherwise("review_or_mismatch"))
+
+
+def with_gate(found: DataFrame, gates: DataFrame, version: str) -> DataFrame:
+    """P-14: blocks with their call's gate columns."""
+    columns = ["gvkey", "execid", "tenure_episode", "expected_ceo_name", "event_date", "calendar_quarter", "external_name_match_quality", "external_speaker_validation_status"]
+    names = gates.select("event_id", *[F.col(c).alias("expected_execid" if c == "execid" else c) for c in columns if c in gates.columns], F.array_join("matched_shared_labels", "; ").alias("validated_ceo_speaker"), F.lit(version).alias("speaker_gate_version"))
+    return found.join(names, "event_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillwork.functions.text import first_reason
+from quillwork.functions.text import first_reason, word_count
 
 
 def strict_loads(text: str):
@@ -184,3 +184,53 @@ def repeat_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
 def number_attempts(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """attempt_number of each row within its key."""
     return events.withColumn("attempt_number", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def reservation_violations(attempts: DataFrame, reservations: DataFrame, requests: DataFrame) -> DataFrame:
+    """R-8: reservations of unknown requests, or whose first attempt isn't retryable for their reason; and second
+    attempts without one. ``attempts`` has custom_id, attempt_number, retryable, reason; ``reservations`` custom_id,
+    retry_reason."""
+    first = attempts.filter("attempt_number = 1").select("custom_id", "retryable", "reason")
+    held = reservations.join(requests.select("custom_id", F.lit(True).alias("known")), "custom_id", "left").join(first, "custom_id", "left")
+    why = F.when(F.col("known").isNull(), "unknown_request").when(~F.coalesce("retryable", F.lit(False)), "not_retryable").when(~F.col("retry_reason").eqNullSafe(F.col("reason")), "reason_differs")
+    bad = held.select("custom_id", why.alias("violation")).filter("violation is not null")
+    unreserved = attempts.filter("attempt_number = 2").join(reservations, "custom_id", "left_anti").select("custom_id", F.lit("second_without_reservation").alias("violation"))
+    return bad.unionByName(unreserved)
+
+
+def provenance_violations(results: DataFrame, binding: str) -> DataFrame:
+    """R-9, U-2: result rows that another run's binding made, or none."""
+    return results.filter(~F.col("run_binding_sha256").eqNullSafe(F.lit(binding))).select("custom_id", "run_binding_sha256")
+
+
+def unit_violations(units: DataFrame, requests: DataFrame) -> DataFrame:
+    """J-10, J-15: units (custom_id, text, word_count, sha256) that their request (custom_id, request_text) doesn't
+    equal, or that have none, or the reverse."""
+    joined = units.join(requests.select(F.col("custom_id").alias("r"), "request_text"), F.col("custom_id") == F.col("r"), "full_outer")
+    why = (
+        F.when(F.col("r").isNull(), "no_request").when(F.col("custom_id").isNull(), "no_unit").when(F.col("text") != F.col("request_text"), "text_differs")
+        .when(F.sha2("request_text", 256) != F.col("sha256"), "hash_differs").when(word_count(F.col("request_text")) != F.col("word_count"), "word_count_differs")
+    )
+    return joined.select(F.coalesce("custom_id", "r").alias("custom_id"), why.alias("violation")).filter("violation is not null")
+
+
+def reference_ledger(labels: DataFrame, submitted: DataFrame, revisions: DataFrame) -> DataFrame:
+    """C-15, R-13: each label (audit_id, content_class, ok, score, note) with its state, what of it is used, and whether
+    it is the submitted one (audit_id, content_class, ok, score) after the authorised revisions of classes."""
+    state = label_state(F.col("content_class"), F.col("ok"), F.col("score"), F.col("note"))
+    s = submitted.select(F.col("audit_id").alias("a"), F.col("content_class").alias("c0"), F.col("ok").alias("o0"), F.col("score").alias("s0"))
+    v = revisions.select(F.col("audit_id").alias("b"), F.col("content_class").alias("c1"))
+    joined = labels.withColumn("st", state).join(s, F.col("audit_id") == F.col("a"), "left").join(v, F.col("audit_id") == F.col("b"), "left")
+    same = F.col("a").isNotNull() & F.col("ok").eqNullSafe(F.col("o0")) & F.col("score").eqNullSafe(F.col("s0")) & F.col("content_class").eqNullSafe(F.coalesce("c1", "c0"))
+    return joined.select("audit_id", F.col("st.state").alias("reference_state"), (F.col("st.state") != "source_uninterpretable").alias("include_primary_eligibility"), (F.col("st.state") == "scored").alias("include_primary_numeric"), same.alias("as_submitted"))
+
+
+def annotation_progress(units: DataFrame, labels: DataFrame) -> DataFrame:
+    """A-26: one row of totals over units (audit_id, unit_type) and their labels (audit_id, state)."""
+    joined = units.join(labels.select("audit_id", "state"), "audit_id", "left")
+    done, scored = F.col("state").isNotNull(), F.col("state") == "scored"
+    of = lambda t: F.col("unit_type") == t
+    return joined.agg(
+        F.count("*").alias("total"), F.count_if(done).alias("reviewed"), F.count_if(scored).alias("scored"), F.count_if(F.col("state") == "source_uninterpretable").alias("source_missing"), F.count_if(F.col("state") == "procedural_only").alias("procedural_only"),
+        F.count_if(~done).alias("remaining"), *[F.count_if(of(t)).alias(f"{t}_total") for t in ("pre", "qa")], *[F.count_if(of(t) & scored).alias(f"{t}_scored") for t in ("pre", "qa")], *[F.count_if(of(t) & done).alias(f"{t}_reviewed") for t in ("pre", "qa")],
+    )

@@ -387,3 +387,32 @@ def word_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible = owned.filter("sequence_id % 4 <> 2").select("block_id")
     out = units.word_coverage(ledger, eligible)
     return out.select("event_id", "raw_ceo_qa_words", "assigned_answer_words", "unresolved_words", "eligible_answer_words", F.round("raw_qa_word_share", 9).alias("raw_qa_word_share"), F.round("answer_inclusion_coverage", 9).alias("answer_inclusion_coverage"))
+
+
+@query(
+    f"""WITH {_RUNS}, n AS (SELECT event_id, count(*) AS b FROM bl GROUP BY 1), w AS (SELECT conv_id, role, turn, {_CLEAN.format(c="text")} AS t FROM conversations WHERE role <> 'user')
+SELECT c.conv_id AS event_id, CASE WHEN pre AND qa AND b IS NOT NULL THEN 'exact_single_shared_speaker_key' ELSE 'review_or_no_shared_speaker_key' END AS identity_status,
+       concat_ws(';', CASE WHEN NOT (pre AND qa) THEN 'BLOCK_AUDIT_EXCLUDE_NO_SAME_CEO' WHEN b IS NULL THEN 'BLOCK_AUDIT_REVIEW_NO_CEO_ANSWER_TO_ANALYST_QUESTION' END, CASE WHEN NOT (pre AND qa) THEN 'NO_SHARED_PRE_QA_CEO_LABEL' END) AS identity_flags,
+       CASE WHEN pre AND qa THEN (SELECT coalesce(sum(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END), 0)::BIGINT FROM w WHERE w.conv_id = c.conv_id AND role = 'system') ELSE 0 END AS pre_ceo_word_count,
+       CASE WHEN pre AND qa THEN (SELECT coalesce(sum(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END), 0)::BIGINT FROM w WHERE w.conv_id = c.conv_id AND role <> 'system') ELSE 0 END AS qa_ceo_word_count
+FROM ({_CALLS_WITH}) c LEFT JOIN n ON n.event_id = c.conv_id"""
+)
+def presentation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-7, E-5."""
+    turns, anchors, found = _blocks(spark, sf_dir)
+    out = gate.presentation(turns, _identity(spark, sf_dir), episodes.event_audit(anchors, found))
+    return out.select("event_id", "identity_status", "identity_flags", "pre_ceo_word_count", "qa_ceo_word_count")
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS turnover_id, bool_or(o_orderstatus = 'F') AS old, bool_or(o_orderstatus = 'O') AS new, count(*) FILTER (o_orderkey % 10 = 0) AS bad, max(o_orderdate) FILTER (o_orderstatus = 'F') AS l, min(o_orderdate) FILTER (o_orderstatus = 'O') AS f FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT turnover_id, CASE WHEN NOT (old AND new) THEN 'missing_or_invalid_old_new_sides' WHEN bad > 0 THEN 'unconfirmed_event_speaker' WHEN turnover_id % 9 = 0 THEN 'same_executive_on_both_turnover_sides' WHEN l >= f THEN 'mislabelled_or_overlapping_side_dates' ELSE '' END AS pair_review_reason,
+       CASE WHEN NOT (old AND new) OR bad > 0 OR turnover_id % 9 = 0 OR l >= f THEN 'review_or_mismatch' ELSE 'confirmed_both_sides' END AS pair_validation_status FROM p"""
+)
+def pair_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-8, J-17."""
+    o, old = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'"), F.col("o_orderstatus") == "F"
+    status = F.when(F.col("o_orderkey") % 10 == 0, "other").otherwise("confirmed_external_ceo_shared_pre_qa")
+    person = F.when(old | (F.col("o_custkey") % 9 == 0), 1).otherwise(2)
+    rows = o.select(F.col("o_custkey").alias("turnover_id"), F.when(old, "old").otherwise("new").alias("turnover_side"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("event_date"), person.alias("expected_execid"), F.lit("Jane Roe").alias("expected_ceo_name"), status.alias("external_speaker_validation_status"))
+    return gate.pair_validation(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,3 +250,61 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-7."""
     rows = _evaluation(spark, sf_dir).withColumn("side", F.when(F.col("section") == "PRE", "pre").otherwise("qa"))
     return diagnostics.bootstrap(rows, "score", "side", draws=2000)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("audit_id"), F.when(good, "substantive").when(toxic, "uncertain").otherwise("procedural_only").alias("content_class"), F.when(good, 1).when(~toxic, 0).alias("ok"),
+        F.when(good, F.col("doc_id") % 5 + 1).when(~toxic, 0).alias("score"), F.lit("note").alias("note"),
+    )
+
+
+@query("""SELECT doc_id AS audit_id, CASE WHEN quality = 1 THEN 'scored' WHEN toxic = 0 THEN 'procedural_only' ELSE 'source_uninterpretable' END AS reference_state, NOT (quality = 0 AND toxic = 1) AS include_primary_eligibility, quality = 1 AS include_primary_numeric,
+       NOT (doc_id % 4 = 0 AND quality = 1 AND doc_id % 8 <> 0) AND doc_id % 5 <> 1 AS as_submitted FROM labels""")
+def reference_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-9, C-15: every fourth class was submitted otherwise, every eighth revised, every fifth row is missing."""
+    labels = _labels(spark, sf_dir)
+    other = F.when((F.col("audit_id") % 4 == 0) & (F.col("ok") == 1), "mixed").otherwise(F.col("content_class"))
+    submitted = labels.filter("audit_id % 5 <> 1").withColumn("content_class", other)
+    return scoring.reference_ledger(labels, submitted, labels.filter("audit_id % 8 = 0"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS total, count(*) AS reviewed, count(*) FILTER (quality = 1) AS scored, count(*) FILTER (quality = 0 AND toxic = 1) AS source_missing, count(*) FILTER (quality = 0 AND toxic = 0) AS procedural_only, (SELECT count(*) FROM documents) - count(*) AS remaining,
+       (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS pre_total, (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) AS qa_total, count(*) FILTER (quality = 1 AND doc_id % 2 = 0) AS pre_scored, count(*) FILTER (quality = 1 AND doc_id % 2 = 1) AS qa_scored,
+       count(*) FILTER (doc_id % 2 = 0) AS pre_reviewed, count(*) FILTER (doc_id % 2 = 1) AS qa_reviewed FROM labels JOIN documents USING (doc_id)""")
+def annotation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-26."""
+    k = F.col("doc_id")
+    units_ = table(spark, sf_dir, "documents").select(k.alias("audit_id"), F.when(k % 2 == 0, "pre").otherwise("qa").alias("unit_type"))
+    labels = _labels(spark, sf_dir)
+    states = labels.select("audit_id", scoring.label_state(F.col("content_class"), F.col("ok"), F.col("score"), F.col("note"))["state"].alias("state"))
+    return scoring.annotation_progress(units_, states)
+
+
+@query("""SELECT doc_id AS custom_id, CASE WHEN doc_id % 10 = 0 THEN 'no_request' WHEN doc_id % 7 = 0 THEN 'text_differs' ELSE 'word_count_differs' END AS violation FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0""")
+def unit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-10, J-15."""
+    k, text = F.col("doc_id"), F.col("text")
+    docs = table(spark, sf_dir, "documents")
+    units_ = docs.select(k.alias("custom_id"), "text", F.when(k % 11 == 0, -1).otherwise(word_count(text)).alias("word_count"), F.sha2(text, 256).alias("sha256"))
+    requests = docs.filter(k % 10 != 0).select(k.alias("custom_id"), F.when(k % 7 == 0, F.concat(text, F.lit("!"))).otherwise(text).alias("request_text"))
+    return scoring.unit_violations(units_, requests)
+
+
+@query("""WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 3 = 0 AS r FROM events), s AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0 UNION ALL SELECT -1), f AS (SELECT user_id, r FROM a WHERE k = 1)
+SELECT s.user_id AS custom_id, CASE WHEN s.user_id = -1 THEN 'unknown_request' ELSE 'not_retryable' END AS violation FROM s LEFT JOIN f USING (user_id) WHERE s.user_id = -1 OR NOT r UNION ALL SELECT user_id, 'second_without_reservation' FROM a WHERE k = 2 AND user_id % 2 = 1""")
+def retry_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-8."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("custom_id"), "event_id", "ts", (F.col("event_id") % 3 == 0).alias("retryable"), F.lit("inference_error").alias("reason"))
+    attempts = scoring.number_attempts(rows, ["custom_id"], ["ts", "event_id"])
+    requests = rows.select("custom_id").distinct()
+    held = requests.filter("custom_id % 2 = 0").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("custom_id"))).withColumn("retry_reason", F.lit("inference_error"))
+    return scoring.reservation_violations(attempts, held, requests)
+
+
+@query("""SELECT event_id AS custom_id, sha256(event_type) AS run_binding_sha256 FROM events WHERE event_type <> 'click'""")
+def run_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-9, U-2."""
+    results = table(spark, sf_dir, "events").select(F.col("event_id").alias("custom_id"), F.sha2("event_type", 256).alias("run_binding_sha256"))
+    return scoring.provenance_violations(results, hashlib.sha256(b"click").hexdigest())
