@@ -26,11 +26,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = join_counted(both, least, "a", 2 * edges_now).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        linked = join_counted(down, written(lowest, "lowest"), "a", edges_now)
+        lowest = written(lowest, "lowest")
+        linked = join_counted(down, lowest, "a", edges_now)
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
         after = written(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         row = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        remove(now)
+        for done in (now, least, down, lowest):
+            remove(done)
         now, edges_now = after, row.n
         if (row.n, row.h) == signature:
             break

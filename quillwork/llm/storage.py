@@ -8,15 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # by application, where the setting is unset
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (a single machine, tests), a new local folder."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillwork-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="quillwork-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

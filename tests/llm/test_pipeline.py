@@ -52,3 +52,18 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     assert sorted(df.columns) == columns
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == expected
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The session's setting, and an own local folder where there is none."""
+    from quillwork.llm import storage
+
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "CHECKPOINT_SETTING", "spark.quillwork.unset")
+    own = storage.shared_dir(spark)
+    assert own.startswith("file:///") and storage.shared_dir(spark) == own
+    df = storage.written(spark.range(3), "x")
+    assert df.count() == 3 and all(f.startswith(own) for f in df.inputFiles())
+    storage.remove(df)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        spark.read.parquet(df.inputFiles()[0]).count()
