@@ -141,28 +141,37 @@ class Cursor:
         return (following["own_firm"] + " ").startswith(firm + " ")
 
 
+_FACTS = ["speaker", "asks", "operator", "kind"]
+
+
 def segment(known: DataFrame) -> DataFrame:
-    """E-1: event_id, block_no, part (questions, context, procedural or flag), sequence_id or flag, from ``facts``.
+    """E-1: a row for each turn of each episode, from ``facts``: event_id, block_no, part (questions, context or
+    procedural), sequence_id and what is known of the turn. A flag is a row too, and so is the last operator's turn
+    before the episode (operator_before).
 
     An event's Q&A turns are walked in their order in one task: each step depends on the one before. Their texts don't
     come along.
     """
-    schema = "event_id long, block_no int, part string, sequence_id long, flag string"
+    schema = "event_id long, block_no int, part string, sequence_id long, flag string, speaker string, asks boolean, operator boolean, kind string"
+    kinds = [("event_id", pa.int64()), ("block_no", pa.int32()), ("part", pa.string()), ("sequence_id", pa.int64()), ("flag", pa.string()), ("speaker", pa.string()), ("asks", pa.bool_()), ("operator", pa.bool_()), ("kind", pa.string())]
 
     def walk(table: pa.Table) -> pa.Table:
         turns = table.sort_by("sequence_id").to_pylist()
-        cursor, out, k, number = Cursor(turns), [], 0, 0
+        cursor, out, k, number, operator = Cursor(turns), [], 0, 0, None
         while k < len(turns):
             if not turns[k]["asks"]:
+                operator = turns[k]["sequence_id"] if turns[k]["operator"] else operator
                 k += 1
                 continue
             e = cursor.episode(k)
-            k, number = e.end, number + 1
-            base = {"event_id": turns[0]["event_id"], "block_no": number, "sequence_id": None, "flag": None}
-            for part in ("questions", "context", "procedural"):
-                out += [base | {"part": part, "sequence_id": t["sequence_id"]} for t in getattr(e, part)]
+            number += 1
+            base = dict.fromkeys(n for n, _ in kinds) | {"event_id": turns[0]["event_id"], "block_no": number}
+            out += [base | {"part": part, "sequence_id": t["sequence_id"]} | {f: t[f] for f in _FACTS} for part in ("questions", "context", "procedural") for t in getattr(e, part)]
             out += [base | {"part": "flag", "flag": f} for f in sorted(e.flags)]
-        return pa.Table.from_pylist(out, pa.schema([("event_id", pa.int64()), ("block_no", pa.int32()), ("part", pa.string()), ("sequence_id", pa.int64()), ("flag", pa.string())]))
+            out.append(base | {"part": "operator_before", "sequence_id": operator})
+            operator = max([x["sequence_id"] for x in turns[k : e.end] if x["operator"]], default=operator)
+            k = e.end
+        return pa.Table.from_pylist(out, pa.schema(kinds))
 
     return known.groupBy("event_id").applyInArrow(walk, schema)
 
@@ -175,18 +184,16 @@ def blocks(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     answer as context, each with ids and text.
     """
     qa = turns.filter(F.col("section") == "Q&A").join(anchors.select("event_id", F.col("shared_labels").alias("__issuer")), "event_id", "left")
-    known = facts(qa, F.coalesce("__issuer", F.array().cast("array<string>")))
-    cut = segment(known)
-    detail = known.select("event_id", "sequence_id", "speaker", "asks", "operator", "kind").join(
-        turns.select("event_id", F.col("sequence_id").cast("long").alias("sequence_id"), label(F.col("text_name")).alias("label"), F.coalesce("text_contents", F.lit("")).alias("text")), ["event_id", "sequence_id"]
-    )
-    parts = cut.filter("part <> 'flag'").join(detail, ["event_id", "sequence_id"]).join(anchors, "event_id", "left")
+    cut = segment(facts(qa, F.coalesce("__issuer", F.array().cast("array<string>"))))
+    said = turns.select(F.col("event_id").alias("__e"), F.col("sequence_id").cast("long").alias("__s"), label(F.col("text_name")).alias("label"), F.coalesce("text_contents", F.lit("")).alias("text"))
+    parts = cut.join(said, (F.col("event_id") == F.col("__e")) & (F.col("sequence_id") == F.col("__s")), "left").join(anchors, "event_id", "left")
     ceo = F.coalesce(F.array_contains("shared_keys", F.col("speaker")), F.lit(False))
     turn = F.struct("sequence_id", "speaker", "label", "text", "asks", "operator", "kind", ceo.alias("ceo"))
-    side = lambda p: F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("turn"))))
-    grouped = parts.withColumn("turn", turn).groupBy("event_id", "block_no", "shared_keys", "shared_labels", "flags").agg(side("questions").alias("q"), side("context").alias("c"), side("procedural").alias("p"))
-    marks = cut.filter("part = 'flag'").groupBy("event_id", "block_no").agg(F.collect_set("flag").alias("walk_flags"))
-    spoken = grouped.join(marks, ["event_id", "block_no"], "left").withColumns({"all_ceo": F.filter("c", lambda t: t["ceo"])}).filter("size(all_ceo) > 0")
+    side = lambda p: F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("turn")))).alias(p[0])
+    grouped = parts.withColumn("turn", turn).groupBy("event_id", "block_no", "shared_keys", "shared_labels", "flags").agg(
+        side("questions"), side("context"), side("procedural"), F.collect_set("flag").alias("walk_flags"), F.max(F.when(F.col("part") == "operator_before", F.col("sequence_id"))).alias("operator_before")
+    )
+    spoken = grouped.withColumns({"all_ceo": F.filter("c", lambda t: t["ceo"])}).filter("size(all_ceo) > 0")
     spoken = spoken.withColumns({
         "a": F.filter("all_ceo", lambda t: t["kind"] == ""),
         "moved": F.filter("all_ceo", lambda t: t["kind"] != ""),
@@ -208,7 +215,7 @@ def blocks(turns: DataFrame, anchors: DataFrame) -> DataFrame:
         (F.size("others") > 0, "NON_CEO_MANAGEMENT_CONTEXT"),
     )
     flags = F.concat(F.coalesce("flags", empty), F.coalesce("walk_flags", empty), defect("q", "QUESTION"), defect("a", "CEO"), own, procedure.answer_flags(F.col("ceo_answer")))
-    flagged = carry_question(spoken.withColumn("block_flags", F.array_sort(F.array_distinct(flags))), known)
+    flagged = carry_question(spoken.withColumn("block_flags", F.array_sort(F.array_distinct(flags))))
     review = F.exists("block_flags", lambda f: f.endswith("_REVIEW"))
     excluded = F.arrays_overlap("block_flags", F.array(*[F.lit(f) for f in EXCLUSION_FLAGS]))
     single = F.size("shared_keys") == 1
@@ -224,17 +231,16 @@ def blocks(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-def carry_question(spoken: DataFrame, known: DataFrame) -> DataFrame:
+def carry_question(spoken: DataFrame) -> DataFrame:
     """W-11: the question of the block before, where that ended in a counter-question to the same analyst and no
     operator spoke between; with its flag."""
     order = Window.partitionBy("event_id").orderBy("block_no")
     before = F.lag(F.struct(F.array_contains("block_flags", "UNRESOLVED_CEO_COUNTERQUESTION_REVIEW").alias("open"), F.col("q")[0]["label"].alias("label"), F.col("analyst_question").alias("question"), F.element_at("c", -1)["sequence_id"].alias("end"))).over(order)
-    operators = known.filter("operator").groupBy("event_id").agg(F.collect_list("sequence_id").alias("operators"))
-    joined = spoken.withColumn("before", before).join(operators, "event_id", "left")
-    between = F.coalesce(F.exists("operators", lambda s: (s > F.col("before.end")) & (s < F.col("q")[0]["sequence_id"])), F.lit(False))
+    joined = spoken.withColumn("before", before)
+    between = F.coalesce(F.col("operator_before") > F.col("before.end"), F.lit(False))
     carried = F.coalesce(F.col("before.open") & (F.col("before.label") == F.col("q")[0]["label"]) & ~between, F.lit(False))
     flagged = F.when(carried, F.array_sort(F.array_union("block_flags", F.array(F.lit("PRECEDING_QUESTION_CONTEXT_REVIEW"))))).otherwise(F.col("block_flags"))
-    return joined.withColumn("preceding_question_context", F.when(carried, F.col("before.question")).otherwise("")).withColumn("block_flags", flagged).drop("before", "operators")
+    return joined.withColumn("preceding_question_context", F.when(carried, F.col("before.question")).otherwise("")).withColumn("block_flags", flagged).drop("before")
 
 
 def event_audit(anchors: DataFrame, found: DataFrame) -> DataFrame:

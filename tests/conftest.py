@@ -19,7 +19,7 @@ from quillwork.session import build, ship  # noqa: E402
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = build("tests", "local[4]", **{
-        "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": f"file://{folder}/warehouse",
+        "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.sql.warehouse.dir": f"file://{folder}/warehouse",
         "spark.checkpoint.dir": f"file://{folder}/checkpoints", "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")

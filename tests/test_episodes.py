@@ -31,6 +31,7 @@ EVENTS = {
     "restatement": ([(A, ASK), (CEO, "Sorry, could you repeat the question?"), (A, "The margin outlook, what is it for next year?"), (CEO, SAY)], OPENING),
     "interruption": ([(A, ASK), (CEO, SAY + " And --"), (A, "Can you --"), (CEO, SAY)], OPENING),
     "counter question": ([(A, ASK), (CEO, "You mean the gross margin for the group, or for the segment?"), (A, "The gross margin of the whole group, what would that be?"), (CEO, SAY)], OPENING),
+    "counter question, then an operator": ([(A, ASK), (CEO, "You mean the gross margin for the group, or for the segment?"), (A, ASK), (CFO, SAY), (OP, "Our next question, please."), (A, ASK), (CEO, SAY)], OPENING),
     "logistics": ([(A, ASK), (CEO, "Do you want to join?"), (A, "What is the call number?"), (CEO, SAY)], OPENING),
     "no anchor": ([(A, ASK), (CEO, SAY)], ((CFO, "Hello."),)),
     "short": ([(A, "Margins?"), (CEO, "They are fine.")], OPENING),
@@ -108,6 +109,12 @@ def test_counter_question_carries_over(by_event):
     assert "PRECEDING_QUESTION_CONTEXT_REVIEW" in rows[1].block_flags and rows[1].preceding_question_context == ASK
 
 
+def test_operator_between_ends_the_carry(by_event):
+    rows = by_event["counter question, then an operator"]
+    assert [r.question_sequence_ids for r in rows] == [[100], [105]]
+    assert "UNRESOLVED_CEO_COUNTERQUESTION_REVIEW" in rows[0].block_flags and rows[1].preceding_question_context == ""
+
+
 def test_event_statuses(found):
     _, anchors, blocks = found
     got = {r.event_id: r.event_audit_status for r in episodes.event_audit(anchors, blocks).collect()}
@@ -138,4 +145,4 @@ def test_given_roles(spark):
     rows = [(1, 1, "Q&A", "Guest One", ASK, True, False), (1, 2, "Q&A", CEO, SAY, False, False), (1, 3, "Q&A", "Someone", "Hm.", False, True), (1, 4, "Q&A", CEO, SAY, False, False)]
     turns = spark.createDataFrame(rows, "event_id long, sequence_id int, section string, text_name string, text_contents string, is_questioner boolean, is_unresolved boolean")
     got = episodes.segment(episodes.facts(turns)).collect()
-    assert {(r.part, r.sequence_id, r.flag) for r in got} == {("questions", 1, None), ("context", 2, None), ("flag", None, "UNRESOLVED_SPEAKER_BOUNDARY_REVIEW")}
+    assert {(r.part, r.sequence_id, r.flag) for r in got} == {("questions", 1, None), ("context", 2, None), ("flag", None, "UNRESOLVED_SPEAKER_BOUNDARY_REVIEW"), ("operator_before", None, None)}
