@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions import procedure
@@ -29,7 +29,8 @@ def clean_and_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH l AS (SELECT s_suppkey, s_name || ', Firm ' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN ', Research Division' ELSE '' END || ' - Analyst [' || s_suppkey || ']' AS raw FROM supplier)
 SELECT s_suppkey, regexp_replace(raw, ' \\[[0-9]+\\]$', '') AS label, {_NORM.format(c="split_part(raw, ' - ', 1)")} AS speaker_key, 'Firm ' || regexp_extract(raw, 'Firm ([0-9]+)', 1) AS affiliation,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'Research Division' ELSE 'Firm ' || regexp_extract(raw, 'Firm ([0-9]+)', 1) END AS issuer_label FROM l""".replace("\\\\", "\\")
+       CASE WHEN s_suppkey % 2 = 0 THEN 'Research Division' ELSE 'Firm ' || regexp_extract(raw, 'Firm ([0-9]+)', 1) END AS issuer_label FROM l""".replace("\\\\", "\\"),
+    name="speaker_key",
 )
 def speaker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-7, T-8."""
@@ -58,7 +59,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("text_sha256"), content_hash(F.col("lang"), F.col("text")).alias("pair_sha256"))
 
 
-@query()
+@query(name="procedure_kind")
 def procedure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-12 to T-15 and T-18 over conversation turns; look-arounds and grammars are fixture-tested."""
     t = F.col("text")
@@ -76,7 +77,8 @@ def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH n AS (SELECT doc_id, text, {_NORM.format(c="text")} AS n FROM documents)
-SELECT doc_id, text LIKE '%?%' OR regexp_matches(' ' || n || ' ', ' (what|when|where|why|how|could|can you|would you|do you|talk about|tell us|give us|help me|help us|wondering|curious|walk us|explain|quantify) ') AS candidate FROM n"""
+SELECT doc_id, text LIKE '%?%' OR regexp_matches(' ' || n || ' ', ' (what|when|where|why|how|could|can you|would you|do you|talk about|tell us|give us|help me|help us|wondering|curious|walk us|explain|quantify) ') AS candidate FROM n""",
+    name="question_candidate",
 )
 def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-17; the tables have no whole-passage procedure."""
@@ -354,22 +356,29 @@ def call_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).select("event_id", "proposed_pre_words", "primary_qa_words", "candidate_qa_words", "unassigned_ceo_qa_words", "primary_call_candidate", "management_context_call_candidate", "qa_coverage_call_candidate", "call_decision_reason")
 
 
-@query(
-    """WITH c AS (SELECT o_orderkey AS e, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS gvkey, o_custkey AS execid, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS q, o_orderstatus = 'F' AS p, o_orderstatus <> 'O' AS m, o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AS v FROM orders JOIN customer ON c_custkey = o_custkey),
-g AS (SELECT gvkey, execid, execid % 4 <> 0 AS gate, count(*) FILTER (p) AS pc, count(DISTINCT q) FILTER (p) AS pq, count(*) FILTER (m) AS mc, count(DISTINCT q) FILTER (m) AS mq, count(*) FILTER (v) AS vc, count(DISTINCT q) FILTER (v) AS vq FROM c GROUP BY 1, 2)
-SELECT gvkey, execid, pc AS primary_calls, pq AS primary_quarters, gate AND pc >= 5 AND pq >= 5 AS primary_episode_candidate, CASE WHEN gate AND pc >= 5 AND pq >= 5 THEN 'meets_support' WHEN NOT gate THEN 'speaker_episode_gate_failed' ELSE 'insufficient_paired_calls_or_distinct_quarters' END AS primary_reason,
-       mc AS management_context_calls, gate AND mc >= 5 AND mq >= 5 AS management_context_episode_candidate, vc AS qa_coverage_calls, gate AND vc >= 5 AND vq >= 5 AS qa_coverage_episode_candidate FROM g"""
-)
-def lane_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-16."""
+_LANES = """WITH c AS (SELECT o_orderkey AS e, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS gvkey, o_custkey AS execid, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS q, o_orderstatus = 'F' AS p, o_orderstatus <> 'O' AS m, o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AS v FROM orders JOIN customer ON c_custkey = o_custkey),
+g AS (SELECT gvkey, execid, execid % 4 <> 0 AS gate, count(*) FILTER (p) AS pc, count(DISTINCT q) FILTER (p) AS pq, count(*) FILTER (m) AS mc, count(DISTINCT q) FILTER (m) AS mq, count(*) FILTER (v) AS vc, count(DISTINCT q) FILTER (v) AS vq FROM c GROUP BY 1, 2)"""
+
+
+def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     status, day = F.col("o_orderstatus"), F.col("o_orderdate")
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     calls = joined.select(
-        F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("gvkey"), F.col("o_custkey").alias("execid"), F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string")).alias("calendar_quarter"),
+        F.col("o_orderkey").alias("event_id"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("gvkey"), F.col("o_custkey").alias("execid"), F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string")).alias("calendar_quarter"),
         (status == "F").alias("primary_call_candidate"), (status != "O").alias("management_context_call_candidate"), ((F.col("o_orderpriority") == "1-URGENT") & (status == "F")).alias("qa_coverage_call_candidate"),
     )
     tenures = calls.select("gvkey", "execid").distinct().withColumn("episode_analysis_gate_pass", F.col("execid") % 4 != 0)
-    out = units.lane_support(calls, tenures, ["gvkey", "execid"])
+    return calls, units.lane_support(calls, tenures, ["gvkey", "execid"])
+
+
+@query(
+    f"""{_LANES}
+SELECT gvkey, execid, pc AS primary_calls, pq AS primary_quarters, gate AND pc >= 5 AND pq >= 5 AS primary_episode_candidate, CASE WHEN gate AND pc >= 5 AND pq >= 5 THEN 'meets_support' WHEN NOT gate THEN 'speaker_episode_gate_failed' ELSE 'insufficient_paired_calls_or_distinct_quarters' END AS primary_reason,
+       mc AS management_context_calls, gate AND mc >= 5 AND mq >= 5 AS management_context_episode_candidate, vc AS qa_coverage_calls, gate AND vc >= 5 AND vq >= 5 AS qa_coverage_episode_candidate FROM g"""
+)
+def lane_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-16."""
+    out = _lanes(spark, sf_dir)[1]
     return out.select("gvkey", "execid", "primary_calls", "primary_quarters", "primary_episode_candidate", "primary_reason", "management_context_calls", "management_context_episode_candidate", "qa_coverage_calls", "qa_coverage_episode_candidate")
 
 
@@ -416,3 +425,17 @@ def pair_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = F.when(old | (F.col("o_custkey") % 9 == 0), 1).otherwise(2)
     rows = o.select(F.col("o_custkey").alias("turnover_id"), F.when(old, "old").otherwise("new").alias("turnover_side"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("event_date"), person.alias("expected_execid"), F.lit("Jane Roe").alias("expected_ceo_name"), status.alias("external_speaker_validation_status"))
     return gate.pair_validation(rows)
+
+
+@query(
+    f"""{_LANES}, s AS (SELECT gvkey, execid, gate AND pc >= 5 AND pq >= 5 AS ok FROM g), t AS (SELECT gvkey, execid AS o, lead(execid) OVER (PARTITION BY gvkey ORDER BY execid) AS n FROM g),
+p AS (SELECT t.* FROM t JOIN s a ON a.gvkey = t.gvkey AND a.execid = o AND a.ok JOIN s b ON b.gvkey = t.gvkey AND b.execid = n AND b.ok WHERE o % 3 <> 0), m AS (SELECT gvkey, o AS execid FROM p UNION SELECT gvkey, n FROM p)
+SELECT e AS event_id, gvkey, execid FROM c JOIN m USING (gvkey, execid) WHERE c.p"""
+)
+def lane_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-20: calls of the primary lane in turnovers that pass."""
+    calls, support = _lanes(spark, sf_dir)
+    order = Window.partitionBy("gvkey").orderBy("execid")
+    pairs = support.select("gvkey", F.col("execid").alias("old_execid"), F.lit(1).alias("old_tenure_episode"), F.lead("execid").over(order).alias("new_execid"), F.lit(1).alias("new_tenure_episode"), (F.col("execid") % 3 != 0).alias("turnover_analysis_gate_pass"))
+    one = lambda df: df.withColumn("tenure_episode", F.lit(1))
+    return units.lane_members(one(calls), pairs, one(support), "primary").select("event_id", "gvkey", "execid")

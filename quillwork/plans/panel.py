@@ -178,6 +178,13 @@ def tenure_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenure.episodes(domain.roster(spark, sf_dir))
 
 
+@query(f"WITH {_DATED} SELECT gvkey, execid, tenure_episode, end_date AS annual_end, ns AS end_date FROM t WHERE take")
+def tenure_end_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-4: the ends that the next episode's start replaces."""
+    found = tenure.episodes(domain.roster(spark, sf_dir)).filter(F.col("end_date_source") == tenure.END_NEXT)
+    return found.select("gvkey", "execid", "tenure_episode", F.make_date("last_year", F.lit(12), F.lit(31)).alias("annual_end"), "end_date")
+
+
 _COVER = f"""{domain.TENURES_SQL}, {domain.CALLS_SQL}, j AS (SELECT ca.event_id, ca.event_date, ca.key, te.key AS k2, te.gvkey, te.execid, te.normalization_status AS st, event_date BETWEEN start_date AND end_date AS cov FROM ca LEFT JOIN te ON ca.key = te.key AND ca.key <> ''),
 g AS (SELECT event_id, event_date, key, count(k2) AS cands, count(DISTINCT gvkey) AS gv, count(*) FILTER (gvkey = '') AS blank, min(gvkey) AS any_gv, count(*) FILTER (cov) AS covering, min(execid) FILTER (cov) AS ex, min(st) FILTER (cov) AS st FROM j GROUP BY 1, 2, 3),
 i AS (SELECT *, CASE WHEN key = '' THEN 'no_ccts_cusip' WHEN cands = 0 THEN 'no_execucomp_cusip8_match' WHEN blank > 0 THEN 'review_missing_execucomp_gvkey' WHEN gv = 1 THEN 'exact_cusip8_single_gvkey' ELSE 'ambiguous_cusip8_multiple_gvkeys' END AS issuer_match_status FROM g),

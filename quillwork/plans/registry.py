@@ -12,13 +12,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name, with SQL that gives the same rows where there is any."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name (or another), with SQL that gives the same rows where there is any."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return register
