@@ -14,7 +14,7 @@ from quillwork.llm.arrow import texts
 
 WINDOW_BYTES = 16
 RADIUS_WORDS = 3
-MAX_WORDS = 64
+MAX_WORDS = 24
 MIN_RUN_WORDS = 16
 
 
@@ -46,8 +46,9 @@ def chunk_words(part: list[list[bytes]]) -> list[np.ndarray]:
     """For each text, given as words, the number of its first word in each chunk.
 
     A chunk ends after a word at whose end the gear hash is lower than at the RADIUS_WORDS words on either side (the
-    first of equals), so cuts depend on nearby text only and an insertion moves those next to it at most. A chunk of
-    over MAX_WORDS words is cut again every MAX_WORDS words.
+    first of equals), so cuts depend on nearby text only and an insertion moves those next to it at most. A run of
+    one repeated word has no lowest place: it is cut where its hashes begin to be equal. A chunk of over MAX_WORDS words
+    is cut again every MAX_WORDS words.
     """
     blob = (b"\0" * WINDOW_BYTES).join(b" ".join(ws) for ws in part)
     hashes = gear(np.frombuffer(blob, np.uint8)) if blob else np.zeros(0, np.uint16)
@@ -64,6 +65,8 @@ def chunk_words(part: list[list[bytes]]) -> list[np.ndarray]:
         for k in range(1, min(RADIUS_WORDS, len(ws) - 1) + 1):
             cut[k:] &= low[k:] < low[:-k]
             cut[:-k] &= low[:-k] <= low[k:]
+        level = np.r_[False, low[1:] == low[:-1]]
+        cut |= level & ~np.r_[False, level[:-1]]
         first = np.r_[0, np.flatnonzero(cut[:-1]) + 1]
         size = np.diff(np.r_[first, len(ws)])
         if size.max() > MAX_WORDS:
