@@ -15,7 +15,7 @@ from quillwork.llm.arrow import texts
 WINDOW_BYTES = 16
 RADIUS_WORDS = 3
 MAX_WORDS = 24
-MIN_RUN_WORDS = 16
+MIN_RUN_WORDS = 20
 
 
 def _gear_table() -> np.ndarray:
