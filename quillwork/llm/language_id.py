@@ -229,7 +229,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200, segments: int = 8, epochs: int = 4, penalty: float = 1e-4, seed: int = 17) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 150, segments: int = 4, epochs: int = 4, penalty: float = 1e-4, seed: int = 17) -> DataFrame:
     """id, held_out, lang_pred and score of every row of ``docs``.
 
     The model learns from rows with a language whose crc32 of the id is not 0 modulo 5, at most ``docs_per_language``
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def keep_identified(docs: DataFrame, *, text_col: str = "text", min_score: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and a score of at least ``min_score``. All columns stay."""
     id_col, lang_col = options.pop("id_col", "doc_id"), options.pop("lang_col", "lang")
-    settings = {"docs_per_language": 200, "segments": 8, "epochs": 4, "penalty": 1e-4, "seed": 17} | options
+    settings = {"docs_per_language": 150, "segments": 4, "epochs": 4, "penalty": 1e-4, "seed": 17} | options
     model = fit(training_rows(docs, id_col), text_col, lang_col, id_col, **settings)
     at = docs.columns.index(text_col)
 
