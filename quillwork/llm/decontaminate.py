@@ -121,29 +121,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     words; repeated rows get the same answer, and null ids are a document for each text; null item ids count as items
     that have no name. No items, or none that occurs: nothing is hit, and items_sha256 is that of the empty string.
     """
+    return judge(docs, items, id_col=id_col, text_col=text_col, share=share, broadcast_rows=broadcast_rows, **options).drop("of").withColumnRenamed("id", id_col)
+
+
+def judge(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, share: int, broadcast_rows: int, **options) -> DataFrame:
+    """``decontaminate`` by id and of, the hash of the text."""
     found = candidates(docs, items, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
     grouped = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("places"))
     places = F.broadcast(grouped) if found.count() <= broadcast_rows else grouped
     texts = documents(docs, id_col, text_col)
-    joined = texts.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left").select("id", raw_words(F.col("text")).alias("w"), "places")
+    joined = texts.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left").select("id", "of", raw_words(F.col("text")).alias("w"), "places")
     cut = lambda p: F.transform(F.slice("w", p["start"] + 1, p["size"]), lambda x: F.translate(x, UPPER, LOWER))
     exact = F.filter("places", lambda p: phrase_id(cut(p)) == p["phrase"])
     empty = F.array().cast("array<struct<start:int,size:int,phrase:bigint,items:array<bigint>>>")
-    hits = joined.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.col("places").isNull(), empty).otherwise(exact).alias("hits"))
+    hits = joined.select("id", "of", F.size("w").cast("long").alias("n_words"), F.when(F.col("places").isNull(), empty).otherwise(exact).alias("hits"))
     spans = F.array_sort(F.transform("hits", lambda p: F.struct(p["start"].alias("a"), (p["start"] + p["size"]).alias("b"))))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
     union = F.aggregate(spans, zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
     named = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda p: p["items"]))), lambda i: i.cast("string")))
-    out = hits.select(F.col("id").alias(id_col), "n_words", union["sum"].cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
+    out = hits.select("id", "of", "n_words", union["sum"].cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 20, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The rows of ``docs`` that ``decontaminate`` doesn't call contaminated; all columns stay."""
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)).alias("key"), F.col(id_col), F.col(text_col))
-    judged = decontaminate(keyed, items, id_col="key", text_col=text_col, **options)
-    bad = judged.filter("contaminated").select(F.col("key").alias("__bad")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)) == F.col("__bad"), "left_anti")
+    judged = judge(docs, items, id_col=id_col, text_col=text_col, share=share, broadcast_rows=broadcast_rows, **options)
+    bad = judged.filter("contaminated").select(F.col("id").alias("__id"), F.col("of").alias("__of")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__of")), "left_anti")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", lists: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
