@@ -10,11 +10,14 @@ from quillwork.llm.storage import written
 
 _HEX_DIGITS = 13
 BROADCAST_SOURCES = 20_000
+#: exp(-rate) is a normal double up to here; a higher rate is drawn in equal parts.
+PART_RATE = 700.0
+COPIES_AT_ONCE = 1000
 
 
-def uniform(doc_id: Column, seed: int, salt: str) -> Column:
-    """A number in [0, 1) from the MD5 of the seed, a salt and the id, the same on every run and engine."""
-    text = F.concat_ws("|", F.lit(f"{seed}|{salt}"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, seed: int, salt: str, *more: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the seed, a salt, the id and more, the same on every run and engine."""
+    text = F.concat_ws("|", F.lit(f"{seed}|{salt}"), F.coalesce(doc_id.cast("string"), F.lit("null")), *more)
     return F.conv(F.substring(F.md5(text), 1, _HEX_DIGITS), 16, 10).cast("long").cast("double") / float(1 << (4 * _HEX_DIGITS))
 
 
@@ -49,26 +52,46 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["sums"])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, seed: int = 7, max_rate: float = 500.0) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, seed: int = 7, max_rate: float | None = None) -> DataFrame:
     """Every row of ``docs`` as often as its draw says (0 times or more), with ``copy`` (from 1) and ``shuffle_key``.
 
     The draw inverts the Poisson distribution whose mean is the source's rate at a number hashed from seed and id, so
-    it needs no state, and a lost task draws the same again. Rows go to random partitions and stand there in random
-    order: the hash of seed, id and copy decides both. Rows that repeat an id share its draw; null ids do too. An
-    empty table gives no rows. Rates above ``max_rate`` are refused: exp(-rate) would be 0. Columns named like the two
-    new ones or starting with __ are replaced.
+    it needs no state, and a lost task draws the same again. A rate above PART_RATE is split into equal parts under it;
+    the sum of the parts' independent draws has the same distribution. Rows go to random partitions and stand there in
+    random order: the hash of seed, id and copy decides both. Rows that repeat an id share its draw; null ids do too.
+    An empty table gives no rows. Any rate is drawn; only a caller who gives ``max_rate`` has rates above it refused.
+    Columns named like the two new ones or starting with __ are replaced.
     """
-    of_source = rates(docs, source_col, weights).withColumn("rate", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a source's repetition rate is above max_rate"))))
-    table = of_source.select(F.col("source").alias("__source"), cumulative(F.col("rate")).alias("__sums"), "n")
+    of_source = rates(docs, source_col, weights)
+    if max_rate is not None:
+        of_source = of_source.withColumn("rate", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a source's repetition rate is above max_rate"))))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("long")
+    table = of_source.select(F.col("source").alias("__source"), parts.alias("__parts"), cumulative(F.col("rate") / parts).alias("__sums"), "n")
     named = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    rows = of_source.agg(F.count("*").alias("sources"), F.sum("n").alias("rows")).first()
-    if rows.sources <= BROADCAST_SOURCES:
-        joined = named.join(F.broadcast(table.drop("n")), "__source")
-    else:
-        joined = join_counted(named, table, "__source", rows.rows)
+    rows = of_source.agg(F.count("*").alias("sources"), F.sum("n").alias("rows"), F.max("rate").alias("most")).first()
+
+    def joined(part: DataFrame) -> DataFrame:
+        if rows.sources <= BROADCAST_SOURCES:
+            return named.join(F.broadcast(part.drop("n")), "__source")
+        return join_counted(named, part, "__source", rows.rows)
+
+    in_parts = (rows.most or 0.0) > PART_RATE
     u = uniform(F.col(id_col), seed, "count")
     times = F.size(F.filter("__sums", lambda x: x <= F.col("__u")))
-    counted = joined.withColumn("__u", u).withColumn("__times", times).filter("__times > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__source", "__sums", "__u", "__times")
+    counted = joined(table.filter("__parts = 1") if in_parts else table).withColumn("__u", u).withColumn("__times", times).filter("__times > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__source", "__parts", "__sums", "__u", "__times")
+    if in_parts:
+        copies = copies.unionByName(_many_copies(joined(table.filter("__parts > 1")), id_col, seed))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def _many_copies(joined: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """The copies of rows whose rate is in several parts; those of one row are dealt to tasks COPIES_AT_ONCE at a time."""
+    us = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__parts")), lambda k: uniform(F.col(id_col), seed, "count", k.cast("string")))
+    times = F.aggregate(us, F.lit(0).cast("long"), lambda n, u: n + F.size(F.filter("__sums", lambda x: x <= u)))
+    starts = F.when(F.col("__times") > 0, F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(COPIES_AT_ONCE).cast("long")))
+    begun = joined.withColumn("__times", times).drop("__source", "__parts", "__sums").withColumn("__start", F.explode(starts))
+    dealt = begun.repartition(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(id_col), F.col("__start"))
+    numbers = F.sequence(F.col("__start") + 1, F.least(F.col("__start") + COPIES_AT_ONCE, F.col("__times")))
+    return dealt.withColumn("copy", F.explode(numbers.cast("array<int>"))).drop("__times", "__start")

@@ -64,3 +64,30 @@ def test_cumulative_sums(spark):
 def test_plan_has_no_python(spark, sf_dir):
     plan = mixing.mix(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_high_rates_are_drawn(spark):
+    """A source of a few rows among many (rate over 700) keeps its weight, and all others theirs; none fails."""
+    rows = [(i, "t", "en", f"s{i % 3}") for i in range(30000)] + [(-1, "t", "en", None), (-2, "t", "en", "rare"), (-3, "t", "en", "rare"), (-4, "t", "en", "rare")]
+    mixed = mixing.mix(documents(spark, rows))
+    assert mixed.schema["copy"].dataType.simpleString() == "int"
+    got = mixed.select("doc_id", "copy", "source", "shuffle_key").collect()
+    assert len({r.shuffle_key for r in got}) == len(got)
+    target = len(rows) / 5
+    assert all(abs(k - target) < 5 * math.sqrt(target) for k in Counter(r.source for r in got).values())
+    times = {i: sorted(r.copy for r in got if r.doc_id == i) for i in (-1, -2, -3, -4)}
+    assert all(t == list(range(1, len(t) + 1)) for t in times.values())
+    assert len({len(times[i]) for i in (-2, -3, -4)}) > 1
+    again = mixing.mix(documents(spark, rows).repartition(5)).select("doc_id", "copy", "source", "shuffle_key").collect()
+    assert sorted(r.shuffle_key for r in again) == sorted(r.shuffle_key for r in got)
+
+
+def test_high_rates_follow_a_poisson_law(spark):
+    """1,000 rows of rate 1,500: mean and variance of their draws are those of the law."""
+    docs = spark.range(1000).selectExpr("id as doc_id", "'rare' as source")
+    table = spark.range(1).select(F.lit("rare").alias("source"), F.lit(3).cast("long").alias("__parts"), mixing.cumulative(F.lit(500.0)).alias("__sums"))
+    joined = docs.join(table.withColumnRenamed("source", "__source"), F.col("source") == F.col("__source"))
+    times = [r["count"] for r in mixing._many_copies(joined, "doc_id", 7).groupBy("doc_id").count().collect()]
+    mean = sum(times) / 1000
+    assert len(times) == 1000 and abs(mean - 1500) < 5 * math.sqrt(1.5)
+    assert abs(sum((t - mean) ** 2 for t in times) / 999 - 1500) < 5 * 1500 * math.sqrt(2 / 999)
