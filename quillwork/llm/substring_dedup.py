@@ -14,6 +14,7 @@ from quillwork.llm.arrow import texts
 
 WINDOW_BYTES = 16
 RADIUS_WORDS = 3
+RUN_WORDS = 2 * RADIUS_WORDS  # a multiple of every cycle of RADIUS_WORDS words or fewer
 MAX_WORDS = 24
 MIN_RUN_WORDS = 20
 
@@ -45,10 +46,12 @@ def gear(codes: np.ndarray) -> np.ndarray:
 def chunk_words(part: list[list[bytes]]) -> list[np.ndarray]:
     """For each text, given as words, the number of its first word in each chunk.
 
-    A chunk ends after a word at whose end the gear hash is lower than at the RADIUS_WORDS words on either side (the
-    first of equals), so cuts depend on nearby text only and an insertion moves those next to it at most. A run of
-    one repeated word has no lowest place: it is cut where its hashes begin to be equal. A chunk of over MAX_WORDS words
-    is cut again every MAX_WORDS words.
+    A chunk ends after a word at whose end the gear hash is lowest among the RADIUS_WORDS words on either side, so cuts
+    depend on nearby text only and an insertion moves those next to it at most. Of equals that follow each other
+    within RADIUS_WORDS, as in a run that repeats a cycle of one to three words, the first counts and then every one at
+    a multiple of RUN_WORDS words, so that the chunks of such a run are alike wherever it begins. Where no cut is
+    within RUN_WORDS words, a hash that is lower than its two neighbours is one. A chunk that is still over MAX_WORDS
+    words is cut every MAX_WORDS words.
     """
     blob = (b"\0" * WINDOW_BYTES).join(b" ".join(ws) for ws in part)
     hashes = gear(np.frombuffer(blob, np.uint8)) if blob else np.zeros(0, np.uint16)
@@ -63,11 +66,17 @@ def chunk_words(part: list[list[bytes]]) -> list[np.ndarray]:
         base += int(ends[-1]) - 1 + WINDOW_BYTES
         cut = np.ones(len(ws), bool)
         for k in range(1, min(RADIUS_WORDS, len(ws) - 1) + 1):
-            cut[k:] &= low[k:] < low[:-k]
+            cut[k:] &= low[k:] <= low[:-k]
             cut[:-k] &= low[:-k] <= low[k:]
-        level = np.r_[False, low[1:] == low[:-1]]
-        cut |= level & ~np.r_[False, level[:-1]]
-        first = np.r_[0, np.flatnonzero(cut[:-1]) + 1]
+        at = np.flatnonzero(cut)
+        head = np.r_[True, (np.diff(at) > RADIUS_WORDS) | (low[at[1:]] != low[at[:-1]])]
+        at = at[(at - np.maximum.accumulate(np.where(head, at, 0))) % RUN_WORDS == 0]
+        weak = np.flatnonzero(np.r_[False, (low[1:-1] < low[:-2]) & (low[1:-1] <= low[2:]), False]) if len(ws) > 2 else at[:0]
+        near = np.r_[-len(ws) - RUN_WORDS, at, 2 * len(ws) + RUN_WORDS]
+        after = np.searchsorted(near, weak)
+        weak = weak[(near[after] - weak > RUN_WORDS) & (weak - near[after - 1] > RUN_WORDS)]
+        at = np.union1d(at, weak)
+        first = np.r_[0, at[at < len(ws) - 1] + 1]
         size = np.diff(np.r_[first, len(ws)])
         if size.max() > MAX_WORDS:
             pieces = -(-size // MAX_WORDS)
@@ -180,7 +189,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A chunk repeats if an earlier one (by id, null last, then position) has its digest. Consecutive repeated chunks of
     ``min_run_words`` words in all are a repeated passage, and go with the space after them; shorter runs are chance
-    and stay. The first copy of each passage stays whole. Chunks are of whole texts; words are compared exactly, the
+    and stay. The first copy of each passage stays whole, but for what repeats inside it (a run of one cycle keeps its
+    first chunks). Chunks are of whole texts; words are compared exactly, the
     space between them is not. Null texts stay null, empty ones empty. Rows with the same id and text count as one
     document and get the same answer; null ids are one document for each text.
     """

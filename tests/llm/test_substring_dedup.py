@@ -96,3 +96,37 @@ def test_many_copies_over_batches(spark):
     out = substring_dedup.deduplicate(documents(spark, rows).repartition(23)).collect()
     assert sum(line in r.text for r in out) == 1
     assert all(r._n_removed >= 40 for r in out if r.doc_id != 0)
+
+
+def test_passages_of_one_cycle_go(spark):
+    """51 words that cycle through one to three go from the second document, whatever stands around them."""
+    rng = random.Random(11)
+    rows, own = [], {}
+    for k in range(120):
+        unit = words(rng, 1 + k % 3)
+        passage = [unit[(k + j) % len(unit)] for j in range(51)]
+        for i in (2 * k, 2 * k + 1):
+            before, after = words(rng, rng.randrange(5, 80)), words(rng, rng.randrange(5, 80))
+            own[i] = (before, after)
+            rows.append((i, " ".join(before + passage + after), "en", "a"))
+    out = {r.doc_id: r for r in substring_dedup.deduplicate(documents(spark, rows)).collect()}
+    assert all(out[2 * k + 1]._n_removed >= 30 for k in range(120))
+    for i, (before, after) in own.items():
+        left = out[i].text.split()
+        assert left[: len(before)] == before and left[-len(after) :] == after
+        assert len(left) > len(before) + len(after) or i % 2
+
+
+def test_cuts_in_a_cycle_do_not_depend_on_the_text_before():
+    rng = random.Random(12)
+    for k in range(300):
+        unit = words(rng, 1 + k % 3)
+        body = [unit[j % len(unit)] for j in range(60)]
+        chunks = []
+        for n in (0, rng.randrange(1, 60)):
+            text = [w.encode() for w in words(rng, n) + body]
+            first = substring_dedup.chunk_words([text])[0]
+            bounds = [int(b) for b in first if n + 15 <= b <= n + 45]
+            assert len(bounds) >= 4
+            chunks.append({tuple(text[a:b]) for a, b in zip(bounds, bounds[1:])})
+        assert chunks[0] == chunks[1]
