@@ -59,6 +59,40 @@ def capped_selection(rows: list[dict], targets: dict[str, int], seed: int, lane:
     return out
 
 
+def select_capped(df: DataFrame, targets: dict[str, int], seed: int, lane: str, caps: dict[str, int], batch: int = 1000) -> list[dict]:
+    """L-4 as in ``capped_selection``, over a table of any size (event_id, stratum and the capped columns).
+
+    A value whose cap is reached stays so, hence the rows that a walk skips are those that a filter on the full values
+    and the taken events leaves out. The driver fetches the first ``batch`` of what the filter lets through, walks
+    them, and goes on with the values that are full by then; each round takes a row at least. Full values are no more
+    than rows taken.
+    """
+    used, taken, out = {c: Counter() for c in caps}, set(), []
+    keyed = df.withColumn("__key", stable_key(seed, lane, F.col("event_id")))
+    for stratum, target in targets.items():
+        room = target
+        while room:
+            open_rows = keyed.filter(F.col("stratum") == stratum)
+            for column, values in [("event_id", taken), *((c, {v for v, n in used[c].items() if n >= cap}) for c, cap in caps.items())]:
+                known = [v for v in values if v is not None]
+                if known:
+                    open_rows = open_rows.filter(F.col(column).isNull() | ~F.col(column).isin(known))
+                if None in values:
+                    open_rows = open_rows.filter(F.col(column).isNotNull())
+            found = [r.asDict() for r in open_rows.orderBy("__key", "event_id", *caps).limit(batch).collect()]
+            before = room
+            for row in found:
+                if room and row["event_id"] not in taken and all(used[c][row[c]] < cap for c, cap in caps.items()):
+                    taken.add(row["event_id"])
+                    for c in caps:
+                        used[c][row[c]] += 1
+                    out.append({c: v for c, v in row.items() if c != "__key"})
+                    room -= 1
+            if room == before or (room and len(found) < batch):
+                raise ValueError(f"{room} of {target} are missing for {stratum}")
+    return out
+
+
 def sampling_bucket(unit_type: Column, words: Column) -> Column:
     """L-5: length buckets of units."""
     pre = F.when(words < 100, "pre_short_lt100").otherwise("pre_long_ge100")

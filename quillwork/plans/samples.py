@@ -29,10 +29,9 @@ def stratum_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L-4 over a candidate table of 2,000 in hash order; caps and targets are tested."""
+    """L-4 over all orders; caps and targets are tested."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("stratum"), F.col("o_custkey").alias("exec"), (F.col("o_custkey") % 50).alias("company"))
-    candidates = [r.asDict() for r in sampling.hash_sample(orders, SEED, "candidates", "event_id", 2000).drop("sample_key", "sample_rank").collect()]
-    chosen = sampling.capped_selection(candidates, {"F": 8, "O": 8, "P": 4}, SEED, "calls", {"exec": 2, "company": 3})
+    chosen = sampling.select_capped(orders, {"F": 8, "O": 8, "P": 4}, SEED, "calls", {"exec": 2, "company": 3})
     return spark.createDataFrame(chosen, "event_id long, stratum string, exec long, company long")
 
 

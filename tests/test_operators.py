@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import stats
 from quillwork.operators import census, contracts, coverage, diagnostics, gate, sampling, scoring, tenure, turnover, units
+from quillwork.plans import samples
 
 
 def test_waterfall_counts_and_limits(spark):
@@ -207,6 +208,26 @@ def test_capped_selection():
         sampling.capped_selection(rows, {"a": 9}, 1, "lane", {"exec": 2})
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_select_capped_walks_the_whole_table(spark, batch):
+    """The same rows in the same order as the walk over all rows, where caps skip many; nulls are a value."""
+    rows = [{"event_id": k, "stratum": "aab"[k % 3], "exec": None if k % 7 == 0 else k % 5, "company": k % 4 or None} for k in range(300)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "event_id long, stratum string, exec long, company long")
+    caps = {"exec": 2, "company": 3}
+    assert sampling.select_capped(df, {"b": 4, "a": 5}, 1, "lane", caps, batch) == sampling.capped_selection(rows, {"b": 4, "a": 5}, 1, "lane", caps)
+    with pytest.raises(ValueError, match="missing for a"):
+        sampling.select_capped(df, {"b": 4, "a": 9}, 1, "lane", caps, batch)
+
+
+def test_capped_selection_query_reads_all_orders(spark, tmp_path):
+    """A stratum whose rows are rare among 6,000 orders is still filled, as the walk over all of them says."""
+    rows = [{"event_id": k, "stratum": "P" if k % 1200 == 0 else "FO"[k % 2], "exec": k % 997, "company": k % 997 % 50} for k in range(6000)]
+    orders = spark.createDataFrame([(r["event_id"], r["stratum"], r["exec"]) for r in rows], "o_orderkey long, o_orderstatus string, o_custkey long")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    expected = sampling.capped_selection(rows, {"F": 8, "O": 8, "P": 4}, samples.SEED, "calls", {"exec": 2, "company": 3})
+    assert [r.asDict() for r in samples.capped_selection(spark, str(tmp_path)).collect()] == expected
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 7, 12, 40])
 def test_spread_sample(spark, n):
     rng = random.Random(n)
