@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.arrow import texts
@@ -147,17 +147,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return joined.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each component, that with the smallest id; all columns stay. Of rows that repeat this id, one stays.
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = True, **options) -> DataFrame:
+    """One row of each component, the first by id (null last) and hash of the text; all columns stay.
 
-    Components with no id at all keep all their rows: they cannot be told apart from each other.
+    Of rows that repeat id and text, one stays. With ``one_per_id``, so does one of the representatives that share an
+    id and differ in text (of null ids, all); without, each of them stays. Columns starting with __ are replaced.
     """
-    classes = near_duplicates(docs, id_col=id_col, **options)
-    gone = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy(id_col).count().filter(f"count > 1 and `{id_col}` is not null").select(F.col(id_col).alias("__again"))
-    if repeated.isEmpty():
-        return kept
-    repeated = written(repeated, "repeated-ids")
-    once = kept.join(repeated, F.col(id_col) == F.col("__again"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
+    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__of", F.xxhash64(text_col))
+    row = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__of").alias("of"))
+    classes = near_duplicates(keyed.select(row.alias("__row"), text_col), id_col="__row", text_col=text_col, **options)
+    gone = classes.filter(F.col("__row") != F.col("component_id")).select(F.col("__row.id").alias("__gone"), F.col("__row.of").alias("__gone_of")).distinct()
+    kept = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__of") == F.col("__gone_of")), "left_anti")
+    repeated = keyed.groupBy("__id", "__of").count().filter("count > 1").select(F.col("__id").alias("__again"), F.col("__of").alias("__again_of"))
+    if not repeated.isEmpty():
+        kept = _once(kept, written(repeated, "repeated-rows"), F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__of") == F.col("__again_of")), ["__id", "__of"])
+    if one_per_id:
+        repeated = keyed.filter("__id is not null").groupBy("__id").count().filter("count > 1").select(F.col("__id").alias("__again"))
+        if not repeated.isEmpty():
+            kept = _once(kept, written(repeated, "repeated-ids"), F.col("__id") == F.col("__again"), ["__id"])
+    return kept.select(*docs.columns)
+
+
+def _once(rows: DataFrame, repeated: DataFrame, on: Column, keys: list[str]) -> DataFrame:
+    """``rows`` with one row of each key among those in ``repeated``, which is all that the aggregation handles."""
+    return rows.join(repeated, on, "left_anti").unionByName(rows.join(repeated, on, "left_semi").dropDuplicates(keys))

@@ -119,3 +119,16 @@ def test_stage_keeps_one_of_each_group(spark, odd_rows):
     classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert sorted(ids) == sorted({i for i, c in classes.items() if i == c})
+
+
+def test_stage_judges_rows_and_not_ids(spark):
+    """A copy goes alone, whatever else has its id; texts that share an id stay apart; null ids come last."""
+    a, b, c, d = (" ".join(f"{w}{k}" for w in PROSE.split()) for k in "abcd")
+    rows = [(1, a), (7, a), (7, b), (8, c), (8, d), (8, d), (None, a), (None, "only here"), (None, "only here"), (None, None)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    whole = simhash.keep_representatives(docs, one_per_id=False)
+    assert whole.columns == docs.columns
+    expected = [(1, a), (7, b), (8, c), (8, d), (None, "only here"), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in whole.collect()), key=repr) == sorted(expected, key=repr)
+    once = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()]
+    assert len(once) == 5 and set(once) < set(expected) and sorted(i for i, _ in once if i) == [1, 7, 8]
