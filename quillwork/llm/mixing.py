@@ -58,8 +58,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     The draw inverts the Poisson distribution whose mean is the source's rate at a number hashed from seed and id, so
     it needs no state, and a lost task draws the same again. A rate above PART_RATE is split into equal parts under it;
     the sum of the parts' independent draws has the same distribution. Rows go to random partitions and stand there in
-    random order: the hash of seed, id and copy decides both. Rows that repeat an id share its draw; null ids do too.
-    An empty table gives no rows. Any rate is drawn; only a caller who gives ``max_rate`` has rates above it refused.
+    random order: the hash of seed, id and copy decides both. Rows that repeat an id share its draw; a null id is
+    replaced by a hash of all columns, so only rows without id that are alike in full share one. An empty table gives
+    no rows. Any rate is drawn; only a caller who gives ``max_rate`` has rates above it refused.
     Columns named like the two new ones or starting with __ are replaced.
     """
     of_source = rates(docs, source_col, weights)
@@ -67,7 +68,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         of_source = of_source.withColumn("rate", F.when(F.col("rate") <= max_rate, F.col("rate")).otherwise(F.raise_error(F.lit("a source's repetition rate is above max_rate"))))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("long")
     table = of_source.select(F.col("source").alias("__source"), parts.alias("__parts"), cumulative(F.col("rate") / parts).alias("__sums"), "n")
-    named = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    of_row = F.concat(F.lit("null|"), F.md5(F.to_json(F.struct(*docs.columns))))
+    named = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), of_row)).withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     rows = of_source.agg(F.count("*").alias("sources"), F.sum("n").alias("rows"), F.max("rate").alias("most")).first()
 
     def joined(part: DataFrame) -> DataFrame:
@@ -76,13 +78,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         return join_counted(named, part, "__source", rows.rows)
 
     in_parts = (rows.most or 0.0) > PART_RATE
-    u = uniform(F.col(id_col), seed, "count")
+    u = uniform(F.col("__id"), seed, "count")
     times = F.size(F.filter("__sums", lambda x: x <= F.col("__u")))
     counted = joined(table.filter("__parts = 1") if in_parts else table).withColumn("__u", u).withColumn("__times", times).filter("__times > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__source", "__parts", "__sums", "__u", "__times")
     if in_parts:
-        copies = copies.unionByName(_many_copies(joined(table.filter("__parts > 1")), id_col, seed))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy"))))
+        copies = copies.unionByName(_many_copies(joined(table.filter("__parts > 1")), "__id", seed))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.col("__id"), F.col("copy")))).drop("__id")
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

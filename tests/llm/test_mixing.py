@@ -91,3 +91,12 @@ def test_high_rates_follow_a_poisson_law(spark):
     mean = sum(times) / 1000
     assert len(times) == 1000 and abs(mean - 1500) < 5 * math.sqrt(1.5)
     assert abs(sum((t - mean) ** 2 for t in times) / 999 - 1500) < 5 * 1500 * math.sqrt(2 / 999)
+
+
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"t{k}", "en", "a") for k in range(2000)] + [(k, "t", "en", "b") for k in range(2000)]
+    got = mixing.mix(documents(spark, rows)).select("doc_id", "text", "copy", "source", "shuffle_key").collect()
+    times = Counter(r.text for r in got if r.source == "a")
+    found = Counter(times.get(f"t{k}", 0) for k in range(2000))
+    assert all(abs(found[k] - 2000 * math.exp(-1) / math.factorial(k)) < 5 * math.sqrt(2000 * math.exp(-1)) for k in range(4))
+    assert len({r.shuffle_key for r in got}) == len(got)
