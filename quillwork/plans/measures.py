@@ -249,7 +249,7 @@ def hc3_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-7."""
     rows = _evaluation(spark, sf_dir).withColumn("side", F.when(F.col("section") == "PRE", "pre").otherwise("qa"))
-    return diagnostics.bootstrap(rows, "score", "side", draws=2000)
+    return diagnostics.bootstrap(rows, "score", "side")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import stats
 from quillwork.operators import census, contracts, coverage, diagnostics, gate, sampling, scoring, tenure, turnover, units
-from quillwork.plans import samples
+from quillwork.plans import measures, samples
 
 
 def test_waterfall_counts_and_limits(spark):
@@ -332,3 +332,8 @@ def test_regression_and_bootstrap(spark):
     a, b = ci.first(), ci.first()
     assert a == b and a.low < a.estimate < a.high and a.draws == 500
     assert diagnostics.bootstrap(df.limit(0), "score").first().estimate is None
+
+
+def test_bootstrap_query_draws_as_often_as_the_reference(spark, sf_dir):
+    ci = measures.bootstrap_ci(spark, sf_dir).first()
+    assert ci.draws == 10_000 and ci.low < ci.estimate < ci.high
