@@ -1,4 +1,4 @@
-"""Scoring through a given function, result validity, attempts (U-1, P-9 to P-11, R-8, A-24, A-25, A-28, N-7, N-9)."""
+"""Scoring through a given function, result validity, attempts (U-1, P-9 to P-11, R-8, A-24, A-25, A-28, N-3, N-7 to N-9)."""
 
 from __future__ import annotations
 
@@ -35,6 +35,30 @@ def strict_loads(text: str):
     return json.loads(text, object_pairs_hook=pairs, parse_float=number, parse_constant=refuse)
 
 
+def sequence_ids(text: str | None) -> list[str]:
+    """N-3: the ids in a cell that holds a JSON list of them; one that isn't all digits or repeats is a ValueError."""
+    try:
+        values = json.loads(str(text))
+    except ValueError as e:
+        raise ValueError("no JSON in a sequence list") from e
+    if not isinstance(values, list) or not all(str(v).isdigit() for v in values):
+        raise ValueError("no sequence list")
+    ids = [str(v) for v in values]
+    if len(set(ids)) != len(ids):
+        raise ValueError("a sequence id repeats")
+    return ids
+
+
+def require_schema(schema: object, expected: dict) -> None:
+    """N-8: a ValueError unless the schema is the expected one, in any order of keys and with any title, $schema and
+    description at its top."""
+    if not isinstance(schema, dict):
+        raise ValueError("missing response schema")
+    structural = {k: v for k, v in schema.items() if k not in ("title", "$schema", "description")}
+    if json.dumps(structural, sort_keys=True, allow_nan=False) != json.dumps(expected, sort_keys=True, allow_nan=False):
+        raise ValueError("unsupported response schema")
+
+
 @F.pandas_udf(StringType())
 def strict_json(s: pd.Series) -> pd.Series:
     """N-7: the JSON text with sorted keys if it is strict, else null. Spark's parsers take repeated keys or trailing

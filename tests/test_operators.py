@@ -337,3 +337,18 @@ def test_regression_and_bootstrap(spark):
 def test_bootstrap_query_draws_as_often_as_the_reference(spark, sf_dir):
     ci = measures.bootstrap_ci(spark, sf_dir).first()
     assert ci.draws == 10_000 and ci.low < ci.estimate < ci.high
+
+
+def test_sequence_ids():
+    assert scoring.sequence_ids('["12", 7, "007"]') == ["12", "7", "007"] and scoring.sequence_ids("[]") == []
+    for bad in (None, "", "[1", "{}", '"12"', "[1.5]", "[-1]", "[true]", "[null]", '["a"]', '["1", 1]', "[[1]]"):
+        with pytest.raises(ValueError, match="sequence"):
+            scoring.sequence_ids(bad)
+
+
+def test_require_schema():
+    expected = {"type": "object", "properties": {"score": {"type": "integer", "minimum": 0}}}
+    scoring.require_schema({"title": "t", "$schema": "s", "description": "d", "properties": {"score": {"minimum": 0, "type": "integer"}}, "type": "object"}, expected)
+    for bad in (None, [], {}, {**expected, "required": ["score"]}, {**expected, "properties": {"score": {"type": "integer", "minimum": 0, "title": "t"}}}, {**expected, "properties": {"score": {"type": "integer", "minimum": 0.0}}}):
+        with pytest.raises(ValueError, match="response schema"):
+            scoring.require_schema(bad, expected)
