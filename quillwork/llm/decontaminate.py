@@ -2,168 +2,190 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.llm.skew import blocks, split_by_hash, spread, unused
 from quillwork.llm.storage import written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # lower() and translate() make letters of letters only
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def words(text: Column) -> Column:
-    """The words of a text with A-Z in lower case: ASCII letters and digits, and all that is not ASCII. Null has none."""
-    return F.transform(raw_words(text), lambda w: F.translate(w, UPPER, LOWER))
-
-
-def raw_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD), "")
+# What lower() may change but A-Z: capitals and title case; the ranges where versions of Unicode add capitals, too.
+_OTHER_CAPITAL = r"[\x{80}-\x{FFFF}&&[\p{IsUppercase}\p{Lt}\x{1C80}-\x{1CBF}\x{2C00}-\x{2C5F}\x{A640}-\x{A7FF}]]|[\x{10000}-\x{10FFFF}]"
+#: Rows of a broadcast block. Rows have a fixed width, of 150 bytes at most, so a block has under 40 MB.
+BLOCK_ROWS = 250_000
 
 
 def terms(text: Column) -> Column:
-    """The index terms of a text, one for each of its words: hashes of the words in Unicode lower case.
+    """The words of a text with A-Z in lower case, as hashes: runs of ASCII letters and digits, and all that is not ASCII.
 
-    Words that are equal with A-Z in lower case have equal terms; lower() is many times faster on a text than
-    translate(), and hashes than strings. A capital sigma's lower case depends on its place, so both are one here.
+    lower() is many times faster than translate() and gives the same where the text has no other capitals. Null has
+    no words.
     """
-    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\u03c2"), F.lit("\u03c3"))
-    return F.array_remove(F.split(lower, NOT_WORD), "")
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` to be broadcast if it has no more than ``rows`` rows, else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    text = F.coalesce(text, F.lit(""))
+    lower = F.when(F.rlike(text, F.lit(_OTHER_CAPITAL)), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.transform(F.array_remove(F.split(lower, NOT_WORD), ""), lambda w: F.xxhash64(w))
 
 
-def phrases(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows of the items: phrase (hash of its words), size, terms, items. An item of fewer words, but not
-    none, is one."""
-    w = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w"), F.transform(terms(F.col(text_col)), lambda t: F.xxhash64(t)).alias("t")).filter("size(w) > 0")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-    cut = w.select("item", F.explode(F.transform(starts, lambda s: F.struct(F.slice("w", s, F.lit(window)).alias("w"), F.slice("t", s, F.lit(window)).alias("t")))).alias("p"))
-    return cut.groupBy(F.col("p.w").alias("w"), F.col("p.t").alias("terms")).agg(F.collect_set("item").alias("items")).select(phrase_id(F.col("w")).alias("phrase"), F.size("w").alias("size"), "terms", "items")
-
-
-def phrase_id(words_: Column) -> Column:
-    return F.xxhash64(F.array_join(words_, " "))
+def phrases(items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(phrase, size, terms) of the distinct windows of the items, and (phrase, item) of their items, written.
 
+    An item of fewer words than a window, but not none, is one. A phrase is the hash of its terms.
+    """
+    listed = items.select(F.col(id_col).alias("item"), terms(F.col(text_col)).alias("t")).filter("size(t) > 0")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (window - 1), F.lit(1)))
+    cut = listed.select("item", F.explode(F.transform(starts, lambda s: F.slice("t", s, F.lit(window)))).alias("terms"))
+    cut = written(cut.select(F.xxhash64("terms").alias("phrase"), "terms", "item").distinct(), "windows")
+    return cut.groupBy("phrase").agg(F.first("terms").alias("terms")).withColumn("size", F.size("terms")), cut.select("phrase", "item").filter("item is not null")
 
-def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, of (hash of the text, so that texts with one id stay apart) and the text."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text"))
 
+def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, of (hash of the text, so that texts with one id stay apart), n_words and t: the terms by position; written.
 
-def postings(texts: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """term, id, of, pos of every word of ``documents``, or of those with one of the ``chosen`` terms only."""
-    every = texts.select("id", "of", F.posexplode(terms(F.col("text"))).alias("pos", "word")).select(F.xxhash64("word").alias("term"), "id", "of", "pos")
-    return every if chosen is None else every.join(chosen, "term", "left_semi")
+    The one pass over the texts; all that follows reads hashes.
+    """
+    read = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    cut = read.select("id", F.xxhash64("text").alias("of"), terms(F.col("text")).alias("t"))
+    return written(cut.select("id", "of", F.size("t").cast("long").alias("n_words"), "t"), "tokens")
 
 
-def term_counts(texts: DataFrame, chosen: DataFrame, broadcast_rows: int) -> DataFrame:
-    """How often each of the ``chosen`` terms stands in the documents.
+def term_counts(tokens: DataFrame, vocabulary: DataFrame, block_rows: int) -> DataFrame:
+    """How often each term of the ``vocabulary`` stands in the documents.
 
-    If these can be broadcast, other words go first; else all words are counted, map side first, and the counts meet
-    the terms: in neither case does a frequent term's every word cross the network.
+    If it fits one block, other words go first; else all words are counted, map side first, and the counts meet the
+    terms: in neither case does a frequent term's every word cross the network.
     """
-    every = texts.select(F.explode(terms(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term"))
-    few = chosen.limit(broadcast_rows + 1).count() <= broadcast_rows
-    counted = (every.join(F.broadcast(chosen), "term", "left_semi") if few else every).groupBy("term").agg(F.count("*").alias("n"))
-    return counted if few else counted.join(chosen, "term", "left_semi")
+    every = tokens.select(F.explode("t").alias("term"))
+    few = vocabulary.limit(block_rows + 1).count() <= block_rows
+    counted = (every.join(F.broadcast(vocabulary), "term", "left_semi") if few else every).groupBy("term").agg(F.count("*").alias("n"))
+    return counted if few else counted.join(vocabulary, "term", "left_semi")
 
 
 def rarest(queries: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
-    """phrase, size, items and ``rare``: (term, offset) of its ``lists`` rarest terms, the rarest first.
+    """phrase, size and ``rare``: (n, offset, term) of its ``lists`` rarest terms, the rarest first.
 
     A phrase with a term that no document has goes: it can't occur.
     """
-    each = queries.select("phrase", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    found = each.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("found"), F.count_if(F.col("n").isNull()).alias("missing"))
-    rare = found.filter("missing = 0").select("phrase", F.slice("found", 1, lists).alias("rare"))
-    return queries.drop("terms").join(rare, "phrase")
+    each = queries.select("phrase", "size", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    found = each.groupBy("phrase", "size").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("found"), F.count_if(F.col("n").isNull()).alias("missing"))
+    return found.filter("missing = 0").select("phrase", "size", F.slice("found", 1, lists).alias("rare"))
 
 
-def intersect(index: DataFrame, queries: DataFrame, lists: int) -> DataFrame:
-    """id, of, start, phrase, size, items of the places that the offset-adjusted lists of the rarest terms share.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-    The list of the rarest term is read first and each next list only keeps or drops what is left, so the work follows
-    the rarest lists; their keys are (document, place), which no frequent term or document fills.
+
+def postings(tokens: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame:
+    """The index: term, id, of, pos of the chosen terms' every place; written.
+
+    A term that leads phrases (is their rarest) has a posting for each offset and size that it has in one, with
+    ``window``: the hash of the terms that stand there, so that a place can be compared in full without its text. There
+    are at most as many as sizes and offsets under the window's, whatever the number of phrases. Terms are broadcast
+    block by block, each a pass over the tokens, so that no word crosses the network to learn that it isn't wanted.
+    """
+    lead = F.col("rare")[0]
+    leads = chosen.select(lead["term"].alias("term"), lead["offset"].alias("offset"), "size").distinct()
+    follow = chosen.select(F.explode(F.slice("rare", 2, 1 << 20)).alias("r")).select(F.col("r.term").alias("term"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("int").alias("size")).distinct()
+    wanted = written(leads.unionByName(follow), "index-terms")
+    every = tokens.select("id", "of", "n_words", "t", F.posexplode("t").alias("pos", "term"))
+    start = F.col("pos") - F.col("offset")
+    inside = F.col("offset").isNull() | ((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    around = F.when(F.col("offset").isNotNull(), F.xxhash64(F.slice("t", start + 1, F.col("size"))))
+    return written(_union([every.join(b, "term").filter(inside).select("term", "id", "of", "pos", "offset", "size", around.alias("window")) for b in blocks(wanted, "term", block_rows)]), "postings")
+
+
+def intersect(index: DataFrame, chosen: DataFrame, lists: int, block_rows: int) -> DataFrame:
+    """id, of, start, phrase, size of the places that the offset-adjusted lists of the rarest terms share; written.
+
+    The list of the rarest term is read first, and its places are compared in full by their windows' hashes; each next
+    list only confirms or drops what is left. Phrases meet the first list as broadcast blocks; the next lists' keys are
+    (document, place), which no frequent term fills, and only postings of documents with a place left are moved.
     """
-    first = F.col("rare")[0]
-    at = index.join(queries.withColumn("term", first["term"]), "term")
-    at = at.select("id", "of", (F.col("pos") - first["offset"]).alias("start"), "phrase", "size", "items", "rare").filter("start >= 0").distinct()
+    first, key = F.col("rare")[0], ["term", "offset", "size", "window"]
+    leading = index.filter(F.col("offset").isNotNull())
+    queries = chosen.select("phrase", "size", "rare", first["term"].alias("term"), first["offset"].alias("offset"), F.col("phrase").alias("window"))
+    at = _union([leading.join(b, key) for b in blocks(queries, "phrase", block_rows)])
+    at = written(at.select("id", "of", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "size", "rare").distinct(), "first-list")
+    following = index.filter(F.col("offset").isNull()).select(F.col("id").alias("i"), F.col("of").alias("o"), F.col("pos").alias("p"), F.col("term").alias("t"))
+    near, _ = split_by_hash(following, F.xxhash64("i", "o"), at.select("id", "of").distinct(), F.xxhash64("id", "of"))
     for k in range(1, lists):
         other = F.get("rare", F.lit(k))
-        wanted = at.withColumns({"__term": F.coalesce(other["term"], first["term"]), "__pos": F.col("start") + F.coalesce(other["offset"], first["offset"])})
-        match = index.select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("pos").alias("__p"), F.col("term").alias("__t"))
-        at = wanted.join(match, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")) & (F.col("__pos") == F.col("__p")) & (F.col("__term") == F.col("__t")), "left_semi")
-    return at.select("id", "of", "start", "phrase", "size", "items")
+        held = at.filter(other.isNotNull()).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")) & (F.col("start") + other["offset"] == F.col("p")) & (other["term"] == F.col("t")), "left_semi")
+        at = held.unionByName(at.filter(other.isNull()))
+    return written(at.drop("rare"), "places")
 
 
-def candidates(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, lists: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
-    """The places of the intersection, written to the shared folder.
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
 
-    So is the index, with the postings of the terms that the intersection reads: for each phrase its ``lists`` rarest,
-    counted over all documents. Phrases and terms are broadcast up to ``broadcast_rows`` rows, and shuffled beyond.
+    A word is hit that lies in an occurrence of a window of an item; contaminated: any is hit, and at least 1 in
+    ``share`` (20). The places that the index finds are compared in full, as hashes of their words. Ids of documents
+    and items have any type that strings can be made of. Null and empty texts have no words; very long ones are read
+    whole; repeated rows get the same answer, and null ids are a document for each text; null item ids have no name
+    and don't count as items. Of equally rare terms of a phrase the first leads. No items, or none that occurs: nothing
+    is hit, and items_sha256 is that of the empty string; no documents: no rows. Other columns are not read.
     """
-    texts = documents(docs, id_col, text_col)
-    queries = written(phrases(items, window, item_col, item_text_col), "phrases")
-    counts = written(term_counts(texts, queries.select(F.explode("terms").alias("term")).distinct(), broadcast_rows), "term-counts")
-    chosen = written(rarest(queries, counts, lists), "rarest")
-    index = written(postings(texts, small(chosen.select(F.explode("rare.term").alias("term")).distinct(), broadcast_rows)), "postings")
-    return written(intersect(index, small(chosen, broadcast_rows), lists), "places")
+    return judge(docs, items, id_col=id_col, text_col=text_col, **options).drop("of").withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 20, broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
+def judge(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", share: int = 20, window: int = 13, lists: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``decontaminate`` by id and of, the hash of the text. No text is moved: what is shuffled are places and ids."""
+    tokens = token_table(docs, id_col, text_col)
+    queries, named = phrases(items, window, item_col, item_text_col)
+    counts = written(term_counts(tokens, queries.select(F.explode("terms").alias("term")).distinct(), block_rows), "term-counts")
+    chosen = written(rarest(queries, counts, lists), "rarest")
+    places = intersect(postings(tokens, chosen, block_rows), chosen, lists, block_rows)
 
-    A word is hit that lies in an occurrence of a window of an item; contaminated: any is hit, and at least 1 in
-    ``share``. The places that the index finds are compared with the words of the text, in full. Null texts have no
-    words; repeated rows get the same answer, and null ids are a document for each text; null item ids count as items
-    that have no name. No items, or none that occurs: nothing is hit, and items_sha256 is that of the empty string.
-    """
-    return judge(docs, items, id_col=id_col, text_col=text_col, share=share, broadcast_rows=broadcast_rows, **options).drop("of").withColumnRenamed("id", id_col)
-
-
-def judge(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, share: int, broadcast_rows: int, **options) -> DataFrame:
-    """``decontaminate`` by id and of, the hash of the text."""
-    found = candidates(docs, items, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
-    grouped = found.groupBy(F.col("id").alias("__id"), F.col("of").alias("__of")).agg(F.collect_list(F.struct("start", "size", "phrase", "items")).alias("places"))
-    places = F.broadcast(grouped) if found.count() <= broadcast_rows else grouped
-    texts = documents(docs, id_col, text_col)
-    joined = texts.join(places, F.col("id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left").select("id", "of", raw_words(F.col("text")).alias("w"), "places")
-    cut = lambda p: F.transform(F.slice("w", p["start"] + 1, p["size"]), lambda x: F.translate(x, UPPER, LOWER))
-    exact = F.filter("places", lambda p: phrase_id(cut(p)) == p["phrase"])
-    empty = F.array().cast("array<struct<start:int,size:int,phrase:bigint,items:array<bigint>>>")
-    hits = joined.select("id", "of", F.size("w").cast("long").alias("n_words"), F.when(F.col("places").isNull(), empty).otherwise(exact).alias("hits"))
-    spans = F.array_sort(F.transform("hits", lambda p: F.struct(p["start"].alias("a"), (p["start"] + p["size"]).alias("b"))))
+    spans = F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
-    union = F.aggregate(spans, zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
-    named = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda p: p["items"]))), lambda i: i.cast("string")))
-    out = hits.select("id", "of", "n_words", union["sum"].cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.array_join(named, ","), 256).alias("items_sha256"))
+    union = F.aggregate("spans", zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
+    hit = places.groupBy("id", "of").agg(spans.alias("spans")).select("id", "of", union["sum"].cast("long").alias("n_hit"))
+    found = places.select("id", "of", "phrase").distinct()
+    told = _union([found.join(b, "phrase") for b in blocks(named, "phrase", block_rows)]).select("id", "of", F.col("item").cast("string").alias("item")).distinct()
+    told = told.groupBy(F.col("id").alias("i"), F.col("of").alias("o")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    both = hit.join(told, F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")), "left").select(F.col("id").alias("i"), F.col("of").alias("o"), "n_hit", "items")
+    out = tokens.select("id", "of", "n_words").join(written(both, "hits"), F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")), "left")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    out = out.select("id", "of", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 20, broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """The rows of ``docs`` that ``decontaminate`` doesn't call contaminated; all columns stay."""
-    judged = judge(docs, items, id_col=id_col, text_col=text_col, share=share, broadcast_rows=broadcast_rows, **options)
-    bad = judged.filter("contaminated").select(F.col("id").alias("__id"), F.col("of").alias("__of")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__of")), "left_anti")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", lists: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
-    """id, item, start: where the ``lists`` rarest terms of an item (all, if it has fewer) stand in any order within
-    ``slop`` words of the rarest one, at ``start``. Terms that no document has are left out; none left: no match.
-    Lists meet by document, term and cell of slop + 1 words, so a place is compared with those near it only."""
-    texts = documents(docs, id_col, text_col)
-    wanted_terms = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(terms(F.col(item_text_col)))).alias("word")).select("item", F.xxhash64("word").alias("term")).distinct(), "item-terms")
-    counts = term_counts(texts, wanted_terms.select("term").distinct(), broadcast_rows)
-    ranked = wanted_terms.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
-    ranked = written(ranked.select("item", F.expr("transform(rare, r -> r.term)").alias("rare")), "rarest-terms")
-    index = written(postings(texts, small(ranked.select(F.explode("rare").alias("term")).distinct(), broadcast_rows)), "postings")
-    at = index.join(small(ranked, broadcast_rows).withColumn("term", F.col("rare")[0]), "term").select("id", "of", "item", F.col("pos").alias("start"), "rare").distinct()
-    wanted = at.select("*", F.posexplode("rare").alias("k", "term"))
-    wanted = wanted.select("*", F.explode(F.sequence(F.floor((F.col("start") - slop) / (slop + 1)), F.floor((F.col("start") + slop) / (slop + 1)))).alias("cell"))
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` doesn't call contaminated; all columns stay, whatever their names.
+
+    Rows that can't be contaminated, by a bit of their hash, stay where they are; only the others meet the list.
+    """
+    judged = judge(docs, items, id_col=id_col, text_col=text_col, **options)
+    bad = written(judged.filter("contaminated").select("id", "of").distinct(), "contaminated")
+    i, o = unused(docs.columns, "__id"), unused(docs.columns, "__of")
+    named = bad.select(F.col("id").alias(i), F.col("of").alias(o))
+    maybe, clean = split_by_hash(docs, F.xxhash64(F.col(id_col), F.xxhash64(text_col)), named, F.xxhash64(i, o))
+    return clean.unionByName(maybe.join(named, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(o)), "left_anti"))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", lists: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id, item, start: where the ``lists`` rarest words of an item (all, if it has fewer) stand in any order within
+    ``slop`` words of the rarest one, at ``start``. Words that no document has are left out; none left: no match. Of
+    equally rare words, the one that sorts first by its hash.
+
+    Lists meet by document, term and cell of slop + 1 words, so a place is compared with those near it only. Rows
+    without id are a document for each text, repeated rows are one.
+    """
+    tokens = token_table(docs, id_col, text_col)
+    wanted = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(terms(F.col(item_text_col)))).alias("term")).distinct(), "item-terms")
+    counts = term_counts(tokens, wanted.select("term").distinct(), block_rows)
+    ranked = wanted.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
+    ranked = written(ranked.select("item", F.transform("rare", lambda r: r["term"]).alias("rare")), "rarest-terms")
+    every = tokens.select("id", "of", F.posexplode("t").alias("pos", "term"))
+    listed = written(ranked.select(F.explode("rare").alias("term")).distinct(), "index-terms")
+    index = written(_union([every.join(b, "term", "left_semi") for b in blocks(listed, "term", block_rows)]), "postings")
+    leads = ranked.withColumn("term", F.col("rare")[0])
+    at = _union([index.join(b, "term") for b in blocks(leads, "term", block_rows)]).select("id", "of", "item", F.col("pos").alias("start"), "rare").distinct()
+    near = at.select("*", F.posexplode("rare").alias("k", "term"))
+    near = near.select("*", F.explode(F.sequence(F.floor((F.col("start") - slop) / (slop + 1)), F.floor((F.col("start") + slop) / (slop + 1)))).alias("cell"))
     cells = index.withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
-    near = wanted.alias("x").join(cells.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & F.expr("x.of = y.of and x.term = y.term and x.cell = y.cell")).filter(F.abs(F.col("y.pos") - F.col("x.start")) <= slop)
-    held = near.groupBy(F.col("x.id").alias("id"), F.col("x.of").alias("of"), "item", "start", F.size("rare").alias("n")).agg(F.count_distinct("k").alias("found"))
+    met = near.alias("x").join(cells.alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")) & F.expr("x.of = y.of and x.term = y.term and x.cell = y.cell")).filter(F.abs(F.col("y.pos") - F.col("x.start")) <= slop)
+    held = met.groupBy(F.col("x.id").alias("id"), F.col("x.of").alias("of"), "item", "start", F.size("rare").alias("n")).agg(F.count_distinct("k").alias("found"))
     return held.filter("found = n").select(F.col("id").alias(id_col), "item", "start").distinct()

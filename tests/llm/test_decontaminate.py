@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
-from quillwork.llm import decontaminate
+from quillwork.llm import decontaminate, storage
 from quillwork.tables import table
 from tests.llm.conftest import PROSE, documents
 
@@ -40,12 +41,12 @@ def result(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_against_brute_force(spark, sf_dir, limit):
-    """limit 0: nothing is broadcast."""
+@pytest.mark.parametrize("rows", [decontaminate.BLOCK_ROWS, 60])
+def test_against_brute_force(spark, sf_dir, rows):
+    """60: terms, phrases and items are broadcast in many blocks."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     expected = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
-    assert result(decontaminate.decontaminate(docs, items, broadcast_rows=limit)) == expected
+    assert result(decontaminate.decontaminate(docs, items, block_rows=rows)) == expected
     assert any(r[-1] for r in expected)
 
 
@@ -81,6 +82,72 @@ def test_proximity(spark):
     assert sorted((r.doc_id, r.item) for r in got.collect()) == [(1, 1), (2, 1)]
 
 
-def test_plan_has_no_python(spark, sf_dir):
-    plan = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_string_ids(spark, odd_rows):
+    items = [("mmlu/1", PROSE), ("mmlu/2", "quick brown fox"), (None, "seven wise owls")]
+    rows = [(None if i is None else f"doc-{i}", t) for i, t, _, _ in odd_rows]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    expected = brute(rows, items)
+    assert result(decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))) == expected
+    none_hit = decontaminate.decontaminate(docs, spark.createDataFrame([("a/1", "no such words at all")], "item_id string, text string")).collect()
+    assert {(r.n_hit, r.n_items) for r in none_hit} == {(0, 0)}
+
+
+def test_capitals_beyond_ascii(spark):
+    """Only A-Z are lowered: a phrase matches another spelling of their case, not of other letters'."""
+    rows = [(1, "Ärger ÜBER alles"), (2, "ärger über alles"), (3, "ÄRGER über alles"), (4, "\u1c89x \u2c2fy \ua7c0z \U0001e900w Kilo"), (5, "İstanbul x"), (6, "ǅ ⓐ Ⓐ")]
+    items = [(1, "Ärger ÜBER ALLES"), (2, "\u1c89X"), (3, "kilo"), (4, "İSTANBUL X"), (5, "ⓐ"), (6, "\U0001e900W")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert result(decontaminate.decontaminate(docs, bench)) == brute(rows, items)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, PROSE, 1, 2, 3), (2, "clean words", 4, 5, 6)], "doc_id long, text string, __id long, __of long, __place long")
+    kept = decontaminate.keep_clean(docs, spark.createDataFrame([(1, PROSE)], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean words", 4, 5, 6)]
+
+
+def test_a_template_that_all_items_and_many_documents_hold(spark):
+    """Ties of the rarest terms, one phrase of many items, one of many documents, and many copies without id."""
+    template = "choose the best answer from the four options below and write only its letter"
+    items = [(k, f"{template} {k}") for k in range(40)]
+    rows = [(k if k % 3 else None, f"{template} for {k % 7}") for k in range(120)] + [(None, template)] * 50
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute(rows, items)
+    assert result(decontaminate.decontaminate(docs, bench)) == expected == result(decontaminate.decontaminate(docs, bench, block_rows=7))
+
+
+def test_proximity_against_brute_force(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    texts, asked = [tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()]
+    counts, places = Counter(), {}
+    for i, t in texts:
+        for k, w in enumerate(words(t)):
+            counts[w] += 1
+            places.setdefault((i, w), []).append(k)
+    vocabulary = spark.createDataFrame([(w,) for w in counts], "w string")
+    hashes = {r.w: r.h for r in vocabulary.selectExpr("w", "xxhash64(w) AS h").collect()}
+    expected = set()
+    for item, t in asked:
+        rare = sorted({w for w in words(t) if w in counts}, key=lambda w: (counts[w], hashes[w]))[:3]
+        for i, _ in texts if rare else ():
+            for start in places.get((i, rare[0]), ()):
+                if all(any(abs(k - start) <= 60 for k in places.get((i, w), ())) for w in rare):
+                    expected.add((i, item, start))
+    for rows in (decontaminate.BLOCK_ROWS, 9):
+        got = decontaminate.proximity_matches(docs, items, slop=60, block_rows=rows).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 0
+
+
+def test_no_step_runs_python(spark, sf_dir, monkeypatch):
+    """The plan of the result, and of each table written on the way."""
+    plans = []
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.written(df, name)
+
+    monkeypatch.setattr(decontaminate, "written", spy)
+    last = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+    assert not any("text" in p for p in plans[1:] if "tokens" in p)  # texts are read once
