@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.arrow import texts
 from quillwork.llm.language_id import held_out
 from quillwork.llm.repetition import SYMBOLS
+from quillwork.llm.skew import spread
 from quillwork.llm.storage import written
 
 # Byte classes, in the order of their statistics.
@@ -25,6 +27,8 @@ for _k, _members in enumerate(_CLASSES):
 N_STATISTICS = 9 + len(_CLASSES) + 1
 BINS = 4096
 NEUTRAL = 0.5
+FOLDS = 2  # of the labelled rows, for the calibration
+FAN_IN, TREE_LEVELS = 256, 1  # up to 256 partitions' sums, of 2 KB a row, meet in a task; then a 256th as many
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -64,22 +68,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _summed(rows: DataFrame, per_batch, width: int) -> np.ndarray:
     """The sum over ``rows`` of a matrix with ``width`` columns: each partition adds up its own, Spark adds these row
-    by row, and only the total comes to the driver."""
+    by row in a tree (FAN_IN partitions' rows in a task, then the sums), and only the total comes to the driver."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def local(task: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if len(batch):
                 m = per_batch(batch)
                 total = m if total is None else total + m
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["k", "v"])
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["part", "k", "v"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return local(TaskContext.get().partitionId(), batches)
 
     def add(group: pa.Table) -> pa.Table:
         v = sum(np.frombuffer(b, np.float64) for b in sorted(group.column("v").to_pylist()))
-        return pa.table({"k": group.column("k")[:1], "v": pa.array([v.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([group.column("part")[0].as_py() // FAN_IN], pa.int32()), "k": group.column("k")[:1], "v": pa.array([v.tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(local, "k int, v binary").groupBy("k").applyInArrow(add, "k int, v binary").toArrow().sort_by("k")
+    kind, sums = "part int, k int, v binary", rows.mapInArrow(numbered, "part int, k int, v binary")
+    for _ in range(TREE_LEVELS):
+        sums = sums.groupBy(F.expr(f"part div {FAN_IN}"), "k").applyInArrow(add, kind)
+    got = sums.groupBy("k").applyInArrow(add, kind).toArrow().sort_by("k")
     if not len(got):
         return np.zeros((0, width))
     return np.frombuffer(b"".join(got.column("v").to_pylist()), np.float64).reshape(-1, width)
@@ -125,7 +136,11 @@ class Model:
 
 
 def fit(labelled: DataFrame, n_features: int = 256, width: float = 4.0, penalty: float = 1e-3, seed: int = 29) -> Model | None:
-    """Learns from all rows of ``labelled`` (x, y). None without rows."""
+    """Learns from all rows of ``labelled`` (x, y, fold). None without rows.
+
+    The normal equations are summed for each fold; all of them give the ridge. Scores are calibrated on rows that
+    their ridge hasn't seen: those of a fold by the equations of the other folds (of its own, if there is no other).
+    """
     moments = _summed(labelled, lambda b: (lambda m: np.vstack([np.r_[m.sum(axis=0), len(m)], np.r_[(m * m).sum(axis=0), 0]]))(_matrix(b.column("x"))), N_STATISTICS + 1)
     if not len(moments):
         return None
@@ -137,15 +152,28 @@ def fit(labelled: DataFrame, n_features: int = 256, width: float = 4.0, penalty:
 
     def equations(batch: pa.RecordBatch) -> np.ndarray:
         phi, y = model.map(_matrix(batch.column("x"))), batch.column("y").to_numpy().astype(float)
-        return np.hstack([phi.T @ phi, (phi.T @ y)[:, None]])
+        fold = batch.column("fold").to_numpy()
+        of = [(phi[fold == f], y[fold == f]) for f in range(FOLDS)]
+        return np.vstack([np.hstack([p.T @ p, (p.T @ v)[:, None]]) for p, v in of])
+
+    total = _summed(labelled, equations, n_features + 2).reshape(FOLDS, n_features + 1, n_features + 2)
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        rows = sums[-1, n_features]  # the constant's square, once a row
+        return np.linalg.solve(sums[:, :-1] + penalty * rows / n_features * np.eye(n_features + 1), sums[:, -1])
 
-    total = _summed(labelled, equations, n_features + 2)
-    model.weights = np.linalg.solve(total[:, :-1] + penalty * n / n_features * np.eye(n_features + 1), total[:, -1])
+    model.weights = solved(total.sum(axis=0))
+    others = [total.sum(axis=0) - total[f] for f in range(FOLDS)]
+    unseen = [replace(model, weights=solved(o) if o[-1, n_features] >= 1 else model.weights, low=-0.5, high=1.5) for o in others]
     model.low, model.high = -0.5, 1.5
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.bin(_matrix(batch.column("x")))), batch.column("y").cast(pa.float64())], ["bin", "y"])
+            x, fold = _matrix(batch.column("x")), batch.column("fold").to_numpy()
+            bins = np.zeros(len(x), np.int64)
+            for f, m in enumerate(unseen):
+                bins[fold == f] = m.bin(x[fold == f])
+            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("y").cast(pa.float64())], ["bin", "y"])
 
     table = labelled.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()  # at most BINS rows
     fitted = pool_adjacent_violators(np.array([r.y for r in table]), np.array([float(r.n) for r in table]))
@@ -162,11 +190,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     Labels are learned from those of ids whose crc32 is not 0 modulo 5; null labels and ids are left out, and a row
     that repeats an id or a label counts as often as it joins. Statistics are of whole texts; null and empty texts
-    have those of a text without words. Without labels all scores are NEUTRAL. Other columns are not read.
+    have those of a text without words. Equal texts get equal scores. Without labels all scores are NEUTRAL; without
+    documents there are no rows. Other columns are not read, whatever their names.
     """
-    rows = written(features(docs, id_col, text_col), "statistics")
+    rows = written(features(spread(docs.select(id_col, text_col)), id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).filter("y is not null")
-    labelled = written(rows.filter("not held_out").join(known, F.col(id_col) == F.col("__id")).select("x", "y"), "labelled")
+    fold = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
+    labelled = written(rows.filter("not held_out").join(known, F.col(id_col) == F.col("__id")).select("x", "y", fold), "labelled")
     model = fit(labelled, **settings)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,10 +12,13 @@ _own: dict[str, str] = {}  # by application, where the setting is unset
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (a single machine, tests), a new local folder."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a new local folder on a single machine (as in
+    tests), and an error on a cluster, whose executors couldn't see it."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quillwork-")

@@ -56,3 +56,34 @@ def test_features_approximate_a_gaussian_kernel():
     phi = model.map(x)[:, :-1]
     kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / 32)
     assert np.abs(phi @ phi.T - kernel).max() < 0.1
+
+
+def test_scores_equal_a_dense_computation(spark, sf_dir):
+    """All steps in numpy over the collected rows: features, ridge, folds' ridges, isotonic levels of unseen scores."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = quality.features(docs, "doc_id", "text").withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(quality.FOLDS))).join(labels, "doc_id", "left").collect()
+    x = np.array([np.frombuffer(r.x, np.float64) for r in rows])
+    seen = np.array([not r.held_out and r.quality is not None for r in rows])
+    y, fold = np.array([float(r.quality or 0) for r in rows]), np.array([r.fold for r in rows])
+    n, d = 256, quality.N_STATISTICS
+    rng = np.random.default_rng(29)
+    model = quality.Model(x[seen].mean(axis=0), np.sqrt(np.maximum((x[seen] ** 2).mean(axis=0) - x[seen].mean(axis=0) ** 2, 1e-12)) + 1e-6, rng.normal(size=(d, n)) / 4.0, rng.uniform(0, 2 * np.pi, n), np.zeros(n + 1))
+    phi = model.map(x)
+
+    def ridge(of):
+        return np.linalg.solve(phi[of].T @ phi[of] + 1e-3 * of.sum() / n * np.eye(n + 1), phi[of].T @ y[of])
+
+    unseen = np.where(fold == 0, phi @ ridge(seen & (fold != 0)), phi @ ridge(seen & (fold == 0)))
+    bins = np.clip((unseen + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(bins[seen])
+    means, weights = np.array([y[seen & (bins == b)].mean() for b in used]), np.array([float((seen & (bins == b)).sum()) for b in used])
+    levels = quality.pool_adjacent_violators(means, weights)
+    knots = [np.average((used[levels == v] + 0.5) * 2 / quality.BINS - 0.5, weights=weights[levels == v]) for v in np.unique(levels)]
+    expected = np.interp(phi @ ridge(seen), knots, np.unique(levels))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert max(abs(got[r.doc_id] - s) for r, s in zip(rows, expected)) < 1e-6
+
+
+def test_columns_of_any_name(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("*", "1 AS x", "2 AS fold", "3 AS __id", "4 AS y")
+    assert quality.classify(docs, table(spark, sf_dir, "labels")).count() == docs.count()

@@ -72,3 +72,27 @@ def test_rewritten_files_are_not_read(spark, tmp_path):
     (tmp_path / "stray.warc.gz").write_bytes(b"not an archive")
     index, folder = warc.archive(pages(spark, ROWS), f"file://{tmp_path}")
     assert warc.read_records(index, folder).count() == len(ROWS)
+
+
+def test_string_ids(spark):
+    rows = [(None if p is None else f"page %0A\n{p:02}", u, h) for p, u, h in ROWS]
+    index, folder = warc.archive(spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id string, url string, html string, n long, page string"))
+    got = warc.read_records(index, folder)
+    assert dict(got.dtypes)["page_id"] == dict(index.dtypes)["refers_to"] == "string"
+    assert sorted((tuple(r) for r in got.drop("payload").collect()), key=repr) == brute(rows)
+
+
+def test_very_long_payloads_that_pack_well(spark):
+    """Ranges of a few bytes unpack to many batches; each holds PAYLOAD_BYTES or a single record."""
+    rows = [(k, "u", f"{k}" + "a" * (3 << 20)) for k in range(12)] + [(99, "u", "b" * (20 << 20))]
+    index, folder = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert index.agg(F.sum("length")).first()[0] < 1 << 20
+    sizes = warc.read_records(index, folder).select("page_id", "payload_bytes", F.octet_length("payload").alias("n")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.n) for r in sizes) == [(i, len(h), len(h)) for i, _, h in rows]
+
+
+def test_stores():
+    assert warc.open_store("/a/b")[1] == warc.open_store("file:///a/b")[1] == warc.open_store("file:/a/b")[1] == "/a/b"
+    for folder in ("s3a://bucket/x?region=us-east-1", "s3n://bucket/x?region=us-east-1"):  # a region, so that none is looked up
+        store, path = warc.open_store(folder)
+        assert store.type_name == "s3" and path == "bucket/x"
