@@ -30,7 +30,7 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "text", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_removed", "n_chunks", "n_repeated")])
+    return cut.select("doc_id", "text", *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_removed", "n_passages", "n_repeated")])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = chat.read_back(chat.format_conversations(rows))
+    back = chat.read_back(chat.format_events(chat.log_of_rows(rows)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
     return back.select(

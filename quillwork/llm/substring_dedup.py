@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillwork.llm.arrow import texts
+from quillwork.llm.skew import split_by_hash, spread, unused
+from quillwork.llm.storage import written
 
 WINDOW_BYTES = 16
 RADIUS_WORDS = 3
@@ -98,66 +102,102 @@ def _digests(words: list[bytes], first: np.ndarray) -> list[int]:
     return [digest(b" ".join(words[a:b])) for a, b in zip(bounds, bounds[1:])]
 
 
-def _position(text: bytes | None, n: int) -> np.ndarray:
-    """Numbers of a text's chunks, told apart from those of another text with the same id."""
-    return (np.int64(xxhash.xxh32_intdigest(text or b"") >> 1) << np.int64(32)) + np.arange(n, dtype=np.int64)
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Equal numbers for equal ids, in their order; the largest for null."""
+    if pa.types.is_integer(ids.type):
+        values = pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        valid = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+    else:
+        valid = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+        values = np.array([b"" if x is None else str(x).encode() for x in ids.to_pylist()], object)
+    _, code = np.unique(values, return_inverse=True)
+    return np.where(valid, code, len(values))
 
 
-def _later(digest: np.ndarray, rank: np.ndarray, valid: np.ndarray, position: np.ndarray) -> np.ndarray:
+def _later(digest: np.ndarray, *place: np.ndarray) -> np.ndarray:
     """Which of the sorted chunks stand at another place than the first of their digest."""
     first = np.maximum.accumulate(np.where(np.r_[True, digest[1:] != digest[:-1]], np.arange(len(digest)), 0))
-    return (rank != rank[first]) | (valid != valid[first]) | (position != position[first])
+    return np.any([p != p[first] for p in place], axis=0)
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and position of every chunk whose digest another chunk before it has, by id (null last) and position.
+    """id, of (hash of the text), first (number of the first word) and size (in words) of every chunk whose digest
+    another chunk before it has, by id (null last), of and first.
 
     A chunk that is already second within its batch is known to repeat; it goes to a partition picked by its place, so
     that a frequent chunk sends a row for each batch, and not for each document, to the partition of its digest.
     """
+    places = ["key", "id", "of", "first", "size", "known"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
-            rank = np.zeros(len(batch), np.int64) if ids is None else ids
-            valid = np.array(batch.column(0).is_valid().to_pylist(), bool)
-            if ids is None:
-                rank[valid] = batch.column(0).drop_null().to_numpy()
-            found = []
-            for first, part in texts(batch.column(1)):
+            ids, found = _codes(batch.column(0)), []
+            for begin, part in texts(batch.column(2)):
                 for row, words, cuts in _chunks(part):
                     if len(words):
-                        found.append((first + row, np.array(_digests(words, cuts), np.uint64).view(np.int64), _position(part[row], len(cuts))))
+                        found.append((begin + row, np.array(_digests(words, cuts), np.uint64).view(np.int64), cuts, np.diff(np.r_[cuts, len(words)])))
             if not found:
                 continue
             row = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-            digest, position = (np.concatenate([f[k] for f in found]) for k in (1, 2))
-            order = np.lexsort((position, rank[row], ~valid[row], digest))
-            row, digest, position = row[order], digest[order], position[order]
-            later = _later(digest, rank[row], valid[row], position)
-            key = np.where(later, position * np.int64(2654435761) + rank[row], digest)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rank[row], mask=~valid[row]), pa.array(position), pa.array(later)], ["key", "id", "position", "known"])
+            digest, first, size = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
+            of = batch.column(1).to_numpy()[row]
+            order = np.lexsort((first, of, ids[row], digest))
+            row, of, digest, first, size = (c[order] for c in (row, of, digest, first, size))
+            later = _later(digest, ids[row], of, first)
+            key = np.where(later, of * np.int64(2654435761) + first, digest)
+            columns = [pa.array(key), batch.column(0).take(pa.array(row)), pa.array(of), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int16)), pa.array(later)]
+            yield pa.RecordBatch.from_arrays(columns, places)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None  # of the digest that the batch before ended in
+        begun = None  # the first row of the digest that the batch before ended in
         for batch in batches:
-            known = np.array(batch.column(3).to_pylist(), bool)
-            at = np.flatnonzero(~known)
-            if len(at):
-                valid = np.array(batch.column(1).is_valid().to_pylist(), bool)[at]
-                rank = np.array(pa.compute.fill_null(batch.column(1), 0))[at]
-                columns = [batch.column(0).to_numpy()[at], rank, valid, batch.column(2).to_numpy()[at]]
-                if first is not None:
-                    columns = [np.r_[f, c] for f, c in zip(first, columns, strict=True)]
-                again = _later(*columns)
-                begin = int(np.searchsorted(columns[0][::-1] != columns[0][-1], True))
-                first = [c[len(c) - begin : len(c) - begin + 1] for c in columns]
-                known[at[again[-len(at) :]]] = True
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["id", "position"]).filter(pa.array(known))
-
-    pieces = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, "key long, id long, position long, known boolean")
-    dealt = pieces.repartition("key").sortWithinPartitions("known", "key", F.col("id").asc_nulls_last(), "position")
-    return dealt.mapInArrow(repeats, "id long, position long")
+            unknown = batch.filter(pa.compute.invert(batch.column(5)))
+            found = [batch.filter(batch.column(5)).select(places[1:5])]
+            if len(unknown):
+                if begun is not None:
+                    unknown = pa.concat_batches([begun, unknown])
+                digest = unknown.column(0).to_numpy()
+                again = _later(digest, _codes(unknown.column(1)), unknown.column(2).to_numpy(), unknown.column(3).to_numpy())
+                found.append(unknown.filter(pa.array(again)).select(places[1:5]))
+                last = int(np.searchsorted(digest[::-1] != digest[-1], True))
+                begun = unknown.slice(len(unknown) - last, 1)
+            yield from found
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    pieces = spread(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("of"), F.col(text_col).alias("text"))).mapInArrow(apply, f"key long, id {kind}, of long, first int, size short, known boolean")
+    dealt = pieces.repartition("key").sortWithinPartitions("known", "key", F.col("id").asc_nulls_last(), "of", "first")
+    return dealt.mapInArrow(repeats, f"id {kind}, of long, first int, size short")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """id, of, and the passages of each document that has any: lists of first word, end and number of chunks.
+
+    A passage is a run of repeated chunks of ``min_run_words`` words in all. What is gathered in a row are the chunks of
+    one document, which is told by id and hash of its text: rows without id, or of one id, are so many documents.
+    """
+    rows = repeated_chunks(docs, id_col, text_col)
+    listed = rows.groupBy("id", "of").agg(F.collect_set(F.struct("first", "size")).alias("chunks")).filter("size(chunks) > 0").select("id", "of", F.sort_array("chunks").alias("chunks"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())
+            flat = batch.column(2).flatten()
+            first, size = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            kept, out = [], []
+            for row, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+                f, n = first[a:b], size[a:b]
+                head = np.flatnonzero(np.r_[True, f[1:] != f[:-1] + n[:-1]])
+                words = np.add.reduceat(n, head)
+                many = words >= min_run_words
+                if many.any():
+                    kept.append(row)
+                    chunks = np.diff(np.r_[head, len(f)])
+                    out.append([f[head][many], (f[head] + words)[many], chunks[many]])
+            columns = [pa.array([[int(x) for x in o[k]] for o in out], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64())), *columns], ["id", "of", "begin", "end", "chunks"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return listed.mapInArrow(apply, f"id {kind}, of long, begin array<int>, end array<int>, chunks array<int>")
 
 
 def _spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -167,60 +207,60 @@ def _spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def cut_runs(text: bytes, words: list[bytes], first: np.ndarray, repeated: np.ndarray, min_run_words: int) -> tuple[bytes, int]:
-    """The text without the runs of repeated chunks of at least ``min_run_words`` words; how many words went."""
-    bounds = np.r_[first, len(words)]
-    edge = np.diff(np.r_[False, repeated, False].astype(np.int8))
-    runs = [(int(bounds[a]), int(bounds[b])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-    runs = [(a, b) for a, b in runs if b - a >= min_run_words]
-    if not runs:
-        return text, 0
-    starts, _ = _spans(text)
-    starts = np.r_[starts, len(text)]
+def cut_runs(text: bytes, begin: list[int], end: list[int]) -> bytes:
+    """The text without the words of the passages, and the space after them."""
+    starts = np.r_[_spans(text)[0], len(text)]
     kept, at = [], 0
-    for a, b in runs:
+    for a, b in zip(begin, end, strict=True):
         kept.append(text[at : starts[a]])
         at = int(starts[b])
-    return b"".join([*kept, text[at:]]), sum(b - a for a, b in runs)
+    return b"".join([*kept, text[at:]])
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """All columns of ``docs``, with the text without repeated passages, and _n_words, _n_removed, _n_chunks, _n_repeated.
-
-    A chunk repeats if an earlier one (by id, null last, then position) has its digest. Consecutive repeated chunks of
-    ``min_run_words`` words in all are a repeated passage, and go with the space after them; shorter runs are chance
-    and stay. The first copy of each passage stays whole, but for what repeats inside it (a run of one cycle keeps its
-    first chunks). Chunks are of whole texts; words are compared exactly, the
-    space between them is not. Null texts stay null, empty ones empty. Rows with the same id and text count as one
-    document and get the same answer; null ids are one document for each text.
+    """All columns of ``docs``, with the text without repeated passages, and _n_words, _n_removed, _n_passages,
+    _n_repeated (chunks in the passages that went).
+
+    A chunk repeats if an earlier one (by id, null last, then text and position) has its digest. Consecutive repeated
+    chunks of ``min_run_words`` words in all are a repeated passage, and go with the space after them; shorter runs are
+    chance and stay. The first copy of each passage stays whole, but for what repeats inside it (a run of one cycle
+    keeps its first chunks). Chunks are of whole texts, however long; words are compared exactly, the space between
+    them is not. Null texts stay null, empty ones empty; an empty table gives no rows. Ids have any type; rows with the
+    same id and text count as one document and get the same answer; null ids are one document for each text. Columns
+    named like the four new ones are replaced; no other name clashes.
+
+    Only rows that may have a passage, by a bit of their hash, are moved to meet the list.
     """
-    gone = repeated_chunks(docs, id_col, text_col).groupBy("id").agg(F.collect_list("position").alias("__repeated"))
+    new = ("_n_words", "_n_removed", "_n_passages", "_n_repeated")
+    docs = docs.drop(*new)
     columns = docs.columns
-    keyed = docs.withColumn("__row", F.struct(*columns)).select("__row", F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("id")), "left")
-    joined = joined.select("__row.*", F.col("__repeated").alias("__repeated"))
-    at = columns.index(text_col)
-    extra = {"_n_words": "long", "_n_removed": "long", "_n_chunks": "long", "_n_repeated": "long"}
+    gone = written(repeated_passages(docs, id_col, text_col, min_run_words), "passages")
+    mark = {n: unused(columns, f"__{n}") for n in ("id", "of", "begin", "end", "chunks")}
+    gone = gone.select(*[F.col(n).alias(m) for n, m in mark.items()])
+    own = [F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            listed = batch.column(len(columns))
-            for begin, part in texts(batch.column(at)):
-                for row, words, first in _chunks(part):
-                    marks = listed[begin + row].values
-                    repeated = np.zeros(len(first), bool)
-                    if marks is not None and len(words):
-                        place = marks.to_numpy() - _position(part[row], 1)[0]
-                        repeated[place[(place >= 0) & (place < len(first))]] = True
-                    text, removed = (part[row], 0) if not repeated.any() else cut_runs(part[row], words, first, repeated, min_run_words)
-                    for to, value in zip(out, (text, len(words), removed, len(first), int(repeated.sum())), strict=True):
+            begins, ends, chunks = (batch.column(len(columns) + k) for k in range(3))
+            for at, part in texts(batch.column(columns.index(text_col))):
+                for row, text in enumerate(part, at):
+                    n = len((text or b"").split())
+                    if not begins[row].is_valid:
+                        values = (text, n, 0, 0, 0)
+                    else:
+                        a, b = begins[row].as_py(), ends[row].as_py()
+                        values = (cut_runs(text, a, b), n, sum(b) - sum(a), len(a), sum(chunks[row].as_py()))
+                    for to, value in zip(out, values, strict=True):
                         to.append(value)
             arrays = batch.columns[: len(columns)]
-            arrays[at] = pa.array(out[0], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in out[1:])], [*columns, *extra])
-
-    schema = docs.limit(0).select(*[F.col(c) for c in columns]).schema
-    for name in extra:
-        schema = schema.add(name, "long")
-    return joined.mapInArrow(apply, schema)
+            arrays[columns.index(text_col)] = pa.array(out[0], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in out[1:])], [*columns, *new])
+
+    schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in new)])
+    maybe, others = split_by_hash(docs, F.xxhash64(*own), gone, F.xxhash64(mark["id"], mark["of"]))
+    met = maybe.join(gone, own[0].eqNullSafe(F.col(mark["id"])) & (own[1] == F.col(mark["of"])), "left")
+    lists = [mark[n] for n in ("begin", "end", "chunks")]
+    none = [F.lit(None).cast("array<int>").alias(m) for m in lists]
+    every = met.select(*[F.col(f"`{c}`") for c in columns], *lists).unionByName(others.select("*", *none))
+    return every.mapInArrow(apply, schema)

@@ -130,3 +130,73 @@ def test_cuts_in_a_cycle_do_not_depend_on_the_text_before():
             assert len(bounds) >= 4
             chunks.append({tuple(text[a:b]) for a, b in zip(bounds, bounds[1:])})
         assert chunks[0] == chunks[1]
+
+
+def quadratic(rows):
+    """What goes, found by comparing every chunk with every one before it: (row, text without the passages)."""
+    texts = sorted({(i is None, i, t): t for i, t in rows}.items(), key=lambda x: (x[0][0], x[0][1] or 0))
+    seen, gone = set(), {}
+    for key, text in texts:
+        w = text.split()
+        first = [int(x) for x in substring_dedup.chunk_words([[x.encode() for x in w]])[0]] if w else []
+        marks = []
+        for a, b in zip(first, [*first[1:], len(w)]):
+            marks.append((a, b, tuple(w[a:b]) in seen))
+            seen.add(tuple(w[a:b]))
+        kept, k = [], 0
+        while k < len(marks):
+            end = k
+            while end < len(marks) and marks[end][2]:
+                end += 1
+            if end > k and marks[end - 1][1] - marks[k][0] < substring_dedup.MIN_RUN_WORDS or end == k:
+                kept += w[marks[k][0] : marks[max(end - 1, k)][1]]
+            k = max(end, k + 1)
+        gone[key] = kept
+    return [(i, " ".join(gone[(i is None, i, t)])) for i, t in rows]
+
+
+def test_against_quadratic_search(spark):
+    """Random texts that share passages of 10 to 90 words; texts are separate documents where ids repeat or are null."""
+    rng = random.Random(21)
+    shared = [words(rng, n) for n in range(10, 91, 2)]
+    rows = []
+    for k in range(300):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else words(rng, rng.randrange(30)) for _ in range(rng.randrange(6))]
+        rows.append((None if k % 50 == 7 else k, " ".join(x for p in parts for x in p)))
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    plain = lambda found: sorted(((i is None, i, " ".join(t.split())) for i, t in found), key=repr)
+    assert plain((r.doc_id, r.text) for r in got) == plain(quadratic(rows))
+    assert sum(r._n_removed for r in got) > 2000
+
+
+def test_recall_by_length(spark):
+    """Share of the words of planted passages that go from their second copy; chance repeats don't."""
+    rng = random.Random(22)
+    rows, planted = [], {}
+    for n in (25, 35, 50, 51, 80):
+        for k in range(100):
+            passage = words(rng, n)
+            for second in (0, 1):
+                i = len(rows)
+                rows.append((i, " ".join(words(rng, rng.randrange(5, 90)) + passage + words(rng, rng.randrange(5, 90)))))
+                if second:
+                    planted[i] = n
+    out = {r.doc_id: r._n_removed for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = {n: sum(out[i] > 0 for i, m in planted.items() if m == n) / 100 for n in (25, 35, 50, 51, 80)}
+    assert caught[51] == caught[80] == 1 and caught[50] >= 0.99 and caught[35] >= 0.85, caught
+    assert all(v == 0 for i, v in out.items() if i not in planted)
+
+
+def test_ids_of_any_type_and_many_rows_without(spark):
+    """String ids; 300 copies of one text without id, which are one document; other texts without id, which aren't."""
+    rng = random.Random(23)
+    line = words(rng, 80)
+    rows = [(f"d{k:03}", " ".join(words(rng, 15) + line)) for k in range(40)] + [(None, " ".join(line))] * 300 + [(None, " ".join(words(rng, 60))) for _ in range(50)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id string, text string, __repeated int, __id int, __begin int, _n_words int, id int")
+    out = substring_dedup.deduplicate(docs)
+    assert out.columns == ["doc_id", "text", "__repeated", "__id", "__begin", "id", "_n_words", "_n_removed", "_n_passages", "_n_repeated"]
+    got = out.collect()
+    assert len(got) == len(rows) and {(r["__repeated"], r["__id"], r["__begin"], r.id) for r in got} == {(1, 2, 3, 5)}
+    assert [r.doc_id for r in got if r.doc_id and r._n_removed == 0] == ["d000"]
+    assert {r._n_removed for r in got if r.doc_id is None and r.text != "" and len(r.text.split()) == 60} == {0}
+    assert sum(r.doc_id is None and r._n_removed > 0 for r in got) == 300
