@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from quillwork.llm.arrow import texts
 from quillwork.llm.components import connected_components
 from quillwork.llm.gray_index import Forest, gray_rank, link_between, link_within
-from quillwork.llm.skew import join_counted
+from quillwork.llm.skew import join_counted, split_by_hash, spread, unused
 from quillwork.llm.storage import written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = 1 << 16
+DENSE = 4  # chunks in a level-1 node from which on it is refined
 
 
 def fingerprint(text: bytes | None, shingle_words: int = 4, seed: int = 42) -> int:
@@ -48,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], [id_col, "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(apply, f"`{id_col}` {kind}, fingerprint long")
+    return spread(docs.select(id_col, text_col)).mapInArrow(apply, f"`{id_col}` {kind}, fingerprint long")
 
 
 def masks(most: int, shared: int) -> list[np.uint64]:
@@ -71,22 +72,54 @@ def shared_blocks(codes: int, most: int, node_codes: int = 512) -> int:
     return 8
 
 
+def _keyed(codes: DataFrame, patterns: list[np.uint64]) -> DataFrame:
+    """fingerprint and node (table, value) of every pattern."""
+    values = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(_signed(m))) for m in patterns])
+    return codes.select("fingerprint", F.posexplode(values).alias("table", "value")).select("fingerprint", F.struct("table", "value").alias("node"))
+
+
+def _signed(mask: np.uint64) -> int:
+    return int(np.uint64(mask).view(np.int64))
+
+
+def refined(mask: np.uint64, most: int) -> list[np.uint64]:
+    """``mask`` with each of most + 1 blocks of its other bits."""
+    free = [b for b in range(64) if not int(mask) >> b & 1]
+    cuts = [round(len(free) * k / (most + 1)) for k in range(most + 2)]
+    return [np.uint64(int(mask) | sum(1 << b for b in free[x:y])) for x, y in zip(cuts, cuts[1:])]
+
+
+def _refined(members: DataFrame, patterns: list[np.uint64], most: int) -> DataFrame:
+    """Members of level-1 nodes under the nodes below them; their tables are numbered on from those of ``patterns``."""
+    finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in refined(p, most)]) for p in patterns])
+    each = members.select("fingerprint", F.col("node.table").alias("of"), F.posexplode(finer[F.col("node.table")]).alias("k", "mask"))
+    table = (len(patterns) + F.col("of") * (most + 1) + F.col("k")).cast("int")
+    return each.select("fingerprint", F.struct(table.alias("table"), F.col("fingerprint").bitwiseAND(F.col("mask")).alias("value")).alias("node"))
+
+
 def links(distinct: DataFrame, most: int = 4, chunk: int = 4096) -> DataFrame:
     """Edges (a, b) that connect, directly or through others, all distinct fingerprints up to ``most`` bits apart.
 
     Level 1 of the index is dealt to the cluster: a node for each masked pattern (``masks``) and its value. Below it
     the fingerprints stand in Gray order under nodes of shared bits (``GrayIndex``), and pairs of nodes that differ in
     over ``most`` shared bits are pruned whole. A node gives a spanning forest of what it links, never all pairs. A
-    level-1 node of over ``chunk`` fingerprints is split by hash into chunks, and each pair of chunks is a unit of work
-    of its own, so no task holds more than two chunks at a time.
+    level-1 node of over DENSE chunks of fingerprints is first replaced by the nodes of finer patterns below it. A node
+    of over ``chunk`` fingerprints is split by hash into chunks, and each pair of chunks is a unit of work of its own,
+    so no task holds more than two chunks at a time. Frequent nodes' members stay where they are until they are split.
     """
-    n = distinct.count()
-    chosen = masks(most, shared_blocks(n, most))
-    signed = [int(np.int64(m.view(np.int64))) for m in chosen]
-    keyed = distinct.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "value"))
-    sizes = keyed.groupBy("table", "value").agg(F.count("*").alias("n"))
-    busy = sizes.filter("n > 1").select("table", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    members = keyed.join(busy, ["table", "value"])
+    chosen = masks(most, shared_blocks(distinct.count(), most))
+    keyed = _keyed(distinct, chosen)
+    sizes = written(keyed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
+    total = keyed.count()
+    dense = F.col("n") > DENSE * chunk
+    members = join_counted(keyed, sizes.filter(~dense).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "node", total)
+    if not sizes.filter(dense).isEmpty():
+        # A pattern of a dense node is refined by each of most + 1 blocks of its other bits: two codes in reach agree on one.
+        inside = written(join_counted(keyed, sizes.filter(dense).withColumn("dense", F.lit(True)), "node", total).drop("dense"), "dense-nodes")
+        finer = _refined(inside, chosen, most)
+        sizes = written(finer.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "finer-nodes")
+        members = members.unionByName(join_counted(finer, sizes.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "node", finer.count()))
+    members = members.select("fingerprint", "chunks", F.col("node.table").alias("table"), F.col("node.value").alias("value"))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
     units = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = units.select("table", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fingerprint")
@@ -150,14 +183,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = True, **options) -> DataFrame:
     """One row of each component, the first by id (null last) and hash of the text; all columns stay.
 
-    Of rows that repeat id and text, one stays. With ``one_per_id``, so does one of the representatives that share an
+    Rows that are no copy, by a bit of their hash, stay where they are. Of rows that repeat id and text, one stays. With ``one_per_id``, so does one of the representatives that share an
     id and differ in text (of null ids, all); without, each of them stays. Columns starting with __ are replaced.
     """
     keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__of", F.xxhash64(text_col))
     row = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__of").alias("of"))
     classes = near_duplicates(keyed.select(row.alias("__row"), text_col), id_col="__row", text_col=text_col, **options)
     gone = classes.filter(F.col("__row") != F.col("component_id")).select(F.col("__row.id").alias("__gone"), F.col("__row.of").alias("__gone_of")).distinct()
-    kept = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__of") == F.col("__gone_of")), "left_anti")
+    gone = written(gone, "gone")
+    maybe, others = split_by_hash(keyed, F.xxhash64("__id", "__of"), gone, F.xxhash64("__gone", "__gone_of"))
+    kept = others.unionByName(maybe.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__of") == F.col("__gone_of")), "left_anti"))
     repeated = keyed.groupBy("__id", "__of").count().filter("count > 1").select(F.col("__id").alias("__again"), F.col("__of").alias("__again_of"))
     if not repeated.isEmpty():
         kept = _once(kept, written(repeated, "repeated-rows"), F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__of") == F.col("__again_of")), ["__id", "__of"])
