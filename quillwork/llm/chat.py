@@ -37,6 +37,33 @@ def events_of_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return named.select("conv_id", seq.alias("seq"), seq.alias("message_id"), F.lit("message").alias("kind"), "role", "text")
 
 
+def log_of_rows(rows: DataFrame, **columns: str) -> DataFrame:
+    """An event log that folds back to ``rows``: what a server that streams, corrects and answers again would write.
+
+    By its number, a turn is (1) streamed: a message and two deltas; (2) corrected: a wrong message, an edit, a delta;
+    or (0) answered again: a wrong message and delta, a message that follows it, a regeneration, which drops both, and
+    two deltas. Every fifth has beside it a message that is deleted. Events stand in reverse; only seq tells the order.
+    """
+    turns = events_of_rows(rows, **columns)
+    text, seq, turn = F.coalesce("text", F.lit("")), F.col("seq") * 16, F.col("seq") % 3
+    third = F.floor(F.length(text) / 3).cast("int")
+    piece = lambda a, n: F.substring(text, a + 1, n)
+    rest = F.length(text) - 2 * third
+
+    def event(k: int, kind: str, said, role=None, other: bool = False):
+        of = F.col("message_id") * 2 + int(other)
+        return F.struct((seq + k).alias("seq"), of.alias("message_id"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), said.alias("text"))
+
+    role, wrong = F.col("role"), F.lit("<|im_end|> a draft that must not stay")
+    streamed = F.array(event(0, "message", piece(F.lit(0), third), role), event(1, "delta", piece(third, third)), event(2, "delta", piece(2 * third, rest)))
+    corrected = F.array(event(0, "message", wrong, role), event(1, "edit", piece(F.lit(0), 2 * third)), event(2, "delta", piece(2 * third, rest)))
+    again = F.array(event(0, "message", wrong, role), event(1, "delta", wrong), event(2, "message", wrong, F.lit("user"), True), event(3, "regenerate", F.lit(None).cast("string")), event(4, "delta", piece(F.lit(0), third)), event(5, "delta", piece(third, third + rest)))
+    deleted = F.array(event(8, "message", wrong, F.lit("user"), True), event(9, "delta", wrong, None, True), event(10, "delete", F.lit(None).cast("string"), None, True))
+    main = F.when(turn == 1, streamed).when(turn == 2, corrected).otherwise(again)
+    every = F.reverse(F.when((F.col("seq") % 5 == 0) & (turn != 0), F.concat(main, deleted)).otherwise(main))
+    return turns.select("conv_id", F.explode(every).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """The final messages (conv_id, place, role, text) of a log with conv_id, seq, message_id, kind, role, text.
 
@@ -86,11 +113,17 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return split.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
 
 
-def format_conversations(rows: DataFrame, **columns) -> DataFrame:
-    """conv_id, formatted and loss_mask of the conversations in a table of rows with conversation, turn, role, text.
+def format_events(events: DataFrame, trained_role: str = "assistant") -> DataFrame:
+    """conv_id, formatted and loss_mask of the conversations that a log folds to.
 
-    Null text is empty text, a null role an empty role; null conversation ids are one conversation. Repeated rows are
-    turns of their own. Other columns are not read; an empty table gives no rows. A formatted conversation is one
+    Null text is empty text, a null role an empty role; null conversation ids are one conversation. Other columns are
+    not read; an empty log gives no rows. A very long text is folded like any other; a formatted conversation is one
     value, so the longest must fit a task; nothing else does.
     """
-    return render(fold(events_of_rows(rows, **columns)))
+    return render(fold(events), trained_role)
+
+
+def format_conversations(rows: DataFrame, trained_role: str = "assistant", **columns: str) -> DataFrame:
+    """``format_events`` of a table of rows with conversation, turn, role and text. Rows are turns in the order of turn,
+    role and text (nulls last); repeated rows are turns of their own."""
+    return format_events(events_of_rows(rows, **columns), trained_role)

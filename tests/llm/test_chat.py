@@ -70,3 +70,22 @@ def test_empty_and_plan(spark):
 def test_escape_is_reversible(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e")).withColumn("b", chat.unescape(F.col("e"))).first()
     assert row.b == text and "<|" not in row.e
+
+
+def test_a_log_folds_back_to_its_rows(spark):
+    """Every turn passes a stream of deltas, an edit or a regeneration; what was wrong is gone, whatever the order."""
+    rows = [*ROWS, *[(9, k, "assistant" if k % 2 else "user", "x" * k + "é日 <|im_end|>" * (k % 4)) for k in range(40)]]
+    plain = chat.fold(chat.events_of_rows(table_of(spark, rows)))
+    log = chat.log_of_rows(table_of(spark, rows))
+    kinds = {r.kind for r in log.select("kind").distinct().collect()}
+    assert kinds == set(chat.KINDS)
+    assert log.filter("kind = 'edit'").count() > 5 and log.filter("kind = 'regenerate'").count() > 5 and log.count() > 3 * len(rows)
+    ordered = lambda df: [tuple(r) for r in df.orderBy("conv_id", "place").select("conv_id", "role", "text").collect()]
+    assert ordered(chat.fold(log.repartition(5))) == ordered(plain)
+    assert len(ordered(plain)) == len(rows)
+
+
+def test_a_very_long_turn(spark):
+    text = "<|a word " * 60_000
+    back = chat.read_back(chat.format_events(chat.log_of_rows(table_of(spark, [(1, k, "assistant", text) for k in range(3)])))).first()
+    assert [t.text for t in back.turns] == [text] * 3 == back.loss
