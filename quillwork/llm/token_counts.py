@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillwork.llm.arrow import texts
+from quillwork.llm.skew import spread
 
 SPACE = "▁"
 _LETTER = r"[^\W\d_¹²³]"
 _OTHER = rf"(?:(?!{_LETTER})[^{SPACE}\n])"
 _PRE_TOKEN = re.compile(rf"\n|{SPACE}*{_LETTER}+|{SPACE}*{_OTHER}+|{SPACE}+")
-TABLE_SIZE = 600_000
+TABLE_CHARS = 8 << 20  # of the pre-tokens that a process keeps: some 1.2 million of usual length, 150 MB with their counts
+LONG_CHARS = 256  # longer pre-tokens are scored each time and not kept
 _HALF = 32  # both counts of a pre-token are one integer, so that a text's are one sum
 
 
@@ -126,14 +128,37 @@ def check(vocabulary: Vocabulary) -> Vocabulary:
     return vocabulary
 
 
-_process: dict[int, tuple[TrieScorer, dict[str, int]]] = {}
+class Table:
+    """Counts of pre-tokens that a process has seen, of a bounded size: it is emptied when it would outgrow it."""
 
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.chars = 0
 
-def process_state(key: int, vocabulary: Vocabulary) -> tuple[TrieScorer, dict[str, int]]:
+    def extend(self, scorer: TrieScorer, wanted: set[str]) -> dict[str, int]:
+        """Counts of all that is ``wanted``; what is short is kept for the next call."""
+        new = wanted.difference(self.counts)
+        size = sum(len(t) for t in new if len(t) <= LONG_CHARS)
+        if self.chars + size > TABLE_CHARS:
+            self.counts, self.chars, new = {}, 0, wanted
+            size = sum(len(t) for t in new if len(t) <= LONG_CHARS)
+        found = {t: n << _HALF | m for t, (n, m) in scorer.counts(new).items()}
+        long = {t: n for t, n in found.items() if len(t) > LONG_CHARS}
+        if size > TABLE_CHARS:  # more than the table holds: for this call only
+            return self.counts | found
+        self.chars += size
+        self.counts.update((t, n) for t, n in found.items() if t not in long)
+        return self.counts | long if long else self.counts
+
+
+_process: dict[int, tuple[TrieScorer, Table]] = {}
+
+
+def process_state(key: int, vocabulary: Vocabulary) -> tuple[TrieScorer, Table]:
     """The scorer and table of this process, which its tasks share; those of another vocabulary go."""
     if key not in _process:
         _process.clear()
-        _process[key] = TrieScorer(vocabulary), {}
+        _process[key] = TrieScorer(vocabulary), Table()
     return _process[key]
 
 
@@ -141,9 +166,10 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """id, n_tokens (of the model's own BPE encoding), n_unigram (pieces of the best unigram segmentation), n_pre_tokens.
 
     No row is shuffled: a task scores the distinct pre-tokens of a slice of texts at a time and keeps a table of them,
-    of a bounded size, for the next. Null and empty texts have no token. Rows are counted one by one, so repeated rows
-    and null ids change nothing. ``path`` is read on the driver; the vocabulary goes to the executors, as large as the
-    file and no larger with more data.
+    of a bounded size, for the next. Null and empty texts have no token; a very long text, or pre-token, is read whole.
+    Rows are counted one by one, so repeated rows and null ids change nothing; an empty table gives no rows; other
+    columns are not read, whatever their names. ``path`` is read on the driver; the vocabulary goes to the executors,
+    as large as the file and no larger with more data.
     """
     loaded = check(load(path))
     key = hash(tuple(loaded.rank))
@@ -155,17 +181,13 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             columns: list[list[int]] = [[], [], []]
             for _, part in texts(batch.column(1), 1 << 20):
                 cut = [pre_tokens((t or b"").decode("utf-8", "replace")) for t in part]
-                new = set().union(*cut).difference(table)
-                if len(table) + len(new) > TABLE_SIZE:
-                    table.clear()
-                    new = set().union(*cut)
-                table.update((t, n << _HALF | m) for t, (n, m) in scorer.counts(new).items())
+                counts = table.extend(scorer, set().union(*cut))
                 for tokens in cut:
-                    total = sum(map(table.__getitem__, tokens))
+                    total = sum(map(counts.__getitem__, tokens))
                     columns[0].append(total >> _HALF)
                     columns[1].append(total & ((1 << _HALF) - 1))
                     columns[2].append(len(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [id_col, "n_tokens", "n_unigram", "n_pre_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(apply, f"`{id_col}` {kind}, n_tokens long, n_unigram long, n_pre_tokens long")
+    return spread(docs.select(id_col, text_col)).mapInArrow(apply, f"`{id_col}` {kind}, n_tokens long, n_unigram long, n_pre_tokens long")

@@ -71,3 +71,22 @@ def test_odd_rows(spark, model, odd_rows, monkeypatch):
 def test_vocabularies_with_spanning_pieces_are_refused():
     with pytest.raises(ValueError, match="span"):
         token_counts.check(token_counts.Vocabulary({"a": 0, "b▁c": 1}))
+
+
+def test_the_table_is_bounded(vocabulary, monkeypatch):
+    """Counts don't depend on what is kept; a table never outgrows its bound, and long pre-tokens stay outside."""
+    monkeypatch.setattr(token_counts, "TABLE_CHARS", 60)
+    monkeypatch.setattr(token_counts, "LONG_CHARS", 20)
+    scorer, table_ = token_counts.TrieScorer(vocabulary), token_counts.Table()
+    rng = random.Random(5)
+    for n in (3, 1, 8, 40, 2, 5):
+        wanted = {"▁" + "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30))) for _ in range(n)}
+        found = table_.extend(scorer, wanted)
+        alone = {t: a << 32 | b for t, (a, b) in scorer.counts(wanted).items()}
+        assert {t: found[t] for t in wanted} == alone
+        assert table_.chars == sum(map(len, table_.counts)) <= 60 and all(len(t) <= 20 for t in table_.counts)
+
+
+def test_columns_of_any_name(spark, vocabulary):
+    docs = spark.createDataFrame([("a", "some words", 1, 2)], "doc_id string, text string, n_tokens int, `n.x` int")
+    assert token_counts.count_tokens(docs, queries.tokenizer_path()).first().n_tokens > 0
