@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.arrow import texts
+from quillwork.llm.skew import spread
 
 UNDETERMINED = "und"
 
@@ -41,6 +42,10 @@ FAMILIES = {
     "albanian": "sq",
 }
 
+#: What is learned: languages with MIN_DOCS labelled rows or more, and the MOST_LANGUAGES that have the most of them, so
+#: that stray values of a label neither make classes of their own nor let the driver's work grow with the corpus.
+MIN_DOCS = 3
+MOST_LANGUAGES = 200
 _HASH_BITS = 15
 _DIMENSIONS = 1 << _HASH_BITS
 _SCALE = 10.0
@@ -173,16 +178,17 @@ class Model:
         return list(chosen), np.clip(scores, 0, 1)
 
 
-def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, docs_per_language: int, segments: int, epochs: int, penalty: float, seed: int) -> Model:
+def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, docs_per_language: int, segments: int, epochs: int, penalty: float, seed: int, min_docs: int = MIN_DOCS) -> Model:
     """Learns from at most ``docs_per_language`` whole texts of each language, those of the lowest hashed ids."""
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    counts = {r.lang: r.n for r in known.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model([])
     languages = sorted(counts)
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, 1.3 * docs_per_language / counts[lang])))])
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
+    sample = rows.filter(F.col("lang").isin(languages)).withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 30))
     sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).filter(F.col("k") <= docs_per_language)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +240,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     The model learns from rows with a language whose crc32 of the id is not 0 modulo 5, at most ``docs_per_language``
     whole texts of each. A null text, or one without a letter, gives ``und`` with score 0; so does every text where
-    there is nothing to learn from. Repeated rows and null ids are rows like any other (a null id is never held out
-    and never learned from); equal texts get equal answers. Other columns are not read.
+    there is nothing to learn from: a language counts from MIN_DOCS rows on. Very long texts are read whole. Repeated
+    rows and null ids are rows like any other (a null id is never held out and never learned from); equal texts get
+    equal answers; of languages that tie, the first by code is taken. Other columns are not read, whatever their names;
+    an empty table gives no rows.
     """
     model = fit(training_rows(docs, id_col), text_col, lang_col, id_col, docs_per_language, segments, epochs, penalty, seed)
 
@@ -244,7 +252,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             langs, scores = predict_batch(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out.names)
 
-    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
+    rows = spread(docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col)))
     out = rows.select(id_col, "held_out").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return rows.mapInArrow(apply, out)
 

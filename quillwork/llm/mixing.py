@@ -58,7 +58,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     The draw inverts the Poisson distribution whose mean is the source's rate at a number hashed from seed and id, so
     it needs no state, and a lost task draws the same again. A rate above PART_RATE is split into equal parts under it;
     the sum of the parts' independent draws has the same distribution. Rows go to random partitions and stand there in
-    random order: the hash of seed, id and copy decides both. Rows that repeat an id share its draw; a null id is
+    random order: the hash of seed, id and copy decides the order, and it and a hash of the row the partition, so that
+    rows of one id are spread. Rows that repeat an id share its draw; a null id is
     replaced by a hash of all columns, so only rows without id that are alike in full share one. An empty table gives
     no rows. Any rate is drawn; only a caller who gives ``max_rate`` has rates above it refused.
     Columns named like the two new ones or starting with __ are replaced.
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     if in_parts:
         copies = copies.unionByName(_many_copies(joined(table.filter("__parts > 1")), "__id", seed))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.col("__id"), F.col("copy")))).drop("__id")
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.repartition("shuffle_key", F.xxhash64(*[F.col(f"`{c}`") for c in keyed.columns])).sortWithinPartitions("shuffle_key")
 
 
 def _many_copies(joined: DataFrame, id_col: str, seed: int) -> DataFrame:

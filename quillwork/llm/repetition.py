@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillwork.llm.arrow import texts
+from quillwork.llm.skew import spread
 
 BASE_WINDOW = 3
 
@@ -156,7 +157,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """id, the base counts and verdicts of every row, from its whole text.
 
     A null text has no words, as an empty one; both fail the base rules. Rows are judged one by one, so repeated rows
-    and null ids change nothing. A text is one suffix array whatever its length; short ones share an array.
+    and null ids change nothing; an empty table gives no rows; other columns are not read, whatever their names. A text
+    is one suffix array whatever its length; short ones share an array.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +168,4 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(part)], *(pa.array(found[c]) for c in _COLUMNS)], [id_col, *_COLUMNS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(apply, f"`{id_col}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    return spread(docs.select(id_col, text_col)).mapInArrow(apply, f"`{id_col}` {kind}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillwork.llm import language_id
@@ -59,3 +60,59 @@ def test_families_are_disjoint():
     assert len(codes) == len(set(codes))
     assert language_id.family_of("de") == language_id.family_of("en") != language_id.family_of("fr")
     assert language_id.family_of("xx") == "xx"
+
+
+def test_predictions_equal_dense_dot_products(spark, sf_dir):
+    """Every text's margins from a dense count of its grams, one by one; then families' and pairs' decisions as defined."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.training_rows(docs), "text", "lang", "doc_id", 40, 2, 2, 1e-4, 17)
+    assert len(model.families) > 1 and model.pairs
+    rng = np.random.default_rng(3)
+    model.weights = model.weights + rng.normal(0, 0.02, model.weights.shape).astype(np.float32)  # so that pairs disagree
+    texts = [r.text.encode() for r in docs.select("text").limit(60).collect() if language_id.has_letter((r.text or "").encode())]
+
+    def code(gram, four):
+        n = int.from_bytes(gram, "little")
+        n = (n ^ 0x9E3779B9) if four else n + 1
+        return (n * 2654435761 % 2**32) >> (32 - language_id._HASH_BITS)
+
+    def margins(text):
+        folded = bytes(c if c >= 128 else (c | 32 if chr(c).isalpha() else 32) for c in b" " + text + b"  ")
+        grams = [(folded[k : k + n], n == 4) for n in (3, 4) for k in range(len(folded) - n + 1)]
+        counts = np.zeros(language_id._DIMENSIONS)
+        total = 0
+        for g, four in grams:
+            if b"  " not in g:
+                counts[code(g, four)] += 1
+                total += 1
+        return model.weights.astype(float) @ counts * (language_id._SCALE / max(total, 1)) + model.biases
+
+    expected = []
+    for t in texts:
+        m = margins(t)
+        family = model.families[int(np.argmax(m[: len(model.families)]))]
+        members = [x for x in model.languages if language_id.family_of(x) == family]
+        votes = dict.fromkeys(members, 0.0)
+        for k, (a, b) in enumerate(model.pairs):
+            if a in votes:
+                x = m[len(model.families) + k]
+                p = 1 / (1 + np.exp(-2 * x))
+                votes[a] += (x >= 0) + p / len(members)
+                votes[b] += (x < 0) + (1 - p) / len(members)
+        expected.append(max(members, key=lambda x: votes[x]))
+    assert model.predict(texts)[0] == expected and len(set(expected)) > 2
+
+
+def test_stray_labels_make_no_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    stray = docs.withColumn("lang", F.when(F.col("doc_id") % 40 == 3, F.concat(F.lit("junk-"), F.col("doc_id"))).otherwise(F.col("lang")))
+    langs = {r.lang for r in docs.select("lang").distinct().collect()} | {language_id.UNDETERMINED}
+    assert {r.lang_pred for r in language_id.identify(stray).select("lang_pred").distinct().collect()} <= langs
+
+
+def test_very_long_text_and_empty_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    long = docs.filter("lang = 'de'").limit(1).selectExpr("-1 AS doc_id", "repeat(concat(text, ' '), 3000) AS text", "CAST(NULL AS STRING) AS lang")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs.unionByName(long)).collect()}
+    assert got[-1] == "de"
+    assert language_id.identify(docs.limit(0)).count() == 0

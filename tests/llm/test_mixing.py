@@ -100,3 +100,9 @@ def test_rows_without_id_are_drawn_one_by_one(spark):
     found = Counter(times.get(f"t{k}", 0) for k in range(2000))
     assert all(abs(found[k] - 2000 * math.exp(-1) / math.factorial(k)) < 5 * math.sqrt(2000 * math.exp(-1)) for k in range(4))
     assert len({r.shuffle_key for r in got}) == len(got)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = spark.createDataFrame([(5, f"text {k}", "en", "a") for k in range(2000)], "doc_id long, text string, lang string, source string")
+    found = mixing.mix(docs, seed=1).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert not found or max(r["count"] for r in found) < 0.6 * sum(r["count"] for r in found)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from quillwork.llm import queries
+from quillwork.llm import queries, storage
 from quillwork.llm.storage import written
 from quillwork.tables import table
 from tests.llm.conftest import PROSE
@@ -20,7 +22,11 @@ def test_stages_in_order(spark, sf_dir):
         assert docs.columns == columns, name
         assert 0.5 * before < docs.count() <= before
         before = docs.count()
-    assert corpus_pipeline.run(spark, sf_dir).columns == [*columns, "copy", "shuffle_key"]
+    folder = Path(storage.shared_dir(spark).removeprefix("file://")) / "quillwork"
+    tables = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == [*columns, "copy", "shuffle_key"] and out.count() > 0
+    assert {f.name.rsplit("-", 1)[0] for f in set(folder.iterdir()) - tables} == {"pipeline-mixing"}
 
 
 def test_stages_with_odd_rows(spark, sf_dir):
@@ -56,8 +62,6 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
 
 def test_shared_folder(spark, monkeypatch):
     """The session's setting, and an own local folder where there is none."""
-    from quillwork.llm import storage
-
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     monkeypatch.setattr(storage, "CHECKPOINT_SETTING", "spark.quillwork.unset")
     own = storage.shared_dir(spark)
@@ -66,4 +70,7 @@ def test_shared_folder(spark, monkeypatch):
     assert df.count() == 3 and all(f.startswith(own) for f in df.inputFiles())
     storage.remove(df)
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
-        spark.read.parquet(df.inputFiles()[0]).count()
+        spark.read.parquet(df._quillwork_path).count()
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="share"):
+        storage.shared_dir(spark)
