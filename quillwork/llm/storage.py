@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}  # by application, where the setting is unset
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +37,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quillwork_path = path
+    if _scopes:
+        _scopes[-1].append(table)
+    return table
 
 
-def remove(df: DataFrame) -> None:
+def remove(table: DataFrame) -> None:
     """Deletes a table that ``written`` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._quillwork_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def only_kept(keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes the tables that are ``written`` inside, but for those that stand in ``keep`` at the end."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for table in made:
+            if not any(table is k for k in keep):
+                remove(table)
