@@ -71,6 +71,6 @@ def test_shared_folder(spark, monkeypatch):
     storage.remove(df)
     with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
         spark.read.parquet(df._quillwork_path).count()
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(RuntimeError, match="share"):
         storage.shared_dir(spark)
