@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.ranges import sums_before
+
 CATEGORIES = 5
 
 
@@ -23,11 +25,10 @@ def average_rank(c: str, *partition: str) -> Column:
 def rank_table(df: DataFrame, column: str, to: str) -> DataFrame:
     """W-7 for a whole table without one task that sorts all of it: ranks of the distinct values, joined back.
 
-    The values' counts are summed up first, so the window stands over distinct values only.
+    The values' counts are summed up first, and then over ranges of values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(column).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(to))
+    ranks = sums_before(counts, column, __before=F.col("__n")).select(F.col(column).alias("__v"), (F.col("__before") + (F.col("__n") + 1) / 2).alias(to))
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 

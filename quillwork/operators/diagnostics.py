@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.operators.contracts import ContractError
+
 REFERENCE_WORDS = 140
+MAX_VALUES = 100_000
 
 
 def match_ordered(pre: list[tuple[int, str]], qa: list[tuple[int, str]], caliper: int) -> list[tuple[int, int]]:
@@ -42,10 +45,16 @@ def match_ordered(pre: list[tuple[int, str]], qa: list[tuple[int, str]], caliper
 def length_matches(units: DataFrame, caliper: int = 15) -> DataFrame:
     """M-8: pairs of a presentation and a Q&A unit of one period (period_bin, section, unit_id, words, score).
 
-    Each period is matched in a task of its own: the units are an evaluation sample, whose size the protocol bounds.
+    A period's units are cut into pieces where two lengths that follow each other are more than the caliper apart: no
+    pair spans such a gap, so the pieces are matched separately, each in a task of its own.
     """
+    typed = units.select(F.col("period_bin").cast("string").alias("period_bin"), "section", F.col("unit_id").cast("string").alias("unit_id"), F.col("words").cast("long").alias("words"), F.col("score").cast("double").alias("score"))
+    lengths = typed.select("period_bin", "words").distinct()  # the windows stand over distinct lengths, not units
+    order = Window.partitionBy("period_bin").orderBy("words")
+    gaps = lengths.withColumn("gap", F.col("words") - F.lag("words").over(order))
+    pieces = gaps.select("period_bin", "words", F.sum(F.when(F.col("gap") > caliper, 1).otherwise(0)).over(order).alias("piece"))
 
-    def per_period(rows: pd.DataFrame) -> pd.DataFrame:
+    def per_piece(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["words", "unit_id"])
         pre, qa = rows[rows.section == "PRE"], rows[rows.section == "Q&A"]
         pairs = match_ordered(list(zip(pre.words, pre.unit_id)), list(zip(qa.words, qa.unit_id)), caliper)
@@ -53,20 +62,23 @@ def length_matches(units: DataFrame, caliper: int = 15) -> DataFrame:
         return pd.DataFrame({"period_bin": p.period_bin, "pre_unit_id": p.unit_id, "qa_unit_id": q.unit_id, "pre_words": p.words, "qa_words": q.words, "absolute_word_difference": (p.words - q.words).abs(), "qa_minus_pre_score": q.score - p.score})
 
     schema = "period_bin string, pre_unit_id string, qa_unit_id string, pre_words long, qa_words long, absolute_word_difference long, qa_minus_pre_score double"
-    typed = units.select(F.col("period_bin").cast("string").alias("period_bin"), "section", F.col("unit_id").cast("string").alias("unit_id"), F.col("words").cast("long").alias("words"), F.col("score").cast("double").alias("score"))
-    return typed.groupBy("period_bin").applyInPandas(per_period, schema)
+    return typed.join(pieces, ["period_bin", "words"]).groupBy("period_bin", "piece").applyInPandas(per_piece, schema)
 
 
 def bootstrap(values: DataFrame, value: str, group: str | None = None, draws: int = 10_000, seed: int = 20260720, tasks: int = 16) -> DataFrame:
     """M-7: one row: the mean (or, with a ``group`` column of pre and qa, the difference of their means) and its 95 %
     interval. Draws are dealt to tasks; each has a generator of its own number, so results don't depend on the tasks.
 
-    The generator is numpy's, so the interval differs from another generator's by chance. The values, one evaluation
-    sample, go to each task.
+    A draw with replacement is a multinomial draw of the distinct values' counts, so what goes to the tasks are distinct
+    values: scores, of which there may be MAX_VALUES. The generator is numpy's, so the interval differs from another
+    generator's by chance.
     """
     spark = values.sparkSession
-    rows = values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.lit("all") if group is None else F.col(group)).alias("g")).toPandas().sort_values(["g", "v"])
-    sides = {k: x.v.to_numpy() for k, x in rows.groupby("g")}
+    rows = values.filter(F.col(value).isNotNull()).groupBy((F.lit("all") if group is None else F.col(group)).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    found = rows.limit(MAX_VALUES + 1).toPandas().sort_values(["g", "v"])
+    if len(found) > MAX_VALUES:
+        raise ContractError(f"over {MAX_VALUES} distinct values")
+    sides = {k: (x.v.to_numpy(), x.n.to_numpy()) for k, x in found.groupby("g")}
     wanted = ["all"] if group is None else ["pre", "qa"]
     if any(k not in sides for k in wanted):
         return spark.createDataFrame([(None, None, None, 0)], "estimate double, low double, high double, draws int")
@@ -76,46 +88,64 @@ def bootstrap(values: DataFrame, value: str, group: str | None = None, draws: in
             out = []
             for k in batch.id:
                 rng = np.random.default_rng([seed, int(k)])
-                means = [rng.choice(sides[s], len(sides[s])).mean() for s in wanted]
+                means = [(rng.multinomial(n.sum(), n / n.sum()) @ v) / n.sum() for v, n in (sides[s] for s in wanted)]
                 out.append(means[-1] - (means[0] if group else 0.0))
             yield pd.DataFrame({"m": out})
 
     drawn = spark.range(0, draws, 1, tasks).mapInPandas(draw, "m double")
     ordered = drawn.agg(F.array_sort(F.collect_list("m")).alias("m"))  # as many numbers as draws
-    point = sides[wanted[-1]].mean() - (sides[wanted[0]].mean() if group else 0.0)
-    return ordered.select(F.lit(float(point)).alias("estimate"), F.get("m", F.lit(int(0.025 * draws))).alias("low"), F.get("m", F.lit(min(draws - 1, int(0.975 * draws)))).alias("high"), F.size("m").alias("draws"))
+    mean = {s: float(v @ n / n.sum()) for s, (v, n) in sides.items()}
+    point = mean[wanted[-1]] - (mean[wanted[0]] if group else 0.0)
+    return ordered.select(F.lit(point).alias("estimate"), F.get("m", F.lit(int(0.025 * draws))).alias("low"), F.get("m", F.lit(min(draws - 1, int(0.975 * draws)))).alias("high"), F.size("m").alias("draws"))
 
 
-def hc3(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """M-9: coefficients and their HC3 covariance; None where rank, freedom, variation or leverage leave it undefined."""
-    if len(y) <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1] or np.std(y) == 0:
+def hc3(rows: DataFrame, terms: dict[str, Column], y: Column) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """M-9: coefficients, their HC3 covariance and n; None where rank, freedom, variation or leverage leave it undefined.
+
+    Two passes of sums that Spark adds up map side: the products of the terms, then the outer products weighted by each
+    row's squared residual over 1 minus its leverage. What comes to the driver are matrices of the terms' number.
+    """
+    k = len(terms)
+    named = rows.select(*[t.cast("double").alias(f"x{i}") for i, t in enumerate(terms.values())], y.cast("double").alias("y"))
+    x = [F.col(f"x{i}") for i in range(k)]
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    first = named.agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in upper], *[F.sum(x[i] * F.col("y")).alias(f"q{i}") for i in range(k)]).first()
+    if first.n <= k or first.lo == first.hi:
+        return None
+    products = np.array([[first[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    if np.linalg.matrix_rank(products, hermitian=True) < k:
         return None
-    inverse = np.linalg.pinv(x.T @ x)
-    leverage = np.einsum("ij,jk,ik->i", x, inverse, x)
-    if (leverage >= 1 - 1e-8).any():
+    inverse = np.linalg.pinv(products, hermitian=True)
+    beta = inverse @ np.array([first[f"q{i}"] for i in range(k)])
+    total = lambda parts: sum(parts[1:], parts[0])
+    leverage = total([x[i] * x[j] * float(inverse[i, j] * (1 if i == j else 2)) for i, j in upper])
+    weighted = named.withColumn("h", leverage).withColumn("e", F.col("y") - total([x[i] * float(b) for i, b in enumerate(beta)]))
+    square = F.pow(F.try_divide(F.col("e"), 1 - F.col("h")), F.lit(2))
+    second = weighted.withColumn("w", square).agg(F.max("h").alias("h"), *[F.sum(x[i] * x[j] * F.col("w")).alias(f"m{i}_{j}") for i, j in upper]).first()
+    if second.h >= 1 - 1e-8:
         return None
-    beta = inverse @ (x.T @ y)
-    scaled = x * ((y - x @ beta) / (1 - leverage))[:, None]
-    return beta, inverse @ (scaled.T @ scaled) @ inverse
+    middle = np.array([[second[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    return beta, inverse @ middle @ inverse, first.n
 
 
 def length_regression(units: DataFrame, interaction: bool = False) -> DataFrame:
     """M-9: score on section, log words (centred at REFERENCE_WORDS) and its square, and periods; a row for each term
-    with estimate, HC3 error, interval and normal p; no rows where it is undefined. The units are an evaluation sample."""
+    with estimate, HC3 error, interval and normal p; no rows where it is undefined."""
     spark = units.sparkSession
-    rows = units.filter("score is not null and words > 0").select("section", F.col("period_bin").cast("string").alias("period_bin"), F.col("words").cast("double").alias("words"), F.col("score").cast("double").alias("score")).toPandas()
+    rows = units.filter("score is not null and words > 0").select("section", F.col("period_bin").cast("string").alias("period_bin"), F.col("words").cast("double").alias("words"), F.col("score").cast("double").alias("score"))
     schema = "term string, estimate double, hc3_standard_error double, ci95_low double, ci95_high double, normal_approx_p double, n long"
-    if set(rows.section) != {"PRE", "Q&A"}:
+    known = rows.agg(F.collect_set("section").alias("sections"), F.array_sort(F.collect_set("period_bin")).alias("periods")).first()  # names of sections and periods
+    if set(known.sections) != {"PRE", "Q&A"}:
         return spark.createDataFrame([], schema)
-    qa, size = (rows.section == "Q&A").to_numpy(float), np.log(rows.words.to_numpy() / REFERENCE_WORDS)
-    terms = {"intercept_pre_at_140_words": np.ones(len(rows)), "qa_indicator": qa, "log_words_centered": size, "log_words_centered_squared": size**2}
+    qa, size = F.when(F.col("section") == "Q&A", 1.0).otherwise(0.0), F.log(F.col("words") / REFERENCE_WORDS)
+    terms = {"intercept_pre_at_140_words": F.lit(1.0), "qa_indicator": qa, "log_words_centered": size, "log_words_centered_squared": size * size}
     if interaction:
         terms["qa_x_log_words_centered"] = qa * size
-    terms |= {f"period_{p}": (rows.period_bin == p).to_numpy(float) for p in sorted(rows.period_bin.unique())[1:]}
-    fitted = hc3(np.column_stack(list(terms.values())), rows.score.to_numpy())
+    terms |= {f"period_{p}": F.when(F.col("period_bin") == p, 1.0).otherwise(0.0) for p in known.periods[1:]}
+    fitted = hc3(rows, terms, F.col("score"))
     if fitted is None:
         return spark.createDataFrame([], schema)
-    beta, covariance = fitted
+    beta, covariance, n = fitted
     errors = np.sqrt(np.maximum(np.diag(covariance), 0))
-    out = [(name, float(b), float(e), float(b - 1.96 * e), float(b + 1.96 * e), math.erfc(abs(b / e) / math.sqrt(2)) if e else None, len(rows)) for name, b, e in zip(terms, beta, errors, strict=True)]
+    out = [(name, float(b), float(e), float(b - 1.96 * e), float(b + 1.96 * e), math.erfc(abs(b / e) / math.sqrt(2)) if e else None, n) for name, b, e in zip(terms, beta, errors, strict=True)]
     return spark.createDataFrame(out, schema)

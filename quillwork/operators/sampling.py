@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.ranges import sums_before
 from quillwork.functions.text import first_reason
 
 
@@ -126,9 +127,7 @@ def spread_sample(df: DataFrame, event: str, key: str, n: int) -> DataFrame:
     """
     inner = Window.partitionBy(event).orderBy(key)
     placed = df.withColumn("__in", F.row_number().over(inner))
-    per = placed.groupBy(event).agg(F.max("__in").alias("__size"))
-    order = Window.orderBy(event)
-    per = per.withColumns({"__event": F.row_number().over(order) - 1, "__rest": F.sum(F.col("__size") - 1).over(order) - (F.col("__size") - 1)})
+    per = sums_before(placed.groupBy(event).agg(F.max("__in").alias("__size")).filter(F.col(event).isNotNull()), event, __event=F.lit(1), __rest=F.col("__size") - 1)
     totals = per.agg(F.count("*").alias("events"), F.sum(F.col("__size") - 1).alias("rest")).first()
     groups, rest = totals.events, totals.rest or 0
     if n <= 0 or not groups:
@@ -161,9 +160,6 @@ def batches(df: DataFrame, key: str, size: int) -> DataFrame:
 
     Ranges of the key are numbered by the counts of the ranges before them.
     """
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    inner = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    counts = inner.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    joined = inner.join(F.broadcast(before), "__p")  # a row for each partition
-    return joined.withColumn("batch_id", F.floor((F.col("__before") + F.col("__in") - 1) / size)).drop("__p", "__in", "__before")
+    counts = sums_before(df.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col(key).isNotNull()), key, __before=F.col("__n"))
+    joined = df.withColumn("__in", F.row_number().over(Window.partitionBy(key).orderBy(key))).join(counts, key)
+    return joined.withColumn("batch_id", F.floor((F.col("__before") + F.col("__in") - 1) / size)).select(*df.columns, "batch_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.ranges import sums_before
 from quillwork.functions.dates import quarter_text
 from quillwork.functions.text import first_reason, reasons
 from quillwork.operators.tenure import EXACT
@@ -66,7 +67,7 @@ def turnovers(tenures: DataFrame, panel: DataFrame, max_gap_days: int = 120) ->
     within = Window.partitionBy("gvkey").orderBy("place")
     numbered = pairs.withColumn("k", F.row_number().over(within))
     firms = numbered.groupBy("gvkey").agg(F.count("*").alias("n"))
-    before = firms.select("gvkey", (F.sum("n").over(Window.orderBy("gvkey")) - F.col("n")).alias("before"))
+    before = sums_before(firms, "gvkey", before=F.col("n")).drop("n")
     ranked = numbered.join(before, "gvkey").withColumn("turnover_id", F.format_string("execucomp_turnover_%05d", F.col("before") + F.col("k")))
     calls = episode_calls(panel)
     for name in ("old", "new"):

@@ -28,7 +28,8 @@ def chunks(c: Column, max_words: int = MAX_WORDS, min_tail: int = MIN_TAIL) -> C
     Longer sentences are cut by words. A last chunk under ``min_tail`` words joins the one before, which may then be
     longer. The chunks joined by spaces are the cleaned text; '' has none.
     """
-    hard = lambda s: F.transform(F.sequence(F.lit(0), F.floor((_words(s) - 1) / max_words).cast("int")), lambda k: F.array_join(F.slice(F.split(s, " "), k * max_words + 1, max_words), " "))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / max_words).cast("int")), lambda k: F.array_join(F.slice(w, k * max_words + 1, max_words), " "))
+    hard = lambda s: let(F.split(s, " "), cut)
 
     def pack(pieces: Column, counts: Column) -> Column:
         """The first piece of each chunk, packed over the counts alone; the texts are joined once, at the end."""

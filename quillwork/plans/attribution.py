@@ -13,7 +13,8 @@ from quillwork.operators.turns import fetch_audit as audit_turns
 from quillwork.operators.turns import in_order, section
 from quillwork.plans import domain
 from quillwork.plans.registry import query
-from quillwork.tables import table
+from quillwork.storage import written
+from quillwork.tables import spread, table
 
 _CLEAN = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
 _NORM = r"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -23,7 +24,7 @@ _NORM = r"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))
 def clean_and_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-1, T-2, T-6."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean(text)).cast("long").alias("clean_length"), word_count(text).alias("words"), F.md5(norm(text)).alias("norm_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.length(clean(text)).cast("long").alias("clean_length"), word_count(text).alias("words"), F.md5(norm(text)).alias("norm_md5"))
 
 
 @query(
@@ -63,7 +64,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def procedure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-12 to T-15 and T-18 over conversation turns; look-arounds and grammars are fixture-tested."""
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", procedure.procedure_kind(t).alias("kind"), procedure.acknowledgement(t).alias("acknowledgement"), F.array_join(procedure.answer_flags(t), ";").alias("answer_flags"))
+    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", procedure.procedure_kind(t).alias("kind"), procedure.acknowledgement(t).alias("acknowledgement"), F.array_join(procedure.answer_flags(t), ";").alias("answer_flags"))
 
 
 @query(
@@ -262,7 +263,8 @@ def turnover_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     turns = domain.turns(spark, sf_dir)
     found = _identity(spark, sf_dir).select("event_id", "shared_keys", "shared_labels", F.filter(F.split("identity_flags", ";"), lambda f: f != "").alias("flags"))
-    return turns, found, episodes.blocks(turns, found)
+    found = written(found, "anchors")
+    return turns, found, written(episodes.blocks(turns, found), "blocks")
 
 
 _RUNS = f"""rn AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' AND coalesce(prev, '') <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block_no FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations WHERE role <> 'system')),
@@ -300,14 +302,14 @@ def block_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pre_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-19, E-6, W-9, C-9 over documents; RE2 has no look-behind, so the chunks are tested to give their text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents")))
     return units.pre_units(docs, ["doc_id"])
 
 
 @query("""SELECT CAST(0 AS BIGINT) AS doc_id WHERE false""")
 def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-19: chunks joined are the cleaned text, so none."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents")))
     return units.chunk_violations(docs, units.pre_units(docs, ["doc_id"]), ["doc_id"])
 
 

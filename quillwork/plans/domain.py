@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import clean, word_count
-from quillwork.tables import table
+from quillwork.tables import spread, table
 
 # Speaker labels that stand for the roles of conversations: an executive who speaks in both sections, and questioners.
 EXECUTIVE = "Jane Roe, Acme - Chief Executive Officer"
@@ -105,7 +105,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, sequence_id, section (PRE or Q&A), role, text_name, text_contents from conversations."""
     section = F.when(F.col("role") == "system", "PRE").otherwise("Q&A")
     name = F.when(F.col("role") == "user", QUESTIONER).otherwise(EXECUTIVE)
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"), F.col("turn").alias("sequence_id"), section.alias("section"), "role", name.alias("text_name"), F.col("text").alias("text_contents"))
+    return spread(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("event_id"), F.col("turn").alias("sequence_id"), section.alias("section"), "role", name.alias("text_name"), F.col("text").alias("text_contents"))
 
 
 UNITS_SQL = r"""un AS (SELECT conv_id AS event_id, turn AS sequence_id, CASE WHEN role = 'system' THEN 'PRE' ELSE 'Q&A' END AS section, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations WHERE role <> 'user'),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.functions import stats
+from quillwork.functions import ranges, stats
 from quillwork.operators import census, contracts, coverage, diagnostics, gate, sampling, scoring, tenure, turnover, units
 from quillwork.plans import measures, samples
 
@@ -352,3 +352,41 @@ def test_require_schema():
     for bad in (None, [], {}, {**expected, "required": ["score"]}, {**expected, "properties": {"score": {"type": "integer", "minimum": 0, "title": "t"}}}, {**expected, "properties": {"score": {"type": "integer", "minimum": 0.0}}}):
         with pytest.raises(ValueError, match="response schema"):
             scoring.require_schema(bad, expected)
+
+
+def test_regression_equals_dense_hc3(spark):
+    rng = np.random.default_rng(2)
+    n = 120
+    words, qa, period = rng.integers(20, 400, n), rng.integers(0, 2, n), rng.integers(0, 3, n)
+    score = rng.integers(1, 6, n).astype(float)
+    df = spark.createDataFrame([(f"p{p}", "Q&A" if q else "PRE", str(k), int(w), float(s)) for k, (w, q, p, s) in enumerate(zip(words, qa, period, score))], "period_bin string, section string, unit_id string, words long, score double")
+    size = np.log(words / 140)
+    x = np.column_stack([np.ones(n), qa, size, size**2, qa * size, period == 1, period == 2]).astype(float)
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ score
+    scaled = x * ((score - x @ beta) / (1 - np.einsum("ij,jk,ik->i", x, inverse, x)))[:, None]
+    errors = np.sqrt(np.diag(inverse @ scaled.T @ scaled @ inverse))
+    got = diagnostics.length_regression(df, interaction=True).collect()
+    assert np.allclose([r.estimate for r in got], beta) and np.allclose([r.hc3_standard_error for r in got], errors) and got[0].n == n
+
+
+def test_matching_in_pieces_is_as_good_as_whole(spark):
+    rng = random.Random(4)
+    rows = [(f"p{rng.randrange(2)}", rng.choice(["PRE", "Q&A"]), f"{k:03}", rng.randrange(600), float(k % 5)) for k in range(150)]
+    got = diagnostics.length_matches(spark.createDataFrame(rows, "period_bin string, section string, unit_id string, words long, score double"), 6).collect()
+    for p in ("p0", "p1"):
+        pre, qa = (sorted((w, u) for q, s, u, w, _ in rows if (q, s) == (p, side)) for side in ("PRE", "Q&A"))
+        pairs = diagnostics.match_ordered(pre, qa, 6)
+        mine = [r.absolute_word_difference for r in got if r.period_bin == p]
+        assert (len(mine), sum(mine)) == (len(pairs), sum(abs(pre[i][0] - qa[j][0]) for i, j in pairs))
+
+
+def test_sums_before(spark):
+    rng = random.Random(6)
+    rows = [(f"k{k:04}", rng.randrange(9)) for k in range(500)]
+    got = ranges.sums_before(spark.createDataFrame(rows, "k string, n int").repartition(7), "k", before=F.col("n"), place=F.lit(1)).collect()
+    total = 0
+    for place, r in enumerate(sorted(got)):
+        assert (r.before, r.place) == (total, place)
+        total += r.n
+    assert ranges.sums_before(spark.createDataFrame([], "k string, n int"), "k", before=F.col("n")).count() == 0

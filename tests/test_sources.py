@@ -137,3 +137,22 @@ def test_streamed_results(spark, tmp_path):
     arrive("3.json", [("a", "completed"), ("c", "completed")])
     stream()
     assert sorted((r.custom_id, r.status) for r in resume.read_results(spark, log).collect()) == [("a", "completed"), ("a", "error"), ("b", "completed"), ("c", "completed")]
+
+
+def test_attempts_are_limited_within_a_batch_and_over_batches(spark, tmp_path):
+    """Five rows of an id in one micro-batch: the first two stay; of one that was there once, one; counts are compacted."""
+    log, state = f"file://{tmp_path}/log", f"file://{tmp_path}/state"
+    schema = "custom_id string, status string"
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"custom_id": i, "status": s}) for i, s in rows))
+        resume.append_results(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"), log, state).awaitTermination()
+
+    arrive("1.json", [("a", f"s{k}") for k in range(5)] + [("b", "s0")])
+    assert sorted(tuple(r) for r in resume.read_results(spark, log).select("custom_id", "status").collect()) == [("a", "s0"), ("a", "s1"), ("b", "s0")]
+    arrive("2.json", [("a", "s9"), ("b", "s1"), ("b", "s2"), ("c", "s0")])
+    arrive("3.json", [("b", "s3"), ("c", "s1"), ("c", "s2")])
+    counts = {r.custom_id: r["count"] for r in resume.read_results(spark, log).groupBy("custom_id").count().collect()}
+    assert counts == {"a": 2, "b": 2, "c": 2}
+    assert len(list((tmp_path / "log.counts").iterdir())) <= 2
