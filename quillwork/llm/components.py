@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.skew import join_counted
-from quillwork.llm.storage import remove, written
+from quillwork.storage import remove, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.skew import blocks, split_by_hash, spread, unused
-from quillwork.llm.storage import written
+from quillwork.llm.skew import blocks, split_by_hash, unused
+from quillwork.storage import written
+from quillwork.tables import spread
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # lower() and translate() make letters of letters only
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

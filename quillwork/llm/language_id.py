@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.arrow import texts
-from quillwork.llm.skew import spread
+from quillwork.tables import spread
 
 UNDETERMINED = "und"
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from quillwork.llm.arrow import texts
 from quillwork.llm.language_id import held_out
 from quillwork.llm.repetition import SYMBOLS
-from quillwork.llm.skew import spread
-from quillwork.llm.storage import written
+from quillwork.tables import spread
+from quillwork.storage import written
 
 # Byte classes, in the order of their statistics.
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", SYMBOLS, b".,;:", b"!?", b"\n", b" \t\r\x0b\x0c", bytes(range(128, 256))]

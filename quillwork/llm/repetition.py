@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillwork.llm.arrow import texts
-from quillwork.llm.skew import spread
+from quillwork.tables import spread
 
 BASE_WINDOW = 3
 

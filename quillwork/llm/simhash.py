@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quillwork.llm.arrow import texts
 from quillwork.llm.components import connected_components
 from quillwork.llm.gray_index import Forest, gray_rank, link_between, link_within
-from quillwork.llm.skew import join_counted, split_by_hash, spread, unused
-from quillwork.llm.storage import written
+from quillwork.llm.skew import join_counted, split_by_hash, unused
+from quillwork.tables import spread
+from quillwork.storage import written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = 1 << 16

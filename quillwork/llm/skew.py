@@ -12,7 +12,6 @@ SHARES = 1000
 LEAST = 1000
 BITS_OF_KEY, MOST_BITS = 16, 1 << 29  # 64 MB at most
 _CELL = 1 << 15  # bits in a value of bitmap_construct_agg
-SPREAD_BYTES = 64 << 20
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
@@ -62,15 +61,3 @@ def split_by_hash(rows: DataFrame, row_hash: Column, keys: DataFrame, key_hash:
     marked = placed.join(F.broadcast(table), cell, "left").withColumn(place, F.coalesce(bit == 1, F.lit(False)))
     columns = [F.col(f"`{c}`") for c in rows.columns]
     return marked.filter(F.col(place)).select(*columns), marked.filter(~F.col(place)).select(*columns)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table of fewer files than there are cores, dealt to all of them; any other as it is.
-
-    A file may be one row group, which only one task can read. What is moved is under SPREAD_BYTES for each core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= cores * SPREAD_BYTES and 1 <= len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df

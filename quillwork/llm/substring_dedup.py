@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quillwork.llm.arrow import texts
-from quillwork.llm.skew import split_by_hash, spread, unused
-from quillwork.llm.storage import written
+from quillwork.llm.skew import split_by_hash, unused
+from quillwork.tables import spread
+from quillwork.storage import written
 
 WINDOW_BYTES = 16
 RADIUS_WORDS = 3

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.skew import join_counted
-from quillwork.llm.storage import new_path, written
+from quillwork.storage import new_path, written
 
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 1 << 30

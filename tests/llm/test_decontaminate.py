@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from quillwork.llm import decontaminate, storage
+from quillwork import storage
+from quillwork.llm import decontaminate
 from quillwork.tables import table
 from tests.llm.conftest import PROSE, documents
 
@@ -142,9 +143,9 @@ def test_no_step_runs_python(spark, sf_dir, monkeypatch):
     """The plan of the result, and of each table written on the way."""
     plans = []
 
-    def spy(df, name):
+    def spy(df, name, **options):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return storage.written(df, name)
+        return storage.written(df, name, **options)
 
     monkeypatch.setattr(decontaminate, "written", spy)
     last = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

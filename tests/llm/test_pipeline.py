@@ -7,8 +7,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from quillwork.llm import queries, storage
-from quillwork.llm.storage import written
+from quillwork import storage
+from quillwork.llm import queries
+from quillwork.storage import written
 from quillwork.tables import table
 from tests.llm.conftest import PROSE
 
