@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import decontaminate, language_id, mixing, simhash, substring_dedup
-from quillwork.llm.storage import only_kept, remove, written
-from quillwork.session import ship
+from quillwork.storage import only_kept, remove, written
+from quillwork.session import bound, ship
 from quillwork.tables import table
 
 
+def prepare(spark: SparkSession) -> None:
+    ship(spark)
+    bound(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the model is sure of go: null and empty texts and those without a letter, too.
 
     Repeated rows, null ids and very long texts are judged like any other; without labelled rows all go; an empty table
     stays empty. All stages keep all columns, whatever their names.
     """
-    ship(spark)
+    prepare(spark)
     return language_id.keep_identified(docs)
 
 
@@ -27,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat id and text are one document, and so are all texts without a word; different texts that share an
     id are documents of their own.
     """
-    ship(spark)
+    prepare(spark)
     return simhash.keep_representatives(docs, one_per_id=False)
 
 
@@ -37,7 +42,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts stay; n_chars follows the text where it is cut; ids have any type, and null ids are a document
     for each text.
     """
-    ship(spark)
+    prepare(spark)
     cut = substring_dedup.deduplicate(docs)
     cut = cut.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.filter("_n_removed = 0 or _n_removed < _n_words").select(*docs.columns)
