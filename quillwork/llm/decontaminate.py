@@ -14,7 +14,9 @@ from quillwork.tables import spread
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # lower() and translate() make letters of letters only
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What lower() may change but A-Z: capitals and title case; the ranges where versions of Unicode add capitals, too.
-_OTHER_CAPITAL = r"[\x{80}-\x{FFFF}&&[\p{IsUppercase}\p{Lt}\x{1C80}-\x{1CBF}\x{2C00}-\x{2C5F}\x{A640}-\x{A7FF}]]|[\x{10000}-\x{10FFFF}]"
+_OTHER_CAPITAL = r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}\x{1C80}-\x{1CBF}\x{2C00}-\x{2C5F}\x{A640}-\x{A7FF}\x{10000}-\x{10FFFF}]]"
+#: A page holds the dictionary of a million hashes, so a word costs some two bytes.
+DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 #: Rows of a broadcast block. Rows have a fixed width, of 150 bytes at most, so a block has under 40 MB.
 BLOCK_ROWS = 250_000
 
@@ -49,7 +51,7 @@ def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     read = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     cut = read.select("id", F.xxhash64("text").alias("of"), terms(F.col("text")).alias("t"))
-    return written(cut.select("id", "of", F.size("t").cast("long").alias("n_words"), "t"), "tokens")
+    return written(cut.select("id", "of", F.size("t").cast("long").alias("n_words"), "t"), "tokens", **DICTIONARY)
 
 
 def term_counts(tokens: DataFrame, vocabulary: DataFrame, block_rows: int) -> DataFrame:
