@@ -152,6 +152,14 @@ def person_name(full: Column, first: Column, last: Column) -> Column:
     return F.when(clean(full) != "", clean(full)).otherwise(clean(F.concat_ws(" ", clean(first), clean(last))))
 
 
+def duration_text(seconds: Column) -> Column:
+    """T-25: whole seconds (half to even, none below 0) as hours and minutes, minutes and seconds, or seconds."""
+    n = F.greatest(F.lit(0), F.bround(seconds.cast("double"), 0).cast("long"))
+    hours, minutes, rest = F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60
+    long = F.format_string("%dh %02dm", hours, minutes)
+    return F.when(hours > 0, long).when(minutes > 0, F.format_string("%dm %02ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+
+
 def ratio_text(numerator: Column, denominator: Column) -> Column:
     """T-23: a ratio with three decimals, '' if the denominator isn't positive."""
     shown = F.regexp_replace(F.format_number(F.try_divide(numerator.cast("double"), denominator.cast("double")), 3), ",", "")

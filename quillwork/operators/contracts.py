@@ -1,10 +1,12 @@
-"""Data contracts: violations are tables that must be empty (R-3, R-7, R-15, O-1, O-3, O-8, P-13, J-7, J-13)."""
+"""Data contracts: violations are tables that must be empty (R-3, R-7, R-10, R-12, R-15, R-17, O-1 to O-3, O-8, P-13, J-7, J-9, J-13, U-2, SRC-14)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.ranges import sums_before
+
 
 class ContractError(ValueError):
     """A table breaks its contract."""
@@ -111,3 +113,76 @@ def fetch_audit_violations(audit: DataFrame) -> DataFrame:
     )
     repeated = audit.groupBy("event_id").count().filter("count > 1 or event_id is null").select("event_id", F.lit("repeated_event").alias("violation"))
     return audit.select("event_id", bad.alias("violation")).filter("violation is not null").unionByName(repeated)
+
+
+def prefix_violations(old: DataFrame, new: DataFrame, place: str) -> DataFrame:
+    """R-10: places (from 1) whose row in an earlier packet isn't the new packet's row of that place, and gaps in the
+    new packet's places."""
+    columns = [c for c in old.columns if c != place]
+    rows = lambda df, n: df.select(F.col(place).alias("place"), fingerprint(*columns).alias(n))
+    joined = rows(old, "old").join(rows(new, "new"), "place", "full_outer")
+    last = new.agg(F.max(place).alias("last"), F.count("*").alias("rows"))
+    changed = joined.filter("old is not null").select("place", F.when(F.col("new").isNull(), "missing").when(F.col("old") != F.col("new"), "changed").alias("violation")).filter("violation is not null")
+    return changed.unionByName(last.filter("last <> rows").select(F.col("last").cast("long").alias("place"), F.lit("gap").alias("violation")))
+
+
+def overlay(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """R-10: a policy's columns under a prefix of their own, beside all others."""
+    return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}" if c in columns else c) for c in df.columns])
+
+
+def differing_cells(told: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """R-10: read-back: each cell (keys, column, told, again) in which two tables of unique keys differ; a row that one
+    side lacks differs in all its cells."""
+    columns = [c for c in told.columns if c not in keys]
+    cells = lambda df, n: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(n)) for c in columns])).alias("c")).select(*keys, "c.*", F.lit(True).alias(f"has_{n}"))
+    joined = cells(told, "told").join(cells(again, "again"), [*keys, "column"], "full_outer")
+    return joined.filter(~(F.col("told").eqNullSafe(F.col("again")) & F.col("has_told").eqNullSafe(F.col("has_again")))).select(*keys, "column", "told", "again")
+
+
+def label_store(mine: DataFrame, theirs: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """R-12, R-17: two label files compared: the merged values and a status, same, only_mine, only_theirs or conflict.
+
+    A conflict's values are null: it is for a person to resolve, and ``require_empty`` on conflicts fails an import.
+    """
+    sides = [df.select(F.col(key), F.struct(*values).alias(n)) for df, n in ((mine, "mine"), (theirs, "theirs"))]
+    joined = sides[0].join(sides[1], key, "full_outer")
+    status = F.when(F.col("theirs").isNull(), "only_mine").when(F.col("mine").isNull(), "only_theirs").when(F.col("mine").eqNullSafe(F.col("theirs")), "same").otherwise("conflict")
+    merged = F.when(status != "conflict", F.coalesce("mine", "theirs"))
+    return joined.select(key, *[merged[v].alias(v) for v in values], status.alias("status"))
+
+
+def identity_drift(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """U-2: parts of an execution identity (name, value) that are missing, unexpected or changed."""
+    joined = expected.select("name", F.struct("value").alias("e")).join(found.select("name", F.struct("value").alias("f")), "name", "full_outer")
+    drift = F.when(F.col("f").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(~F.col("e").eqNullSafe(F.col("f")), "changed")
+    return joined.select("name", drift.alias("drift")).filter("drift is not null")
+
+
+def streams_by_event(gates: DataFrame, **streams: DataFrame) -> DataFrame:
+    """J-9: each event with its rows in each stream, and what is wrong: a stream's event without a gate row, a repeated
+    gate row, or a stream whose rows of the event don't stand together by ``position``.
+
+    Streams have event_id and position; each is summed up by event before it is joined.
+    """
+    joined = gates.groupBy("event_id").agg(F.count("*").alias("gate_rows"))
+    for name, df in streams.items():
+        of = df.groupBy("event_id").agg(F.count("*").alias(f"{name}_rows"), (F.max("position") - F.min("position") + 1 != F.count("*")).alias(f"{name}_apart"))
+        joined = joined.join(of, "event_id", "full_outer")
+    apart = [F.when(F.col(f"{n}_apart"), f"{n}_rows_apart") for n in streams]
+    why = F.concat_ws(";", F.when(F.col("gate_rows").isNull(), "no_gate_row"), F.when(F.col("gate_rows") > 1, "repeated_gate_row"), *apart)
+    counts = [F.coalesce(f"{n}_rows", F.lit(0).cast("long")).alias(f"{n}_rows") for n in ("gate", *streams)]
+    return joined.select("event_id", *counts, why.alias("violations"))
+
+
+def event_spans(records: DataFrame) -> DataFrame:
+    """SRC-14: the span of each event in a file of records (position, event_id, length): first offset, end and number of
+    records, and whether nothing of another event stands between."""
+    placed = sums_before(records, "position", offset=F.col("length"))
+    spans = placed.groupBy("event_id").agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("records"), F.sum("length").alias("bytes"))
+    return spans.select("event_id", "begin", "end", "records", (F.col("end") - F.col("begin") == F.col("bytes")).alias("contiguous"))
+
+
+def label_sets(a: Column, b: Column) -> Column:
+    """O-2: struct (both, either): the intersection and the union of two sets of labels, sorted."""
+    return F.struct(F.array_sort(F.array_intersect(a, b)).alias("both"), F.array_sort(F.array_union(a, b)).alias("either"))

@@ -256,6 +256,35 @@ def tier_counts(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by).agg(F.count("*").alias("blocks"), *[F.count_if(F.col("quality_tier") == t).alias(f"{t}_blocks") for t in ("high", "usable_with_flag", "review")])
 
 
+_TIERS = ["candidate_block_count", "high_tier_block_count", "usable_with_flag_block_count", "review_block_count"]
+
+
+def episode_tiers(tenures: DataFrame, calls: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """J-19: episodes with their confirmed events and blocks by tier; 0 where there are none.
+
+    ``calls`` has event_id, the episode's columns ``by`` and confirmed; ``found`` event_id and quality_tier.
+    """
+    tiers = [F.count("quality_tier").alias(_TIERS[0]), *[F.count_if(F.col("quality_tier") == t).alias(n) for t, n in zip(("high", "usable_with_flag", "review"), _TIERS[1:], strict=True)]]
+    of_event = found.groupBy("event_id").agg(*tiers)
+    joined = calls.filter("confirmed").join(of_event, "event_id", "left")
+    sums = joined.groupBy(*by).agg(F.count_distinct("event_id").alias("confirmed_event_count"), *[F.sum(n).alias(n) for n in _TIERS])
+    names = ["confirmed_event_count", *_TIERS]
+    return tenures.join(sums, by, "left").withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in names})
+
+
+def turnover_tiers(turnovers: DataFrame, tiers: DataFrame) -> DataFrame:
+    """J-19: turnovers with the counts of the old and the new episode, and whether both sides have blocks.
+
+    ``turnovers`` has gvkey and {old,new}_{execid,tenure_episode}; ``tiers`` is of ``episode_tiers``.
+    """
+    names = ["confirmed_event_count", *_TIERS]
+    joined = turnovers
+    for side in ("old", "new"):
+        of = tiers.select("gvkey", F.col("execid").alias(f"{side}_execid"), F.col("tenure_episode").alias(f"{side}_tenure_episode"), *[F.col(n).alias(f"{side}_{n}") for n in names])
+        joined = joined.join(of, ["gvkey", f"{side}_execid", f"{side}_tenure_episode"], "left").withColumns({f"{side}_{n}": F.coalesce(f"{side}_{n}", F.lit(0).cast("long")) for n in names})
+    return joined.withColumn("both_sides_have_candidate_blocks", (F.col("old_candidate_block_count") > 0) & (F.col("new_candidate_block_count") > 0))
+
+
 def block_violations(found: DataFrame, turns: DataFrame) -> DataFrame:
     """E-4, O-5: blocks whose answers aren't in their context, whose ids aren't the event's Q&A turns, or whose texts
     the turns don't give."""

@@ -16,9 +16,9 @@ SUPPORT = 5
 
 def panel_violations(panel: DataFrame, tenures: DataFrame) -> DataFrame:
     """J-3: calls that match no tenure or several, with other dates, outside it, not exact, or that repeat."""
-    t = tenures.select(*[F.col(k).alias(f"t_{k}") for k in EPISODE], F.col("start_date").alias("t_start"), F.col("end_date").alias("t_end"), F.col("normalization_status").alias("t_status"))
+    t = tenures.groupBy(*[F.col(k).alias(f"t_{k}") for k in EPISODE]).agg(F.count("*").alias("matches"), F.min("start_date").alias("t_start"), F.min("end_date").alias("t_end"), F.min("normalization_status").alias("t_status"))
     on = [F.col(k) == F.col(f"t_{k}") for k in EPISODE]
-    joined = panel.join(t, on, "left").groupBy("event_id", "event_date", "start_date", "end_date").agg(F.count("t_execid").alias("matches"), F.count("*").alias("rows"), F.min("t_start").alias("t_start"), F.min("t_end").alias("t_end"), F.min("t_status").alias("t_status"))
+    joined = panel.select("event_id", "event_date", "start_date", "end_date", *EPISODE).distinct().join(t, on, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     repeated = panel.groupBy("event_id").count().filter("count > 1").select(F.col("event_id").alias("again"))
     joined = joined.join(repeated, F.col("event_id") == F.col("again"), "left")
     why = reasons(

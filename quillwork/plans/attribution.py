@@ -174,9 +174,9 @@ def table_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.difference(o.filter("o_orderkey % 2 = 0").drop("o_orderkey"), o.filter("o_orderkey % 3 = 0").drop("o_orderkey"))
 
 
-@query()
+@query("""WITH h AS (SELECT conv_id, turn, sha256(CAST(to_json({'turn': turn, 'role': role, 'text': text}) AS VARCHAR)) AS h FROM conversations) SELECT conv_id, sha256(string_agg(h, '' ORDER BY turn, h)) AS payload_sha256 FROM h GROUP BY 1""")
 def payload_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P-13: a fingerprint of each conversation's turns; the JSON's spelling is Spark's."""
+    """P-13: a fingerprint of each conversation's turns."""
     return contracts.group_fingerprint(table(spark, sf_dir, "conversations"), "conv_id", "turn", "turn", "role", "text")
 
 
@@ -260,10 +260,13 @@ def turnover_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.turnover_gate(pairs, gates).drop("old_tenure_episode", "new_tenure_episode")
 
 
+def call_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, shared_keys, shared_labels and flags of each call."""
+    return _identity(spark, sf_dir).select("event_id", "shared_keys", "shared_labels", F.filter(F.split("identity_flags", ";"), lambda f: f != "").alias("flags"))
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    turns = domain.turns(spark, sf_dir)
-    found = _identity(spark, sf_dir).select("event_id", "shared_keys", "shared_labels", F.filter(F.split("identity_flags", ";"), lambda f: f != "").alias("flags"))
-    found = written(found, "anchors")
+    turns, found = domain.turns(spark, sf_dir), written(call_anchors(spark, sf_dir), "anchors")
     return turns, found, written(episodes.blocks(turns, found), "blocks")
 
 
@@ -291,12 +294,17 @@ def event_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.event_audit(anchors, found).drop("high_quality_blocks")
 
 
-@query("""SELECT 'x' AS block_id, 'x' AS violations WHERE false""")
+@query(f"""WITH {_RUNS}, b AS (SELECT 'ccts_' || event_id || '_episode_' || first_turn AS block_id, event_id % 4 AS k FROM bl)
+SELECT block_id, CASE k WHEN 0 THEN 'answer_differs' ELSE 'answer_outside_context;context_differs' END AS violations FROM b WHERE k < 2 UNION ALL SELECT block_id || ';' || block_id || '_again', 'shared_turn' FROM b JOIN bl ON block_id = 'ccts_' || event_id || '_episode_' || first_turn, range(answers) WHERE k = 2""")
 def block_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-4, O-5, O-7: blocks agree with their turns, so none."""
+    """E-4, O-5, O-7: blocks whose answer is changed, whose context is dropped, or that another block repeats."""
     turns, _, found = _blocks(spark, sf_dir)
-    shared = episodes.shared_answer_turns(found).select(F.array_join("owners", ";").alias("block_id"), F.lit("shared_turn").alias("violations"))
-    return episodes.block_violations(found, turns).unionByName(shared)
+    k = F.col("event_id") % 4
+    none = F.array().cast("array<long>")
+    broken = found.withColumns({"ceo_answer": F.when(k == 0, F.concat("ceo_answer", F.lit("!"))).otherwise(F.col("ceo_answer")), "context_sequence_ids": F.when(k == 1, none).otherwise(F.col("context_sequence_ids"))})
+    twice = broken.unionByName(broken.filter(k == 2).withColumn("block_id", F.concat("block_id", F.lit("_again"))))
+    shared = episodes.shared_answer_turns(twice).select(F.array_join("owners", ";").alias("block_id"), F.lit("shared_turn").alias("violations"))
+    return episodes.block_violations(broken, turns).unionByName(shared)
 
 
 @query()
@@ -306,11 +314,14 @@ def pre_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.pre_units(docs, ["doc_id"])
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS doc_id WHERE false""")
+@query(f"""SELECT doc_id FROM documents WHERE doc_id % 5 < 2 AND {_CLEAN.format(c="text")} <> ''""")
 def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-19: chunks joined are the cleaned text, so none."""
+    """T-19: chunks joined are the cleaned text, but for texts whose first chunk is dropped or whose last is changed."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents")))
-    return units.chunk_violations(docs, units.pre_units(docs, ["doc_id"]), ["doc_id"])
+    k = F.col("doc_id") % 5
+    cut = docs.select("doc_id", F.posexplode(units.chunks(F.col("text_contents"))).alias("k", "segment")).select("doc_id", (F.col("k") + 1).alias("chunk_index"), "segment")
+    broken = cut.filter((k != 0) | (F.col("chunk_index") > 1)).withColumn("segment", F.when(k == 1, F.concat("segment", F.lit("x"))).otherwise(F.col("segment")))
+    return units.chunk_violations(docs, broken, ["doc_id"])
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

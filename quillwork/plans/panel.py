@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.text import company_tokens, cusip8, token_text
 from quillwork.operators import census, coverage, master, tenure, turnover
 from quillwork.plans import domain
-from quillwork.plans.registry import query
+from quillwork.plans.registry import ORACLES, query
 from quillwork.tables import table
 
 _SECTIONS = """se AS (SELECT conv_id AS event_id, count(*) AS total_rows, count(*) FILTER (role = 'system') AS pre_rows, count(*) FILTER (role <> 'system') AS qa_rows FROM conversations GROUP BY 1)"""
@@ -286,13 +286,25 @@ def candidate_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnover.candidate_assignments(*_ready(spark, sf_dir)).drop("tenure_episode")
 
 
-@query(f"""WITH {domain.PANEL_SQL} SELECT event_id, 'date_outside_tenure' AS violations FROM pn WHERE false""")
+@query(f"""WITH {domain.PANEL_SQL} SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'date_outside_tenure' WHEN 1 THEN 'boundary_changed' WHEN 2 THEN 'duplicate_call' ELSE 'no_roster_row' END AS violations FROM pn WHERE event_id % 7 < 4""")
 def panel_roster_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-3: none, as the panel is made from the roster."""
-    return turnover.panel_violations(domain.panel(spark, sf_dir), domain.firm_tenures(spark, sf_dir))
+    """J-3: calls that are moved out of their tenure, with another end, twice, or of a person without tenure."""
+    k, panel = F.col("event_id") % 7, domain.panel(spark, sf_dir)
+    broken = panel.withColumns({
+        "event_date": F.when(k == 0, F.add_months("event_date", 600)).otherwise(F.col("event_date")), "end_date": F.when(k == 1, F.date_add("end_date", 1)).otherwise(F.col("end_date")),
+        "execid": F.when(k == 3, F.lit(-1).cast("long")).otherwise(F.col("execid")),
+    })
+    return turnover.panel_violations(broken.unionByName(broken.filter(k == 2)), domain.firm_tenures(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT turnover_id, gvkey, turnover_window_status FROM ({ORACLES["turnover_windows"]})), c AS (SELECT list(s ORDER BY s) AS names, list(n ORDER BY s) AS ns FROM (SELECT turnover_window_status AS s, count(*) AS n FROM t GROUP BY 1)),
+w AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS picks, names AS lf FROM c
+      UNION ALL SELECT step + 1, p, list_filter(names, lambda x: len(list_filter(p, lambda y: y = x)) < ns[list_position(names, x)]) FROM (SELECT step, list_append(picks, lf[step % len(lf) + 1]) AS p FROM w WHERE step < 40 AND len(lf) > 0), c),
+l AS (SELECT unnest(picks) AS s, unnest(range(1, len(picks) + 1)) AS audit_rank FROM (SELECT picks FROM w ORDER BY step DESC LIMIT 1)), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY audit_rank) AS k FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY turnover_window_status ORDER BY gvkey, turnover_id) AS k FROM t)
+SELECT audit_rank, turnover_window_status, turnover_id FROM k JOIN r ON k.k = r.k AND s = turnover_window_status"""
+)
 def round_robin_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-8."""
     rows = turnover.turnovers(domain.firm_tenures(spark, sf_dir), domain.panel(spark, sf_dir))

@@ -27,7 +27,14 @@ def stratum_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.allocate(counts, "stratum", 200, 10, 15)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE k AS (SELECT o_orderkey AS event_id, o_orderstatus AS stratum, o_custkey AS exec, o_custkey % 50 AS company, sha256('{SEED}|calls|' || o_orderkey) AS h FROM orders),
+w AS (SELECT 0 AS step, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS execs, CAST([] AS BIGINT[]) AS companies
+      UNION ALL SELECT step + 1, list_append(taken, p.event_id), list_append(execs, p.exec), list_append(companies, p.company) FROM w, LATERAL (
+        SELECT arg_min(event_id, h) AS event_id, arg_min(exec, h) AS exec, arg_min(company, h) AS company FROM k WHERE stratum = CASE WHEN w.step < 8 THEN 'F' WHEN w.step < 16 THEN 'O' ELSE 'P' END
+          AND NOT list_contains(w.taken, event_id) AND len(list_filter(w.execs, lambda x: x = exec)) < 2 AND len(list_filter(w.companies, lambda x: x = company)) < 3) p WHERE step < 20)
+SELECT k.event_id, stratum, exec, company FROM k JOIN (SELECT unnest(taken) AS event_id FROM w WHERE step = 20) USING (event_id)"""
+)
 def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-4 over all orders; caps and targets are tested."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("stratum"), F.col("o_custkey").alias("exec"), (F.col("o_custkey") % 50).alias("company"))
@@ -56,11 +63,18 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.spread_sample(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 50)
 
 
-@query()
+_TIER_PART = """SELECT '{t}' AS sample_part, o_custkey, o_orderkey, CAST(s + 1 AS INTEGER) AS sample_rank FROM (SELECT count(*) AS n FROM g WHERE tier = '{t}'), range({q}) r(s) JOIN g ON tier = '{t}' AND i = CAST(round_even(s * (n - 1) / {d}, 0) AS BIGINT)"""
+
+
+@query(
+    """WITH f AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'review' WHEN 'O' THEN 'usable_with_flag' ELSE 'high' END AS tier FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY tier, o_custkey ORDER BY o_orderkey) AS k FROM f),
+g AS (SELECT tier, o_custkey, o_orderkey, row_number() OVER (PARTITION BY tier ORDER BY o_custkey) - 1 AS i FROM k WHERE k = 1) """
+    + " UNION ALL ".join(_TIER_PART.format(t=t, q=q, d=f"{q - 1}.0::DOUBLE") for t, q in (("review", 12), ("usable_with_flag", 9), ("high", 9)))
+)
 def tier_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L-7."""
     tier = F.element_at(F.create_map(F.lit("F"), F.lit("review"), F.lit("O"), F.lit("usable_with_flag"), F.lit("P"), F.lit("high")), F.col("o_orderstatus"))
-    return sampling.tier_quota_sample(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", tier.alias("tier")), "tier", "o_custkey", "o_orderkey", 30)
+    return sampling.tier_quota_sample(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", tier.alias("tier")), "tier", "o_custkey", "o_orderkey", 30).drop("tier")
 
 
 @query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch_id FROM orders""")
