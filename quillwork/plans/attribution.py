@@ -60,51 +60,75 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("text_sha256"), content_hash(F.col("lang"), F.col("text")).alias("pair_sha256"))
 
 
-@query(name="procedure_kind")
+# What procedure sounds like: text, kind, whether it acknowledges, flags of a whole answer.
+_PROCEDURE = [
+    ("Thank you, operator. We will take your questions.", "question_invitation", False, ""), ("Thanks for joining us this morning.", "closing_only", False, "CEO_ANSWER_IS_CLOSING_REMARKS"),
+    ("Thank you everyone for joining us. Margins will improve.", "", False, ""), ("I'll ask Bob to...", "delegation_only", False, ""), ("We grew--", "", False, "CEO_ANSWER_IS_INCOMPLETE_FRAGMENT"),
+    ("So if I understand your question, you want the margin, is that correct?", "clarification_request", False, "CEO_ANSWER_IS_CLARIFICATION_REQUEST"), ("Hi. Good morning, John.", "greeting_only", False, ""),
+    ("Hi John. Can you hear me okay?", "audio_check", False, ""), ("Could you repeat the question? We don't disclose that figure.", "", False, ""), ("Give Bob a second, he's looking it up.", "lookup_deferral", False, ""),
+    ("Do you want to speak or do you want to join?", "logistics_question", False, ""), ("What's the call number and password?", "logistics_reply", False, ""), ("Um", "incomplete_fragment", False, ""), ("Yes, go ahead", "", True, ""), ("Yes, margins", "", False, ""),
+]
+
+
+@query(
+    f"""WITH p(k, kind, ack, flags) AS (VALUES {", ".join(f"({k}, '{r[1]}', {str(r[2]).lower()}, '{r[3]}')" for k, r in enumerate(_PROCEDURE))}) SELECT conv_id, turn, coalesce(kind, '') AS kind, coalesce(ack, false) AS acknowledgement, coalesce(flags, '') AS answer_flags
+FROM conversations LEFT JOIN p ON k = (conv_id + turn) % {2 * len(_PROCEDURE)}""",
+    name="procedure_kind",
+)
 def procedure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-12 to T-15 and T-18 over conversation turns; look-arounds and grammars are fixture-tested."""
-    t = F.col("text")
-    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", procedure.procedure_kind(t).alias("kind"), procedure.acknowledgement(t).alias("acknowledgement"), F.array_join(procedure.answer_flags(t), ";").alias("answer_flags"))
+    """T-12 to T-15 and T-18: half of the turns are of known procedure, the others the tables' prose, which has none."""
+    said = F.get(F.array(*[F.lit(r[0]) for r in _PROCEDURE]), ((F.col("conv_id") + F.col("turn")) % (2 * len(_PROCEDURE))).cast("int"))
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.coalesce(said, F.col("text")).alias("t"))
+    t = F.col("t")
+    return rows.select("conv_id", "turn", procedure.procedure_kind(t).alias("kind"), procedure.acknowledgement(t).alias("acknowledgement"), F.array_join(procedure.answer_flags(t), ";").alias("answer_flags"))
 
 
 @query(
     r"""SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(lower(text), '\([^)]*\b(inaudible|indiscernible|multiple speakers|technical difficulties)\b[^)]*\)') THEN 'source_text_gap' END,
-       CASE WHEN regexp_matches(text, '(\.{3}|…|--|—)\s*[.!?]?\s*$') THEN 'trailing_source_fragment' END) AS defects FROM documents"""
+       CASE WHEN regexp_matches(text, '(\.{3}|…|--|—)\s*[.!?]?\s*$') THEN 'trailing_source_fragment' END) AS defects FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' (some Inaudible words) there' WHEN 1 THEN ' we grew--' WHEN 2 THEN ' and (technical difficulties) ... ' ELSE '' END AS text FROM documents)"""
 )
 def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-16."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(procedure.source_defects(F.col("text")), ";").alias("defects"))
+    """T-16, with gaps and broken ends added to three texts of five."""
+    k = F.col("doc_id") % 5
+    text = F.concat("text", F.when(k == 0, " (some Inaudible words) there").when(k == 1, " we grew--").when(k == 2, " and (technical difficulties) ... ").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(procedure.source_defects(text), ";").alias("defects"))
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, text, {_NORM.format(c="text")} AS n FROM documents)
-SELECT doc_id, text LIKE '%?%' OR regexp_matches(' ' || n || ' ', ' (what|when|where|why|how|could|can you|would you|do you|talk about|tell us|give us|help me|help us|wondering|curious|walk us|explain|quantify) ') AS candidate FROM n""",
+    f"""WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Can you hear me?' WHEN 1 THEN 'Sorry, could you repeat the question?' WHEN 2 THEN text || ' Right?' WHEN 3 THEN text || ' Tell us more' ELSE text END AS text FROM documents), n AS (SELECT doc_id, text, {_NORM.format(c="text")} AS n FROM d)
+SELECT doc_id, doc_id % 6 > 1 AND (text LIKE '%?%' OR regexp_matches(' ' || n || ' ', ' (what|when|where|why|how|could|can you|would you|do you|talk about|tell us|give us|help me|help us|wondering|curious|walk us|explain|quantify) ')) AS candidate FROM n""",
     name="question_candidate",
 )
 def question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-17; the tables have no whole-passage procedure."""
-    return table(spark, sf_dir, "documents").select("doc_id", procedure.question_candidate(F.col("text")).alias("candidate"))
+    """T-17: two texts of six are whole procedure, which asks nothing; two have a question added."""
+    k, text = F.col("doc_id") % 6, F.col("text")
+    said = F.when(k == 0, "Can you hear me?").when(k == 1, "Sorry, could you repeat the question?").when(k == 2, F.concat(text, F.lit(" Right?"))).when(k == 3, F.concat(text, F.lit(" Tell us more"))).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", procedure.question_candidate(said).alias("candidate"))
 
 
-@query(
-    """SELECT s_suppkey, c_custkey, CASE WHEN s_suppkey % 3 = 0 THEN 'exact_full_name' WHEN s_suppkey % 3 = 1 THEN 'recognized_nickname_last_name' ELSE 'no_match' END AS relation FROM supplier JOIN customer ON c_custkey = s_suppkey"""
-)
+# A person's name, a label's, and how they relate; the surname gets letters that tell suppliers apart.
+_NAMES = [
+    ("Jane Q{}", "Jane Q{} Jr., Acme - CEO", "exact_full_name"), ("Robert Q{}", "Mr. Bob Q{}, Acme - CFO", "recognized_nickname_last_name"), ("Jane Q{}", "Jane Z{}, Acme - CEO", "no_match"),
+    ("Jane Ann Q{}", "Dr. Jane Q{}, Acme - CEO", "same_first_last_middle_difference"), ("J Robert Q{}", "Robert Q{}", "initial_prefix_plus_given_name"), ("J Robert Q{}", "Bob Q{} - CEO", "initial_prefix_plus_recognized_nickname"),
+    ("John Q{}", "Judith Q{}, Acme", "same_initial_last_name_review"), ("John Q{}", "Mary Q{}, Acme", "same_last_name_different_first_name"), ("Q{}", "Jane Q{}", "no_match"),
+]
+
+
+@query(f"""WITH n(k, relation) AS (VALUES {", ".join(f"({k}, '{r[2]}')" for k, r in enumerate(_NAMES))}) SELECT s_suppkey, relation FROM supplier JOIN n ON k = s_suppkey % {len(_NAMES)}""")
 def name_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-9, T-10: names made from keys; the other relations are fixture-tested."""
+    """T-9, T-10: nine pairs of names, one for each relation but the transcription variants."""
     k = F.col("s_suppkey")
     letters = F.translate(k.cast("string"), "0123456789", "abcdefghij")
-    expected = F.concat(F.when(k % 3 == 1, "Robert ").otherwise("Jane "), F.lit("Q"), letters)
-    labelled = F.concat(F.when(k % 3 == 1, "Mr. Bob ").otherwise("Jane "), F.when(k % 3 == 2, "Z").otherwise("Q"), letters, F.lit(" Jr., Acme - Chief Executive Officer"))
-    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == k)
-    return joined.select("s_suppkey", "c_custkey", relation(expected, labelled).alias("relation"))
+    pick = lambda at: F.replace(F.get(F.array(*[F.lit(r[at]) for r in _NAMES]), (k % len(_NAMES)).cast("int")), F.lit("{}"), letters)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", relation(pick(0), pick(1)).alias("relation"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'exact_full_name' ELSE 'same_initial_last_name_review' END AS quality, CAST(1 AS INTEGER) AS labels FROM supplier""")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'exact_full_name' WHEN 1 THEN 'same_initial_last_name_review' WHEN 2 THEN 'same_last_name_different_first_name' ELSE 'exact_full_name' END AS quality, CASE WHEN s_suppkey % 4 = 3 THEN 'Jane Doe - CEO;Jane Doe, Acme - CEO' WHEN s_suppkey % 4 = 0 THEN 'Jane Doe, Acme - CEO' WHEN s_suppkey % 4 = 1 THEN 'Judith Doe, Acme - CEO' ELSE 'Mary Doe - Analyst' END AS labels FROM supplier""")
 def best_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-11, J-16."""
     k = F.col("s_suppkey")
-    labels = F.array(F.lit("John Smith, Acme - CFO"), F.when(k % 2 == 0, "Jane Doe, Acme - CEO").otherwise("Judith Doe, Acme - CEO"), F.lit("Mary Doe - Analyst"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", best_match(F.lit("Jane Doe"), labels).alias("m")).select("s_suppkey", "m.quality", F.size("m.labels").alias("labels"))
+    labels = F.array(F.lit("John Smith, Acme - CFO"), F.when(k % 4 == 1, "Judith Doe, Acme - CEO").when(k % 4 == 2, "Jane Smith").otherwise("Jane Doe, Acme - CEO"), F.lit("Mary Doe - Analyst"), F.when(k % 4 == 3, "Jane Doe - CEO").otherwise("Ed Fox"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", best_match(F.lit("Jane Doe"), labels).alias("m")).select("s_suppkey", "m.quality", F.array_join(F.array_sort("m.labels"), ";").alias("labels"))
 
 
 @query(
@@ -123,10 +147,11 @@ def fetch_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_turns(expected.unionByName(unknown), turns)
 
 
-@query("""SELECT doc_id, CASE WHEN lang IN ('PRE', 'Q&A') THEN lang ELSE 'OTHER' END AS section FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'PRE' WHEN 1 THEN 'Q&A' ELSE 'OTHER' END AS section FROM documents""")
 def section_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3."""
-    return table(spark, sf_dir, "documents").select("doc_id", section(F.col("lang")).alias("section"))
+    k = F.col("doc_id") % 5
+    return table(spark, sf_dir, "documents").select("doc_id", section(F.when(k == 0, "PRE").when(k == 1, "Q&A").when(k == 2, "pre").when(k == 3, F.col("lang"))).alias("section"))
 
 
 @query("""SELECT conv_id AS event_id, turn AS sequence_id, conv_id % 7 AS assignment_rank FROM conversations""")
@@ -281,10 +306,29 @@ def qa_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir)[2].select("block_id", "event_id", F.size("ceo_answer_sequence_ids").cast("long").alias("answers"), F.sha2("ceo_answer", 256).alias("ceo_answer_sha256"))
 
 
-@query()
+# Most questions get a question mark; every sixth call has a gap in each answer.
+_ASKED, _GAP = " What do you expect?", " (inaudible) now."
+_PLANTED = f"""pl AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND conv_id % 6 <> 0 THEN coalesce(text, '') || '{_ASKED}' WHEN role = 'assistant' AND conv_id % 6 = 1 THEN coalesce(text, '') || '{_GAP}' ELSE text END AS text FROM conversations),
+gt AS (SELECT conv_id, bool_or(role = 'system') AND bool_or(role = 'assistant') AS gate FROM conversations GROUP BY 1),
+rn AS (SELECT *, sum(CASE WHEN role = 'user' AND coalesce(prev, '') <> 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block_no FROM (SELECT *, {_CLEAN.format(c="text")} AS t, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM pl WHERE role <> 'system')),
+bq AS (SELECT conv_id AS event_id, min(turn) FILTER (role = 'user') AS first_turn, string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'user' AND t <> '') AS q, string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND t <> '') AS a
+       FROM rn JOIN gt USING (conv_id) WHERE block_no > 0 AND gate GROUP BY conv_id, block_no HAVING count(*) FILTER (role = 'assistant') > 0),
+bd AS (SELECT 'ccts_' || event_id || '_episode_' || first_turn AS block_id, event_id, coalesce(q, '') AS q, coalesce(a, '') AS a, len(regexp_split_to_array(q, '\\s+')) AS qw, len(regexp_split_to_array(a, '\\s+')) AS aw, event_id % 6 = 1 AS gap,
+       q LIKE '%?%' OR regexp_matches(' ' || {_NORM.format(c="q")} || ' ', ' (what|when|where|why|how|could|can you|would you|do you|talk about|tell us|give us|help me|help us|wondering|curious|walk us|explain|quantify) ') AS asked FROM bq),
+dc AS (SELECT *, asked AND NOT gap AS high, concat_ws(';', CASE WHEN NOT asked THEN 'ANALYST_QUESTION_APPLICABILITY_REVIEW' END, CASE WHEN gap THEN 'CEO_SOURCE_TEXT_GAP_REVIEW;source_text_gap' END) AS why FROM bd)"""
+
+
+def _planted_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, role, text = F.col("event_id") % 6, F.col("role"), F.coalesce("text_contents", F.lit(""))
+    said = F.when((role == "user") & (k != 0), F.concat(text, F.lit(_ASKED))).when((role == "assistant") & (k == 1), F.concat(text, F.lit(_GAP))).otherwise(F.col("text_contents"))
+    turns, anchors = domain.turns(spark, sf_dir).withColumn("text_contents", said), written(call_anchors(spark, sf_dir), "anchors")
+    return turns, anchors, written(episodes.blocks(turns, anchors), "blocks")
+
+
+@query(f"""WITH {_PLANTED} SELECT event_id, count(*) AS blocks, count(*) FILTER (high) AS high_blocks, 0 AS usable_with_flag_blocks, count(*) FILTER (NOT high) AS review_blocks FROM dc GROUP BY 1""")
 def block_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-13, A-14."""
-    return episodes.tier_counts(_blocks(spark, sf_dir)[2], "event_id")
+    return episodes.tier_counts(_planted_blocks(spark, sf_dir)[2], "event_id")
 
 
 @query(f"""WITH {_RUNS}, n AS (SELECT event_id, count(*) AS b FROM bl GROUP BY 1) SELECT conv_id AS event_id, coalesce(b, 0) AS eligible_ceo_qa_blocks, CASE WHEN NOT (pre AND qa) THEN 'exclude_no_same_ceo' WHEN b IS NULL THEN 'review_no_ceo_answer_to_analyst_question' ELSE 'usable' END AS event_audit_status FROM ({_CALLS_WITH}) LEFT JOIN n ON event_id = conv_id""")
@@ -307,9 +351,19 @@ def block_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.block_violations(broken, turns).unionByName(shared)
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace({_CLEAN.format(c="text")}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE {_CLEAN.format(c="text")} <> ''),
+e AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS s FROM d), h AS (SELECT doc_id, i, string_split(s, ' ') AS w FROM e),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS i, w[150 * k + 1 : 150 * k + 150] AS w FROM (SELECT doc_id, i, w, unnest(range(0, (len(w) - 1) // 150 + 1)) AS k FROM h)),
+g AS (SELECT doc_id, i, len(w) AS n, len(w) AS held, 1 AS chunk FROM p WHERE i = 1
+      UNION ALL SELECT p.doc_id, p.i, len(p.w), CASE WHEN g.held + len(p.w) > 150 THEN len(p.w) ELSE g.held + len(p.w) END, CASE WHEN g.held + len(p.w) > 150 THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1),
+z AS (SELECT doc_id, max(chunk) AS last, arg_max(held, i) AS tail FROM g GROUP BY 1),
+c AS (SELECT g.doc_id, CASE WHEN chunk = last AND last > 1 AND tail < 50 THEN chunk - 1 ELSE chunk END AS chunk_index, g.i, w FROM g JOIN z USING (doc_id) JOIN p ON p.doc_id = g.doc_id AND p.i = g.i)
+SELECT doc_id, chunk_index, sum(len(w)) AS word_count, string_agg(array_to_string(w, ' '), ' ' ORDER BY i) AS segment FROM c GROUP BY 1, 2"""
+
+
+@query(f"""SELECT doc_id, chunk_index, CAST(word_count AS BIGINT) AS word_count, 'uncertain' AS content_class, 'nonprocedural_text_retained_without_semantic_classification' AS content_reason, '' AS source_review_reasons, 'proposed' AS unit_status, segment FROM ({_CHUNKS})""")
 def pre_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-19, E-6, W-9, C-9 over documents; RE2 has no look-behind, so the chunks are tested to give their text again."""
+    """T-19, E-6, W-9, C-9 over documents, whose prose is no procedure."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_contents")))
     return units.pre_units(docs, ["doc_id"])
 
@@ -325,12 +379,12 @@ def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    turns, anchors, found = _blocks(spark, sf_dir)
+    turns, anchors, found = _planted_blocks(spark, sf_dir)
     context = units.management_context(found, turns, anchors)
     return turns, anchors, found, units.classify_blocks(found, context)
 
 
-@query()
+@query(f"""WITH {_PLANTED} SELECT block_id, event_id, aw AS words, CASE WHEN high THEN 'proposed_primary' ELSE 'source_or_boundary_review' END AS inclusion_status, CASE WHEN high THEN 'high_tier_source_screen_pass' ELSE why END AS inclusion_reason, high AS policy_primary, high AS strict_robustness, false AS added_identified_management FROM dc""")
 def block_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-7, C-9, C-10, C-12."""
     decided = _decisions(spark, sf_dir)[3]
@@ -338,14 +392,15 @@ def block_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.withColumn("p", policy).select("block_id", "event_id", "words", "inclusion_status", "inclusion_reason", "p.policy_primary", "p.strict_robustness", "p.added_identified_management")
 
 
-@query()
+@query(f"""WITH {_PLANTED} SELECT block_id, event_id, aw AS unit_word_count, qw AS question_word_count, concat_ws(';', CASE WHEN gap THEN 'source_text_gap' END, CASE WHEN NOT high THEN 'not_high_tier' END) AS exclusion_reasons,
+       CAST(to_json({{'unit_type': 'qa', 'analyst_question': q, 'ceo_answer': a}}) AS VARCHAR) AS prompt_input_json FROM dc""")
 def qa_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-7, N-5, T-18."""
-    return units.qa_units(_blocks(spark, sf_dir)[2])
+    return units.qa_units(_planted_blocks(spark, sf_dir)[2])
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, anchors, found, decided = _decisions(spark, sf_dir)
+    turns, anchors, _, decided = _decisions(spark, sf_dir)
     ceo = turns.filter("role <> 'user'").withColumn("words", word_count(F.col("text_contents")))
     words = lambda s: F.coalesce(F.sum(F.when(F.col("section") == s, F.col("words"))), F.lit(0).cast("long"))
     source = ceo.groupBy("event_id").agg(words("PRE").alias("source_pre_words"), words("Q&A").alias("source_qa_words"))
@@ -355,15 +410,22 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {domain.UNITS_SQL} SELECT event_id, CAST(coalesce(sum(words) FILTER (section = 'PRE'), 0) AS BIGINT) AS source_pre_words, CAST(coalesce(sum(words) FILTER (section = 'Q&A'), 0) AS BIGINT) AS source_qa_words, true AS ledger_reconciles
-FROM (SELECT DISTINCT conv_id AS event_id FROM conversations) LEFT JOIN u USING (event_id) GROUP BY event_id"""
+    f"""WITH {_PLANTED} SELECT conv_id AS event_id, CAST(coalesce(sum(n) FILTER (role = 'system'), 0) AS BIGINT) AS source_pre_words, CAST(coalesce(sum(n) FILTER (role = 'assistant'), 0) AS BIGINT) AS source_qa_words, true AS ledger_reconciles
+FROM (SELECT conv_id, role, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n FROM (SELECT conv_id, role, {_CLEAN.format(c="text")} AS t FROM pl)) GROUP BY 1"""
 )
 def word_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-15: the words by status add up to the source's."""
     return _ledger(spark, sf_dir).select("event_id", "source_pre_words", "source_qa_words", "ledger_reconciles")
 
 
-@query()
+@query(
+    f"""WITH {_PLANTED}, w AS (SELECT conv_id AS event_id, sum(n) FILTER (role = 'system') AS pre, count(*) FILTER (role = 'system' AND n > 0) AS units, coalesce(sum(n) FILTER (role = 'assistant'), 0) AS qa FROM (SELECT conv_id, role, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n FROM (SELECT conv_id, role, {_CLEAN.format(c="text")} AS t FROM pl)) GROUP BY 1),
+b AS (SELECT event_id, count(*) AS candidates, sum(aw) AS words, count(*) FILTER (high) AS blocks, coalesce(sum(aw) FILTER (high), 0) AS primary_words FROM dc GROUP BY 1),
+j AS (SELECT event_id, gate, coalesce(pre, 0) AS pre, units > 0 AS ready, qa, coalesce(candidates, 0) AS candidates, coalesce(words, 0) AS words, coalesce(blocks, 0) AS blocks, coalesce(primary_words, 0) AS pw FROM w JOIN gt ON conv_id = event_id LEFT JOIN b USING (event_id)),
+l AS (SELECT *, gate AND ready AND blocks > 0 AS lane FROM j)
+SELECT event_id, CAST(pre AS BIGINT) AS proposed_pre_words, CAST(pw AS BIGINT) AS primary_qa_words, CAST(words AS BIGINT) AS candidate_qa_words, CAST(qa - words AS BIGINT) AS unassigned_ceo_qa_words, lane AS primary_call_candidate, lane AS management_context_call_candidate, lane AND blocks >= 2 AND pw >= 100 AND pw >= 0.25 * qa AS qa_coverage_call_candidate,
+       CASE WHEN NOT gate THEN 'speaker_gate_failed' WHEN NOT ready THEN 'no_source_screened_nonprocedural_pre_unit' WHEN lane THEN 'proposed_primary_pair' WHEN candidates = 0 THEN 'no_extracted_ceo_qa_block' ELSE 'no_primary_or_management_context_qa_block' END AS call_decision_reason FROM l"""
+)
 def call_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-15, C-11."""
     return _ledger(spark, sf_dir).select("event_id", "proposed_pre_words", "primary_qa_words", "candidate_qa_words", "unassigned_ceo_qa_words", "primary_call_candidate", "management_context_call_candidate", "qa_coverage_call_candidate", "call_decision_reason")
