@@ -21,15 +21,20 @@ DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 BLOCK_ROWS = 250_000
 
 
-def terms(text: Column) -> Column:
-    """The words of a text with A-Z in lower case, as hashes: runs of ASCII letters and digits, and all that is not ASCII.
+def words(text: Column) -> Column:
+    """The words of a text with A-Z in lower case: runs of ASCII letters and digits, and of all that is not ASCII.
 
     lower() is many times faster than translate() and gives the same where the text has no other capitals. Null has
     no words.
     """
     text = F.coalesce(text, F.lit(""))
     lower = F.when(F.rlike(text, F.lit(_OTHER_CAPITAL)), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.transform(F.array_remove(F.split(lower, NOT_WORD), ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.split(lower, NOT_WORD), "")
+
+
+def terms(text: Column) -> Column:
+    """The words of a text, as hashes."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def phrases(items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -171,15 +176,16 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", lists: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id, item, start: where the ``lists`` rarest words of an item (all, if it has fewer) stand in any order within
     ``slop`` words of the rarest one, at ``start``. Words that no document has are left out; none left: no match. Of
-    equally rare words, the one that sorts first by its hash.
+    equally rare words, the one that sorts first.
 
     Lists meet by document, term and cell of slop + 1 words, so a place is compared with those near it only. Rows
     without id are a document for each text, repeated rows are one.
     """
     tokens = token_table(docs, id_col, text_col)
-    wanted = written(items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(terms(F.col(item_text_col)))).alias("term")).distinct(), "item-terms")
+    named = items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct(words(F.col(item_text_col)))).alias("word")).distinct()
+    wanted = written(named.withColumn("term", F.xxhash64("word")), "item-terms")
     counts = term_counts(tokens, wanted.select("term").distinct(), block_rows)
-    ranked = wanted.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, lists).alias("rare"))
+    ranked = wanted.join(counts, "term").groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word", "term"))), 1, lists).alias("rare"))
     ranked = written(ranked.select("item", F.transform("rare", lambda r: r["term"]).alias("rare")), "rarest-terms")
     every = tokens.select("id", "of", F.posexplode("t").alias("pos", "term"))
     listed = written(ranked.select(F.explode("rare").alias("term")).distinct(), "index-terms")

@@ -12,6 +12,9 @@ from quillwork.llm import chat, decontaminate, language_id, mixing, quality, rep
 from quillwork.tables import table
 
 
+SLOP = 40
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -20,6 +23,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 2: where the three rarest words of a benchmark item stand within SLOP words."""
+    return decontaminate.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,7 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_decontaminate, op3_simhash, op4_repetition, op5_substring_dedup, op6_quality, op7_chat, op8_warc, op9_token_counts, op10_mixing]
+    found = [op1_language_id, op2_decontaminate, op3_simhash, op4_repetition, op5_substring_dedup, op6_quality, op7_chat, op8_warc, op9_token_counts, op10_mixing, proximity_matches]
     return {f.__name__: f for f in found}
 
 
@@ -99,6 +107,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
+PROXIMITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents), dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+n AS (SELECT word, count(*) AS n FROM dw GROUP BY 1), i AS (SELECT DISTINCT item_id AS item, unnest({_WORDS.format(text="text")}) AS word FROM benchmark),
+r AS (SELECT item, word, row_number() OVER (PARTITION BY item ORDER BY n, word) AS k FROM i JOIN n USING (word) QUALIFY k <= 3), z AS (SELECT item, count(*) AS lists FROM r GROUP BY 1),
+a AS (SELECT DISTINCT doc_id, item, pos AS start FROM dw JOIN r USING (word) WHERE k = 1),
+m AS (SELECT a.doc_id, a.item, a.start, count(DISTINCT r.k) AS found FROM a JOIN r USING (item) JOIN dw ON dw.doc_id = a.doc_id AND dw.word = r.word AND abs(dw.pos - a.start) <= {SLOP} GROUP BY ALL)
+SELECT doc_id, item, CAST(start AS INTEGER) AS start FROM m JOIN z USING (item) WHERE found = lists
+"""
+
 _OP4_WINDOWS = """
 {name} AS (SELECT doc_id, count(DISTINCT j) AS words, count(*) AS hits FROM (
     SELECT doc_id, unnest(range(s, s + {n})) AS j FROM (
@@ -157,4 +174,4 @@ FROM (SELECT *, unnest(range(1, times + 1)) AS copy FROM t WHERE times > 0)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_repetition": _op4_sql(), "op7_chat": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_decontaminate": OP2_SQL, "proximity_matches": PROXIMITY_SQL, "op4_repetition": _op4_sql(), "op7_chat": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
