@@ -34,10 +34,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: computed once, without lineage."""
-    spark = df.sparkSession
+    return written_in_parts([df], name, **options)
+
+
+def written_in_parts(parts: list[DataFrame], name: str, **options: str) -> DataFrame:
+    """As ``written``, of tables of one schema: a job for each, so that no plan and no stage holds all of them."""
+    spark = parts[0].sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    for df in parts:
+        df.write.options(**options).mode("append").parquet(path)
+    table = spark.read.schema(parts[0].schema).parquet(path)
     table._quillwork_path = path
     if _scopes:
         _scopes[-1].append(table)
