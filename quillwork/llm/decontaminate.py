@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.skew import blocks, split_by_hash, unused
-from quillwork.storage import written
+from quillwork.storage import written, written_in_parts
 from quillwork.tables import spread
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # lower() and translate() make letters of letters only
@@ -81,10 +79,6 @@ def rarest(queries: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
     return found.filter("missing = 0").select("phrase", "size", F.slice("found", 1, lists).alias("rare"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def postings(tokens: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame:
     """The index: term, id, of, pos of the chosen terms' every place; written.
 
@@ -101,7 +95,7 @@ def postings(tokens: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame
     start = F.col("pos") - F.col("offset")
     inside = F.col("offset").isNull() | ((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     around = F.when(F.col("offset").isNotNull(), F.xxhash64(F.slice("t", start + 1, F.col("size"))))
-    return written(_union([every.join(b, "term").filter(inside).select("term", "id", "of", "pos", "offset", "size", around.alias("window")) for b in blocks(wanted, "term", block_rows)]), "postings")
+    return written_in_parts([every.join(b, "term").filter(inside).select("term", "id", "of", "pos", "offset", "size", around.alias("window")) for b in blocks(wanted, "term", block_rows)], "postings")
 
 
 def intersect(index: DataFrame, chosen: DataFrame, lists: int, block_rows: int) -> DataFrame:
@@ -114,8 +108,8 @@ def intersect(index: DataFrame, chosen: DataFrame, lists: int, block_rows: int)
     first, key = F.col("rare")[0], ["term", "offset", "size", "window"]
     leading = index.filter(F.col("offset").isNotNull())
     queries = chosen.select("phrase", "size", "rare", first["term"].alias("term"), first["offset"].alias("offset"), F.col("phrase").alias("window"))
-    at = _union([leading.join(b, key) for b in blocks(queries, "phrase", block_rows)])
-    at = written(at.select("id", "of", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "size", "rare").distinct(), "first-list")
+    place = ["id", "of", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "size", "rare"]
+    at = written_in_parts([leading.join(b, key).select(*place).distinct() for b in blocks(queries, "phrase", block_rows)], "first-list")  # a phrase is in one block
     following = index.filter(F.col("offset").isNull()).select(F.col("id").alias("i"), F.col("of").alias("o"), F.col("pos").alias("p"), F.col("term").alias("t"))
     near, _ = split_by_hash(following, F.xxhash64("i", "o"), at.select("id", "of").distinct(), F.xxhash64("id", "of"))
     for k in range(1, lists):
@@ -151,7 +145,7 @@ def judge(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item
     union = F.aggregate("spans", zero, lambda s, p: F.struct((s["sum"] + F.greatest(p["b"] - F.greatest(p["a"], s["end"]), F.lit(0))).alias("sum"), F.greatest(s["end"], p["b"]).alias("end")))
     hit = places.groupBy("id", "of").agg(spans.alias("spans")).select("id", "of", union["sum"].cast("long").alias("n_hit"))
     found = places.select("id", "of", "phrase").distinct()
-    told = _union([found.join(b, "phrase") for b in blocks(named, "phrase", block_rows)]).select("id", "of", F.col("item").cast("string").alias("item")).distinct()
+    told = written_in_parts([found.join(b, "phrase").select("id", "of", F.col("item").cast("string").alias("item")) for b in blocks(named, "phrase", block_rows)], "items").distinct()
     told = told.groupBy(F.col("id").alias("i"), F.col("of").alias("o")).agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = hit.join(told, F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")), "left").select(F.col("id").alias("i"), F.col("of").alias("o"), "n_hit", "items")
     out = tokens.select("id", "of", "n_words").join(written(both, "hits"), F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")), "left")
@@ -189,9 +183,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, slop: int, id_col: s
     ranked = written(ranked.select("item", F.transform("rare", lambda r: r["term"]).alias("rare")), "rarest-terms")
     every = tokens.select("id", "of", F.posexplode("t").alias("pos", "term"))
     listed = written(ranked.select(F.explode("rare").alias("term")).distinct(), "index-terms")
-    index = written(_union([every.join(b, "term", "left_semi") for b in blocks(listed, "term", block_rows)]), "postings")
+    index = written_in_parts([every.join(b, "term", "left_semi") for b in blocks(listed, "term", block_rows)], "postings")
     leads = ranked.withColumn("term", F.col("rare")[0])
-    at = _union([index.join(b, "term") for b in blocks(leads, "term", block_rows)]).select("id", "of", "item", F.col("pos").alias("start"), "rare").distinct()
+    at = written_in_parts([index.join(b, "term").select("id", "of", "item", F.col("pos").alias("start"), "rare") for b in blocks(leads, "term", block_rows)], "first-list").distinct()
     near = at.select("*", F.posexplode("rare").alias("k", "term"))
     near = near.select("*", F.explode(F.sequence(F.floor((F.col("start") - slop) / (slop + 1)), F.floor((F.col("start") + slop) / (slop + 1)))).alias("cell"))
     cells = index.withColumn("cell", F.floor(F.col("pos") / (slop + 1)))

@@ -145,7 +145,12 @@ def test_no_step_runs_python(spark, sf_dir, monkeypatch):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return storage.written(df, name, **options)
 
+    def spy_parts(parts, name, **options):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in parts)
+        return storage.written_in_parts(parts, name, **options)
+
     monkeypatch.setattr(decontaminate, "written", spy)
+    monkeypatch.setattr(decontaminate, "written_in_parts", spy_parts)
     last = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     plans.append(last._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 8 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
