@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.skew import join_counted
+from quillwork.llm.skew import join_counted, sized
 from quillwork.storage import remove, written
 
 
@@ -22,14 +22,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges_now, signature = now.count(), None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        least = written(sized(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), 2 * edges_now), "least")
         large = join_counted(both, least, "a", 2 * edges_now).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = written(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down")
+        down = written(sized(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 2 * edges_now), "down")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        lowest = written(lowest, "lowest")
+        lowest = written(sized(lowest, 2 * edges_now), "lowest")
         linked = join_counted(down, lowest, "a", edges_now)
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        after = written(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        after = written(sized(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 4 * edges_now), "edges")
         row = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         for done in (now, least, down, lowest):
             remove(done)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm.skew import blocks, split_by_hash, unused
+from quillwork.llm.skew import blocks, sized, split_by_hash, unused
 from quillwork.storage import written, written_in_parts
 from quillwork.tables import spread
 
@@ -79,7 +79,7 @@ def rarest(queries: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
     return found.filter("missing = 0").select("phrase", "size", F.slice("found", 1, lists).alias("rare"))
 
 
-def postings(tokens: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame:
+def postings(tokens: DataFrame, chosen: DataFrame, lists: int, block_rows: int) -> DataFrame:
     """The index: term, id, of, pos of the chosen terms' every place; written.
 
     A term that leads phrases (is their rarest) has a posting for each offset and size that it has in one, with
@@ -90,7 +90,7 @@ def postings(tokens: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame
     lead = F.col("rare")[0]
     leads = chosen.select(lead["term"].alias("term"), lead["offset"].alias("offset"), "size").distinct()
     follow = chosen.select(F.explode(F.slice("rare", 2, 1 << 20)).alias("r")).select(F.col("r.term").alias("term"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast("int").alias("size")).distinct()
-    wanted = written(leads.unionByName(follow), "index-terms")
+    wanted = written(sized(leads.unionByName(follow), chosen.count() * lists), "index-terms")
     every = tokens.select("id", "of", "n_words", "t", F.posexplode("t").alias("pos", "term"))
     start = F.col("pos") - F.col("offset")
     inside = F.col("offset").isNull() | ((start >= 0) & (start + F.col("size") <= F.col("n_words")))
@@ -109,14 +109,15 @@ def intersect(index: DataFrame, chosen: DataFrame, lists: int, block_rows: int)
     leading = index.filter(F.col("offset").isNotNull())
     queries = chosen.select("phrase", "size", "rare", first["term"].alias("term"), first["offset"].alias("offset"), F.col("phrase").alias("window"))
     place = ["id", "of", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "size", "rare"]
-    at = written_in_parts([leading.join(b, key).select(*place).distinct() for b in blocks(queries, "phrase", block_rows)], "first-list")  # a phrase is in one block
+    rows = index.count()  # a posting has one phrase at most
+    at = written_in_parts([sized(leading.join(b, key).select(*place).distinct(), rows) for b in blocks(queries, "phrase", block_rows)], "first-list")  # a phrase is in one block
     following = index.filter(F.col("offset").isNull()).select(F.col("id").alias("i"), F.col("of").alias("o"), F.col("pos").alias("p"), F.col("term").alias("t"))
     near, _ = split_by_hash(following, F.xxhash64("i", "o"), at.select("id", "of").distinct(), F.xxhash64("id", "of"))
     for k in range(1, lists):
         other = F.get("rare", F.lit(k))
         held = at.filter(other.isNotNull()).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")) & (F.col("start") + other["offset"] == F.col("p")) & (other["term"] == F.col("t")), "left_semi")
         at = held.unionByName(at.filter(other.isNull()))
-    return written(at.drop("rare"), "places")
+    return written(sized(at.drop("rare"), rows), "places")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -136,9 +137,11 @@ def judge(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item
     """``decontaminate`` by id and of, the hash of the text. No text is moved: what is shuffled are places and ids."""
     tokens = token_table(docs, id_col, text_col)
     queries, named = phrases(items, window, item_col, item_text_col)
-    counts = written(term_counts(tokens, queries.select(F.explode("terms").alias("term")).distinct(), block_rows), "term-counts")
-    chosen = written(rarest(queries, counts, lists), "rarest")
-    places = intersect(postings(tokens, chosen, block_rows), chosen, lists, block_rows)
+    n = queries.count()
+    counts = term_counts(tokens, queries.select(F.explode("terms").alias("term")).distinct(), block_rows)
+    counts = written(sized(counts, n * window), "term-counts")
+    chosen = written(sized(rarest(queries, counts, lists), n), "rarest")
+    places = intersect(postings(tokens, chosen, lists, block_rows), chosen, lists, block_rows)
 
     spans = F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))

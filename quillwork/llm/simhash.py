@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillwork.llm.arrow import texts
 from quillwork.llm.components import connected_components
 from quillwork.llm.gray_index import Forest, gray_rank, link_between, link_within
-from quillwork.llm.skew import join_counted, split_by_hash, unused
+from quillwork.llm.skew import join_counted, sized, split_by_hash, unused
 from quillwork.tables import spread
 from quillwork.storage import written
 
@@ -110,8 +110,8 @@ def links(distinct: DataFrame, most: int = 4, chunk: int = 4096) -> DataFrame:
     """
     chosen = masks(most, shared_blocks(distinct.count(), most))
     keyed = _keyed(distinct, chosen)
-    sizes = written(keyed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
     total = keyed.count()
+    sizes = written(sized(keyed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), total), "nodes")
     dense = F.col("n") > DENSE * chunk
     members = join_counted(keyed, sizes.filter(~dense).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")), "node", total)
     if not sizes.filter(dense).isEmpty():
@@ -172,12 +172,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read; an empty table gives no rows.
     """
     marks = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = written(marks.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    rows = marks.count()
+    distinct = written(sized(marks.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), rows), "distinct-fingerprints")
     nodes = written(connected_components(links(distinct.select("fingerprint"), most)).withColumnRenamed("node", "fingerprint"), "components")
     least = nodes.join(distinct, "fingerprint").groupBy("component").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
-    named = join_counted(nodes, written(least, "classes"), "component", nodes.count()).select("fingerprint", "class_id")
+    linked = nodes.count()
+    named = join_counted(nodes, written(sized(least, linked), "classes"), "component", linked).select("fingerprint", "class_id")
     final = distinct.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("class_id", "least_id").alias("component_id"), "n")
-    joined = join_counted(marks, written(final, "fingerprint-classes"), "fingerprint", marks.count())
+    joined = join_counted(marks, written(sized(final, rows), "fingerprint-classes"), "fingerprint", rows)
     return joined.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -191,7 +193,7 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     row = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__of").alias("of"))
     classes = near_duplicates(keyed.select(row.alias("__row"), text_col), id_col="__row", text_col=text_col, **options)
     gone = classes.filter(F.col("__row") != F.col("component_id")).select(F.col("__row.id").alias("__gone"), F.col("__row.of").alias("__gone_of")).distinct()
-    gone = written(gone, "gone")
+    gone = written(sized(gone, docs.count()), "gone")
     maybe, others = split_by_hash(keyed, F.xxhash64("__id", "__of"), gone, F.xxhash64("__gone", "__gone_of"))
     kept = others.unionByName(maybe.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__of") == F.col("__gone_of")), "left_anti"))
     repeated = keyed.groupBy("__id", "__of").count().filter("count > 1").select(F.col("__id").alias("__again"), F.col("__of").alias("__again_of"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Keys with over total / SHARES of all rows (and over LEAST) are frequent; there are fewer than SHARES of them.
 SHARES = 1000
 LEAST = 1000
+ROWS_OF_TASK = 1 << 18
 BITS_OF_KEY, MOST_BITS = 16, 1 << 29  # 64 MB at most
 _CELL = 1 << 15  # bits in a value of bitmap_construct_agg
 
@@ -29,6 +30,16 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: s
     return many.unionByName(few)
 
 
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, which has narrow rows (numbers and short lists of them), ``rows`` at most, and ends with a shuffle, in
+    as many partitions as it fills: a small table is one file and not one for each shuffle partition.
+
+    Only the tasks after the shuffle become fewer, each of about ROWS_OF_TASK rows; a table that fills its partitions
+    keeps them.
+    """
+    return table.coalesce(max(1, -(-rows // ROWS_OF_TASK)))
+
+
 def unused(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column has it, whatever the case."""
     taken = {c.lower() for c in columns}
