@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from quillwork.llm import gray_index, simhash
 from quillwork.llm.components import connected_components
+from quillwork.llm.skew import ROWS_OF_TASK, sized
 from quillwork.tables import table
 from tests.llm.conftest import PROSE, documents
 
@@ -132,3 +133,11 @@ def test_stage_judges_rows_and_not_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in whole.collect()), key=repr) == sorted(expected, key=repr)
     once = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()]
     assert len(once) == 5 and set(once) < set(expected) and sorted(i for i, _ in once if i) == [1, 7, 8]
+
+
+def test_sized_keeps_rows_and_fills_partitions(spark):
+    counted = spark.range(1000).repartition(8, "id")
+    assert sized(counted, 1000).rdd.getNumPartitions() == sized(counted, 0).rdd.getNumPartitions() == 1
+    assert sized(counted, ROWS_OF_TASK + 1).rdd.getNumPartitions() == 2
+    assert sized(counted, 100 * ROWS_OF_TASK).rdd.getNumPartitions() == 8
+    assert sized(counted, 1000).agg({"id": "sum"}).first()[0] == 499500
