@@ -15,6 +15,7 @@ from quillwork.operators import units as unit_ops
 from quillwork.plans import domain
 from quillwork.plans.domain import turns
 from quillwork.plans.registry import query
+from quillwork.storage import written
 from quillwork.tables import table
 
 
@@ -236,7 +237,7 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def length_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-8."""
-    return diagnostics.length_matches(_evaluation(spark, sf_dir))
+    return diagnostics.length_matches(written(_evaluation(spark, sf_dir), "evaluation"))  # texts are read once
 
 
 @query()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 from datetime import date, timedelta
 
@@ -317,6 +318,58 @@ def test_matching_is_optimal():
         assert all(g <= 6 for g in gaps) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
 
 
+def table_matches(pre, qa, caliper):
+    """The reference's table of best (pairs, distance) over all units, and its order of choice: skip, skip, match."""
+    best = [[(0, 0)] * (len(qa) + 1) for _ in range(len(pre) + 1)]
+    moves = {}
+    for i, j in itertools.product(range(1, len(pre) + 1), range(1, len(qa) + 1)):
+        gap = abs(pre[i - 1][0] - qa[j - 1][0])
+        n, d = best[i - 1][j - 1]
+        options = [best[i - 1][j], best[i][j - 1], (n + 1, d - gap) if gap <= caliper else (-1, 0)]
+        best[i][j], moves[i, j] = max(options), options.index(max(options))
+    pairs, i, j = [], len(pre), len(qa)
+    while i and j:
+        move = moves[i, j]
+        if move == 2:
+            pairs.append((i - 1, j - 1))
+        i, j = i - (move != 1), j - (move != 0)
+    return pairs[::-1]
+
+
+def test_matching_chooses_as_the_reference():
+    """Of matchings that are equally good, the same one, where few and where many units share a length."""
+    rng = random.Random(5)
+    for _ in range(400):
+        span, caliper = rng.choice([1, 4, 12, 40]), rng.choice([0, 1, 3, 15])
+        pre, qa = (sorted((rng.randrange(span) if rng.random() < 0.5 else rng.randrange(span) ** 2 // span, f"{k:02}") for k in range(rng.randrange(30))) for _ in range(2))
+        assert diagnostics.match_ordered(pre, qa, caliper) == table_matches(pre, qa, caliper), (pre, qa, caliper)
+
+
+def test_matching_grows_with_lengths_not_units():
+    """A table of 300,000 by 300,000 units would take 90 GB."""
+    units = [(k // 1000, "") for k in range(300_000)]
+    assert diagnostics.match_ordered(units, units, 15) == [(k, k) for k in range(300_000)]
+    assert diagnostics.match_counts([(2 * k, 10**9) for k in range(50)], [(2 * k + 1, 10**9) for k in range(50)], 15) == [(k, 0, k, 0, 10**9) for k in range(50)]
+
+
+def test_length_matches_are_those_of_the_table(spark):
+    """Many units of one length, in several ranges of the id; nulls and other sections."""
+    rng = random.Random(8)
+    rows = [(f"p{k % 2}", rng.choice(["PRE", "PRE", "Q&A"]), f"u{rng.randrange(10**6)}x{k}", rng.choice([7, 7, 7, 8, 11, 30, 52, 53]), rng.choice([None, 1.0, 2.0, 3.5])) for k in range(400)]
+    odd = [("p0", "PRE", None, 7, 9.0), ("p0", "Q&A", "u1", None, 1.0), (None, "PRE", "u2", 7, 1.0), ("p0", "other", "u3", 7, 1.0), ("p3", "PRE", "u4", 7, 1.0)]
+    df = spark.createDataFrame(rows + odd, "period_bin string, section string, unit_id string, words long, score double").repartition(5)
+    expected = []
+    for p in ("p0", "p1"):
+        of = lambda section: sorted((r for r in rows + odd if r[:2] == (p, section) and r[3] is not None), key=lambda r: (r[3], r[2] is None, r[2]))  # noqa: E731, B023
+        pre, qa = of("PRE"), of("Q&A")
+        for i, j in table_matches([r[3:4] for r in pre], [r[3:4] for r in qa], 5):
+            (_, _, a, v, s), (_, _, b, w, t) = pre[i], qa[j]
+            expected.append((p, a, b, v, w, abs(v - w), None if s is None or t is None else t - s))
+    got = diagnostics.length_matches(df, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert diagnostics.length_matches(df.filter("section = 'PRE'"), 5).count() == 0 == diagnostics.length_matches(df.limit(0), 5).count()
+
+
 def test_regression_and_bootstrap(spark):
     rng = np.random.default_rng(1)
     n = 300
